@@ -193,3 +193,45 @@ def before_after(before: DataFrame, after: DataFrame, value: str = SAL,
     long = m.selectExpr("_snap", f"stack({len(metrics)}, {stack}) as (metrica, valor)")
     wide = long.groupBy("metrica").pivot("_snap", ["antes", "despues"]).agg(F.first("valor"))
     return wide.withColumn("diferencia", F.col("despues") - F.col("antes"))
+
+
+def statistics_rows(df: DataFrame, value: str = SAL, body: str = "organismo",
+                    klass: str = "estamento", category: str = "categoria_organismo",
+                    top: int = 10) -> DataFrame:
+    """AGG-03 as long rows ``(seccion, clave, valor)``: scalars, top bodies, top classes,
+    category distribution.  Each section is its own small aggregate; top-N use
+    TakeOrdered with a key tie-break."""
+    v = F.col(value)
+    sc = df.agg(
+        F.count(F.lit(1)).cast("double").alias("total_registros"),
+        F.countDistinct(body).cast("double").alias("organismos_unicos"),
+        F.countDistinct(klass).cast("double").alias("estamentos_unicos"),
+        F.countDistinct(category).cast("double").alias("categorias_organismos"),
+        F.round(F.avg(v), 2).alias("sueldo_promedio"), F.round(F.min(v), 2).alias("sueldo_minimo"),
+        F.round(F.max(v), 2).alias("sueldo_maximo"), F.round(F.stddev_samp(v), 2).alias("sueldo_desviacion"))
+    sc = with_quantiles(sc, df, value, {"sueldo_mediana": 0.5}).withColumn(
+        "sueldo_mediana", F.round("sueldo_mediana", 2))
+    names = sc.columns
+    stack = ", ".join(f"'{c}', `{c}`" for c in names)
+    scal = sc.selectExpr(f"stack({len(names)}, {stack}) as (clave, valor)").select(
+        F.lit("escalares").alias("seccion"), "clave", "valor")
+
+    def section(name, key, limit):
+        vc = value_counts(df, key)
+        if limit:
+            vc = vc.limit(limit)
+        return vc.select(F.lit(name).alias("seccion"), F.col(key).alias("clave"),
+                         F.col("n").cast("double").alias("valor"))
+
+    return (scal.unionByName(section("top_organismos", body, top))
+            .unionByName(section("top_estamentos", klass, top))
+            .unionByName(section("distribucion_categorias", category, None)))
+
+
+def statistics_doc(df: DataFrame, value: str = SAL, top: int = 10) -> DataFrame:
+    """AGG-03 as one nested row (scalars + maps), for the JSON statistics sink."""
+    rows = statistics_rows(df, value, top=top)
+    ent = F.struct(F.col("clave"), F.col("valor"))
+    return rows.groupBy().agg(*[
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("seccion") == s, ent))))
+        .alias(s) for s in ("escalares", "top_organismos", "top_estamentos", "distribucion_categorias")])

@@ -10,6 +10,10 @@ from nomina.functions import text as T
 from nomina.functions import urls as U
 
 
+def _num(x: float) -> str:
+    return "CAST('inf' AS DOUBLE)" if x == float("inf") else repr(x)
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -97,19 +101,19 @@ def infer_class(e: str) -> str:
 
 
 def band_dashboard(e: str) -> str:
-    whens = " ".join(f"WHEN {e} <= {hi if hi != float('inf') else 'CAST(''inf'' AS DOUBLE)'} THEN {q(lbl)}"
+    whens = " ".join(f"WHEN {e} <= {_num(hi)} THEN {q(lbl)}"
                      for hi, lbl in C.BANDS_DASHBOARD)
     return f"(CASE WHEN {e} IS NULL OR {e} < 0 THEN NULL {whens} END)"
 
 
 def band_dashboard_ordinal(e: str) -> str:
-    whens = " ".join(f"WHEN {e} <= {hi if hi != float('inf') else 'CAST(''inf'' AS DOUBLE)'} THEN {i}"
+    whens = " ".join(f"WHEN {e} <= {_num(hi)} THEN {i}"
                      for i, (hi, _l) in enumerate(C.BANDS_DASHBOARD))
     return f"(CASE WHEN {e} IS NULL OR {e} < 0 THEN NULL {whens} END)"
 
 
 def band_enrich(e: str) -> str:
-    whens = " ".join(f"WHEN {e} <= {hi if hi != float('inf') else 'CAST(''inf'' AS DOUBLE)'} THEN {q(lbl)}"
+    whens = " ".join(f"WHEN {e} <= {_num(hi)} THEN {q(lbl)}"
                      for hi, lbl in C.BANDS_ENRICH)
     return f"(CASE WHEN {e} IS NULL OR {e} <= 0 THEN NULL {whens} END)"
 
