@@ -18,20 +18,29 @@ CLASS_CANON = {
 }
 
 
+# ASCII whitespace as Python's str.strip()/split() see it (Java's \\s).
+WS = r"[ \t\n\x0B\f\r]"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x) -> Column:
+    """Remove leading/trailing whitespace (not only spaces, unlike ``trim``)."""
+    return F.regexp_replace(_c(x).cast("string"), f"^{WS}+|{WS}+$", "")
+
+
 def clean_text(x) -> Column:
     """SCL-01: trim, null-ish tokens -> null, collapse inner whitespace."""
-    t = F.trim(_c(x).cast("string"))
+    t = strip(x)
     return F.when(F.lower(t).isin(*NULL_TOKENS) | t.isNull(), F.lit(None).cast("string")) \
-        .otherwise(F.regexp_replace(t, r"\s+", " "))
+        .otherwise(F.regexp_replace(t, f"{WS}+", " "))
 
 
 def fill_trim(x, sentinel: str = MISSING) -> Column:
     """SCL-08: null -> sentinel, then trim."""
-    return F.trim(F.coalesce(_c(x).cast("string"), F.lit(sentinel)))
+    return strip(F.coalesce(_c(x).cast("string"), F.lit(sentinel)))
 
 
 def upper_class(x, sentinel: str = MISSING) -> Column:
@@ -41,7 +50,7 @@ def upper_class(x, sentinel: str = MISSING) -> Column:
 
 def capitalize_words(x) -> Column:
     """SCL-10: collapse whitespace and capitalise each word; null -> ''."""
-    t = F.regexp_replace(F.trim(_c(x).cast("string")), r"\s+", " ")
+    t = F.regexp_replace(strip(x), f"{WS}+", " ")
     return F.coalesce(F.initcap(F.lower(t)), F.lit(""))
 
 

@@ -124,19 +124,23 @@ def inequality_label(e: str) -> str:
 
 
 def fill_trim(e: str, sentinel: str = T.MISSING) -> str:
-    return f"trim(coalesce(CAST({e} AS VARCHAR), {q(sentinel)}))"
+    return strip(f"coalesce(CAST({e} AS VARCHAR), {q(sentinel)})")
+
+
+def strip(e: str) -> str:
+    return f"regexp_replace(CAST({e} AS VARCHAR), '^{T.WS}+|{T.WS}+$', '', 'g')"
 
 
 def clean_text(e: str) -> str:
-    t = f"trim(CAST({e} AS VARCHAR))"
+    t = strip(e)
     toks = ", ".join(q(x) for x in T.NULL_TOKENS)
-    return f"(CASE WHEN {t} IS NULL OR lower({t}) IN ({toks}) THEN NULL ELSE regexp_replace({t}, '\\s+', ' ', 'g') END)"
+    return f"(CASE WHEN {t} IS NULL OR lower({t}) IN ({toks}) THEN NULL ELSE regexp_replace({t}, '{T.WS}+', ' ', 'g') END)"
 
 
 def capitalize_words(e: str) -> str:
-    t = f"regexp_replace(trim(CAST({e} AS VARCHAR)), '\\s+', ' ', 'g')"
+    t = f"regexp_replace({strip(e)}, '{T.WS}+', ' ', 'g')"
     return (f"coalesce(array_to_string(list_transform(string_split({t}, ' '), "
-            f"w -> upper(w[1:1]) || lower(w[2:])), ' '), '')")
+            f"lambda w: upper(w[1:1]) || lower(w[2:])), ' '), '')")
 
 
 def canon_class(e: str) -> str:
@@ -149,3 +153,10 @@ def month_from_url(e: str) -> str:
     s = f"lower({e})"
     whens = " ".join(f"WHEN contains({s}, {q(m)}) THEN '{i:02d}'" for i, m in enumerate(U.MONTHS_ES, start=1))
     return f"(CASE {whens} ELSE '01' END)"
+
+
+def city_from_text(e: str) -> str:
+    from nomina.functions.geo import ALL_PATTERNS
+    s = f"lower({e})"
+    whens = " ".join(f"WHEN contains({s}, {q(p)}) THEN {q(m)}" for p, m in ALL_PATTERNS)
+    return f"(CASE WHEN {e} IS NULL OR {e} = '' THEN NULL {whens} END)"
