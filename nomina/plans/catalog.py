@@ -1,4 +1,4 @@
 """Import every query module so the registry is populated."""
 
-from nomina.plans import q_aggregates, q_relational, q_scalar, q_sources, q_stats  # noqa: F401
+from nomina.plans import q_aggregates, q_quality, q_relational, q_scalar, q_sources, q_stats  # noqa: F401
 from nomina.plans.registry import ORACLES, QUERIES  # noqa: F401
