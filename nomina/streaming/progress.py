@@ -35,16 +35,26 @@ def attempts_from_events(events: DataFrame) -> DataFrame:
 
 
 def progress(attempts: DataFrame, key: str = "organismo_id") -> DataFrame:
-    """STR-01 (batch): latest status / error / count per key plus counters."""
-    order = F.struct("ts", "intento_id")
+    """STR-01 (batch): latest status / error / count per key plus counters.
+
+    ``last_order`` (newest attempt) and ``last_error_order`` (newest error)
+    are kept so partial progress tables merge exactly (see ``merge_progress``).
+    """
+    order = F.struct(F.col("ts").alias("ts"), F.col("intento_id").alias("id"))
+    err_order = F.when(F.col("error").isNotNull(), order)
     return attempts.groupBy(key).agg(
         F.max_by("status", order).alias("status"),
         F.max("ts").alias("last_attempt"),
         F.count_if(F.col("status") == "success").alias("success_count"),
         F.count_if(F.col("status") == "error").alias("error_count"),
-        F.max_by(F.col("error"), F.when(F.col("error").isNotNull(), order)).alias("last_error"),
+        F.max_by(F.col("error"), err_order).alias("last_error"),
         F.max_by("data_count", order).alias("data_count"),
-        F.max_by("processing_time", order).alias("processing_time"))
+        F.max_by("processing_time", order).alias("processing_time"),
+        F.max(order).alias("last_order"), F.max(err_order).alias("last_error_order"))
+
+
+PUBLIC_COLS = ["organismo_id", "status", "last_attempt", "success_count", "error_count", "last_error",
+               "data_count", "processing_time"]
 
 
 def progress_summary(prog: DataFrame) -> DataFrame:
@@ -70,20 +80,22 @@ def failures(prog: DataFrame, n: int = 20, key: str = "organismo_id") -> DataFra
 def merge_progress(current: DataFrame | None, batch_progress: DataFrame, key: str = "organismo_id") -> DataFrame:
     """Fold a micro-batch's progress into the stored table (STR-01 upsert).
 
-    Counters add; status / error / data count take the newer attempt; the
-    last non-null error survives a later success (the reference resets
-    columns it omits, A-20 -- fixed here).
+    Counters add; status / count / time follow the newest attempt and the
+    error follows the newest error, so folding batches in any order equals
+    the batch aggregate over all attempts.  (The reference resets columns its
+    upsert omits, A-20; here nothing is lost.)
     """
     if current is None:
         return batch_progress
     cols = batch_progress.columns
     u = current.select(*cols).unionByName(batch_progress)
-    newest = F.struct("last_attempt")
     return u.groupBy(key).agg(
-        F.max_by("status", newest).alias("status"),
+        F.max_by("status", "last_order").alias("status"),
         F.max("last_attempt").alias("last_attempt"),
         F.sum("success_count").alias("success_count"),
         F.sum("error_count").alias("error_count"),
-        F.max_by(F.col("last_error"), F.when(F.col("last_error").isNotNull(), newest)).alias("last_error"),
-        F.max_by("data_count", newest).alias("data_count"),
-        F.max_by("processing_time", newest).alias("processing_time")).select(*cols)
+        F.max_by("last_error", "last_error_order").alias("last_error"),
+        F.max_by("data_count", "last_order").alias("data_count"),
+        F.max_by("processing_time", "last_order").alias("processing_time"),
+        F.max("last_order").alias("last_order"),
+        F.max("last_error_order").alias("last_error_order")).select(*cols)
