@@ -1,5 +1,5 @@
 """Import every query module so the registry is populated."""
 
 from nomina.plans import (  # noqa: F401
-    q_aggregates, q_quality, q_relational, q_scalar, q_sources, q_stats, q_streaming)
+    q_aggregates, q_pipelines, q_quality, q_relational, q_scalar, q_sources, q_stats, q_streaming)
 from nomina.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -116,7 +116,7 @@ def src05_load_many(spark, sf_dir):
 SELECT fuente, periodo, count(*) AS n, count(DISTINCT organismo) AS organismos FROM payroll GROUP BY 1, 2""")
 def src06_month_dir_scan(spark, sf_dir):
     root = _scratch(spark, "raw")
-    _payroll_rows(spark, sf_dir).write.partitionBy("fuente", "periodo").option("header", True).csv(root)
+    _payroll_rows(spark, sf_dir).hint("rebalance", "fuente", "periodo").write.partitionBy("fuente", "periodo").option("header", True).csv(root)
     df = FS.month_dir_scan(spark, root, ["fuente=F", "fuente=O", "fuente=P"], as_of="2025-09-30 00:00:00")
     return df.groupBy("fuente", "periodo").agg(F.count(F.lit(1)).alias("n"),
                                                F.countDistinct("organismo").alias("organismos"))
@@ -126,7 +126,7 @@ def src06_month_dir_scan(spark, sf_dir):
 def src07_provenance(spark, sf_dir):
     """Rows-only: lineage columns (file name, directory, source, period, time)."""
     root = _scratch(spark, "raw-prov")
-    _payroll_rows(spark, sf_dir).write.partitionBy("fuente", "periodo").option("header", True).csv(root)
+    _payroll_rows(spark, sf_dir).hint("rebalance", "fuente", "periodo").write.partitionBy("fuente", "periodo").option("header", True).csv(root)
     df = FS.month_dir_scan(spark, root, ["fuente=F", "fuente=O", "fuente=P"], as_of="2025-09-30 00:00:00")
     return df.select("id", "fuente", "periodo", "archivo_origen", "fecha_procesamiento")
 

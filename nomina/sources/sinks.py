@@ -18,7 +18,9 @@ def write_dated_and_latest(df: DataFrame, base: str, fmt: str = "csv",
                            partition: str = "periodo") -> tuple[str, str]:
     """SRC-14: write partitioned by period, and a second 'latest' copy."""
     dated, latest = f"{base}/por_periodo", f"{base}/latest"
-    w = df.write.mode("overwrite").option("header", True)
+    # REBALANCE: AQE packs each period into few files and splits a hot period
+    # across tasks (a plain repartition(partition) would give it one task).
+    w = df.hint("rebalance", partition).write.mode("overwrite").option("header", True)
     w.partitionBy(partition).format(fmt).save(dated)
     df.write.mode("overwrite").option("header", True).format(fmt).save(latest)
     return dated, latest
