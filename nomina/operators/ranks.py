@@ -47,6 +47,10 @@ def value_ranks(df: DataFrame, value: str, by=(), n_buckets: int | None = None)
     vals = (df.select(*by, F.col(value).cast("double").alias(value))
             .where(F.col(value).isNotNull() & ~F.isnan(value))
             .groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt")))
+    # The distinct-value table feeds two jobs (split points, then ranks): write it
+    # once to the shared checkpoint dir so the raw input is scanned only once and
+    # a lost executor recomputes from here, not from the source.
+    vals = vals.checkpoint(eager=True)
     nb = _n_buckets(df, n_buckets)
     probs = [i / nb for i in range(1, nb)]
     cuts = vals.approxQuantile(value, probs, 1.0 / (4 * nb)) if nb > 1 else []

@@ -26,6 +26,7 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -81,3 +82,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int):
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+_BOUND_CACHE: dict[tuple[str, str, int], bool] = {}
+
+
+def within_bound(spark: SparkSession, key: str, df: DataFrame, max_rows: int) -> bool:
+    """Memoised ``rows(df) <= max_rows`` for an immutable input identified by ``key``
+    (e.g. its path): the bounded count runs once per session, not once per query."""
+    k = (spark.sparkContext.applicationId, key, max_rows)
+    if k not in _BOUND_CACHE:
+        _BOUND_CACHE[k] = df.limit(max_rows + 1).count() <= max_rows
+    return _BOUND_CACHE[k]

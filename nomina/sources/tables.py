@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomina.session import bounded_broadcast
+from nomina.session import within_bound
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -25,8 +25,17 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 DIM_BROADCAST_ROWS = 100_000
 
 
+_TABLE_CACHE: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read-only driver table.  The DataFrame handle (not its data) is reused per
+    session so footers and schema are resolved once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLE_CACHE:
+        _TABLE_CACHE[key] = spark.read.parquet(path)
+    return _TABLE_CACHE[key]
 
 
 def _organismo(nationkey: Column, name: Column) -> Column:
@@ -59,10 +68,11 @@ def payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    geo = bounded_broadcast(
-        n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
-            "n_nationkey", "n_name", "r_name"),
-        DIM_BROADCAST_ROWS)
+    if within_bound(spark, f"{sf_dir}/region", r, DIM_BROADCAST_ROWS):
+        r = F.broadcast(r)
+    geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
+    if within_bound(spark, f"{sf_dir}/nation", n, DIM_BROADCAST_ROWS):
+        geo = F.broadcast(geo)
     oc = o.join(c, o.o_custkey == c.c_custkey)
     j = oc.join(geo, oc.c_nationkey == geo.n_nationkey)
     raw_amount = F.col("o_totalprice") * F.lit(25)
