@@ -194,12 +194,15 @@ geo AS (SELECT id, organismo, cargo,
 
 @query("val04_geo_mismatch", f"""WITH {GEO_SQL}
 SELECT id, NOT (sug IS NOT NULL AND lower(sug) <> lower(organismo)) AS validation_is_valid,
-  sug AS suggested_municipality, CASE WHEN sug IS NOT NULL THEN 0.8 ELSE 0.0 END AS validation_confidence
+  sug AS suggested_municipality, CASE WHEN sug IS NOT NULL THEN 0.8 ELSE 0.0 END AS validation_confidence,
+  CASE WHEN sug IS NOT NULL AND lower(sug) <> lower(organismo) THEN
+    printf('Institución ''%s'' sugiere ''%s'' pero está asignada a ''%s''', cargo, sug, organismo) END AS mensaje
 FROM geo WHERE contains(lower(organismo), 'municipalidad')""")
 def val04_geo_mismatch(spark, sf_dir):
     v = Q.geo_validate(payroll(spark, sf_dir))
     return v.where(F.lower("organismo").contains("municipalidad")).select(
-        "id", "validation_is_valid", "suggested_municipality", "validation_confidence")
+        "id", "validation_is_valid", "suggested_municipality", "validation_confidence",
+        F.try_element_at("validation_issues", F.lit(1)).getField("message").alias("mensaje"))
 
 
 @query("val05_geo_report", f"""WITH {GEO_SQL}
@@ -220,6 +223,17 @@ def val06_geo_fix(spark, sf_dir):
     return fixed.groupBy("organismo").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("val07_load_gate", """
+SELECT count(*) AS n, count(sueldo_bruto) AS con_sueldo, count(organismo) AS nn_organismo,
+  count(sueldo_bruto) AS nn_sueldo_bruto FROM payroll""")
+def val07_load_gate(spark, sf_dir):
+    """The gate's single aggregate; ``sinks.load_gate`` raises on it when a check fails."""
+    from nomina.sources.sinks import gate_counts, load_gate
+    p = payroll(spark, sf_dir)
+    load_gate(p)
+    return gate_counts(p)
+
+
 @query("val08_freshness", """
 SELECT max(ts) AS ultima_carga,
   round((epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(max(ts))) / 3.6e9, 4) AS horas,

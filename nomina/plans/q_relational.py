@@ -210,3 +210,32 @@ def joi09_scalar_compare(spark, sf_dir):
     g = p.groupBy("estamento").agg(F.avg(SAL).alias("promedio"))
     return rounded(J.scalar_compare(g, p, "promedio"),
                    {"promedio": 2, "promedio_global": 2, "diferencia": 2, "diferencia_pct": 4})
+
+
+@query("win04_top_issues", """
+WITH v AS (SELECT id, CASE WHEN sueldo_bruto IS NULL THEN 'Sueldo' WHEN sueldo_bruto < 100000 THEN 'Sueldo bajo'
+  WHEN sueldo_bruto > 10000000 THEN 'Sueldo alto' END AS tipo FROM payroll),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tipo ORDER BY id) AS r FROM v WHERE tipo IS NOT NULL)
+  WHERE r <= 10)
+SELECT id, tipo FROM f ORDER BY tipo, id LIMIT 20""")
+def win04_top_issues(spark, sf_dir):
+    """First 10 issues per type, then the first 20 overall."""
+    s = F.col(SAL)
+    issue = F.when(s.isNull(), "Sueldo").when(s < 100_000, "Sueldo bajo").when(s > 10_000_000, "Sueldo alto")
+    issues = payroll(spark, sf_dir).select("id", issue.alias("tipo")).where(F.col("tipo").isNotNull())
+    return W.top_issues(issues, "tipo", "id", 10, 20)
+
+
+@query("joi05_url_lookup", """
+WITH l AS (SELECT page_id AS orden, regexp_replace(url, '[?#].*$', '') AS url,
+  regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1) AS organismo FROM pages),
+f AS (SELECT url, arg_min(organismo, orden) AS organismo FROM l GROUP BY url)
+SELECT p.page_id, f.url, f.organismo FROM pages p JOIN f ON regexp_replace(p.url, '[?#].*$', '') = f.url""",
+       payroll=False)
+def joi05_url_lookup(spark, sf_dir):
+    """Result urls (query/fragment stripped) -> body of the first matching link-list entry."""
+    from nomina.sources.html import host
+    pages = table(spark, sf_dir, "pages")
+    base = F.regexp_replace("url", r"[?#].*$", "")
+    links = pages.select(F.col("page_id").alias("orden"), base.alias("url"), host("url").alias("organismo"))
+    return J.url_lookup(pages.select("page_id", base.alias("url")), links)

@@ -44,6 +44,12 @@ def dedup_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*tmp).select(*keep)
 
 
+def gate_counts(df: DataFrame, required=("organismo", "sueldo_bruto"), value: str = "sueldo_bruto") -> DataFrame:
+    """The one-pass aggregate behind ``load_gate``: rows, rows with salary, non-nulls per column."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("con_sueldo"),
+                  *[F.count(c).alias(f"nn_{c}") for c in required])
+
+
 def load_gate(df: DataFrame, required=("organismo", "sueldo_bruto"), value: str = "sueldo_bruto",
               max_null_rate: float | None = None) -> dict:
     """VAL-07: required columns present, frame non-empty, some salary; else raise.
@@ -54,8 +60,7 @@ def load_gate(df: DataFrame, required=("organismo", "sueldo_bruto"), value: str
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise LoadGateError(f"faltan columnas requeridas: {missing}")
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("con_sueldo"),
-                 *[F.count(c).alias(f"nn_{c}") for c in required]).first()
+    row = gate_counts(df, required, value).first()
     if row["n"] == 0:
         raise LoadGateError("no hay registros")
     if row["con_sueldo"] == 0:
