@@ -26,15 +26,30 @@ DIM_BROADCAST_ROWS = 100_000
 
 
 _TABLE_CACHE: dict[tuple[str, str], DataFrame] = {}
+# Fact tables and their key column (first column); dimensions are never spread.
+FACT_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id",
+             "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id", "part": "p_partkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read-only driver table.  The DataFrame handle (not its data) is reused per
-    session so footers and schema are resolved once."""
+    session so footers and schema are resolved once.
+
+    Small-input guard: a Parquet row group is the unit of scan parallelism,
+    so a single-row-group file is read by one task and everything before the
+    first shuffle (joins, regex parsing, text cleaning) would run on one core.
+    When a fact table scans into fewer splits than the cluster's default
+    parallelism it is hash-partitioned on its key (deterministic, no sort).
+    Large inputs already have thousands of splits and are left untouched.
+    """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (spark.sparkContext.applicationId, path)
     if key not in _TABLE_CACHE:
-        _TABLE_CACHE[key] = spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        par = spark.sparkContext.defaultParallelism
+        if name in FACT_KEYS and df.rdd.getNumPartitions() < par:
+            df = df.repartition(par, FACT_KEYS[name])
+        _TABLE_CACHE[key] = df
     return _TABLE_CACHE[key]
 
 

@@ -78,3 +78,14 @@ def test_cumulative_shares_reach_one(spark):
     assert rows[-1]["value_share"] == pytest.approx(1.0)
     assert rows[1]["pop_share"] == pytest.approx(3 / 5)          # value 2 covers ranks 2..3
     assert rows[1]["value_share"] == pytest.approx(5 / 18)
+
+
+def test_small_and_bucketed_paths_agree(spark):
+    rnd = random.Random(5)
+    xs = [rnd.randint(0, 40) for _ in range(500)]
+    groups = [f"g{i % 3}" for i in range(500)]
+    df = _frame(spark, xs, groups)
+    cols = ["k", "v", "cnt", "below", "below_sum", "n", "total"]
+    small = sorted(map(tuple, R.value_ranks(df, "v", ("k",)).select(*cols).collect()))
+    bucketed = sorted(map(tuple, R.value_ranks(df, "v", ("k",), n_buckets=7).select(*cols).collect()))
+    assert small == bucketed
