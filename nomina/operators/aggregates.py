@@ -155,9 +155,10 @@ def describe(df: DataFrame, value: str = SAL) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, key: str) -> DataFrame:
-    """AGG-17: count per key and percent of all rows (window over the tiny grouped result)."""
+    """AGG-17: count per key and percent of all rows (total attached as a one-row broadcast)."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(key, "n", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("pct"))
+    total = g.agg(F.sum("n").alias("_total"))
+    return _one_row_join(g, total).select(key, "n", (F.col("n") * 100.0 / F.col("_total")).alias("pct"))
 
 
 def filtered_delta(df: DataFrame, cond: Column, value: str = SAL) -> DataFrame:

@@ -52,11 +52,10 @@ def split_floor(df: DataFrame, value: str = SAL, floor: float = 200_000):
 
 def problem_report(df: DataFrame, key: str, value: str = SAL, floor: float = 200_000) -> DataFrame:
     """FLT-06 report: problem rows by ``key`` with their share of all problem rows (%)."""
-    from pyspark.sql import Window
-
     p = df.where(F.col(value) < floor).groupBy(key).agg(F.count(F.lit(1)).alias("problemas"))
-    return p.select(key, "problemas", F.round(
-        F.col("problemas") * 100.0 / F.sum("problemas").over(Window.partitionBy()), 4).alias("pct"))
+    total = p.agg(F.sum("problemas").alias("_total"))
+    return (p.join(F.broadcast(total), how="inner", on=F.lit(True))
+            .select(key, "problemas", F.round(F.col("problemas") * 100.0 / F.col("_total"), 4).alias("pct")))
 
 
 def in_lists(df: DataFrame, **allowed) -> DataFrame:

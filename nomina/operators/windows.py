@@ -25,9 +25,10 @@ def running_share(grouped: DataFrame, order: str, measure: str) -> DataFrame:
     the unpartitioned window runs over a bounded number of rows.
     """
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum(measure).over(Window.partitionBy())
-    return grouped.select("*", F.sum(measure).over(w).alias("acumulado"),
-                          (F.sum(measure).over(w) / total).alias("participacion_acumulada"))
+    total = grouped.agg(F.sum(measure).alias("_total"))
+    out = grouped.select("*", F.sum(measure).over(w).alias("acumulado"))
+    return (out.join(F.broadcast(total), how="inner", on=F.lit(True))
+            .withColumn("participacion_acumulada", F.col("acumulado") / F.col("_total")).drop("_total"))
 
 
 def top_n_per_group(df: DataFrame, group: str, item: str, n: int = 5) -> DataFrame:
@@ -51,8 +52,9 @@ def top_n_summary(df: DataFrame, group: str, item: str, n: int = 10) -> DataFram
 
 def top_issues(issues: DataFrame, kind: str, order: str, per_kind: int = 10, overall: int = 20) -> DataFrame:
     """WIN-04: first ``per_kind`` issues per type, then the first ``overall`` of those."""
-    w = Window.partitionBy(kind).orderBy(order)
-    first = issues.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_kind).drop("_r")
+    from nomina.operators.sampling import top_k_per_group
+
+    first = top_k_per_group(issues, kind, [F.col(order)], F.lit(per_kind), salt_key=order).drop("rango")
     return first.orderBy(kind, order).limit(overall)
 
 
@@ -65,6 +67,26 @@ def batch_numbers(keys: DataFrame, order: str, size: int, max_batches: int | Non
     ordered = keys.orderBy(order)
     if max_batches is not None:
         ordered = ordered.limit(size * max_batches)
-    w = Window.orderBy(order)
-    return ordered.withColumn("posicion", F.row_number().over(w)).withColumn(
-        "lote", F.floor((F.col("posicion") - 1) / F.lit(size)).cast("int"))
+    numbered = dense_index(ordered, order, "posicion", start=1)
+    return numbered.withColumn("lote", F.floor((F.col("posicion") - 1) / F.lit(size)).cast("int"))
+
+
+# Rows above which positions are assigned by the distributed index instead of one window.
+WINDOW_INDEX_ROWS = 1_000_000
+
+
+def dense_index(df: DataFrame, order: str, name: str = "i", start: int = 0) -> DataFrame:
+    """Consecutive positions in ``order``.
+
+    Up to ``WINDOW_INDEX_ROWS`` rows (counted, so the bound is proven) a single
+    ``row_number`` window is used; beyond it the sorted frame is numbered with
+    ``zipWithIndex``, which computes per-partition offsets and numbers every
+    partition in parallel (the one place an RDD call is needed: DataFrames have
+    no distributed consecutive index).
+    """
+    if df.limit(WINDOW_INDEX_ROWS + 1).count() <= WINDOW_INDEX_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1 + start)
+    ordered = df.orderBy(order)
+    schema = ordered.schema.add(name, "long")
+    rdd = ordered.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1] + start))
+    return df.sparkSession.createDataFrame(rdd, schema)

@@ -89,3 +89,15 @@ def test_progress_merge_is_order_independent(spark, sf_small):
     a, b, c = att.randomSplit([0.3, 0.3, 0.4], seed=5)
     merged = PR.merge_progress(PR.merge_progress(PR.progress(c), PR.progress(a)), PR.progress(b))
     assert sorted(map(tuple, merged.select(*PR.PUBLIC_COLS).collect())) == sorted(map(tuple, full.collect()))
+
+
+def test_dense_index_both_paths(spark, monkeypatch):
+    from nomina.operators import windows as W
+
+    df = spark.createDataFrame([(f"k{i:03d}",) for i in range(57)], "k string").repartition(5)
+    small = {r["k"]: r["i"] for r in W.dense_index(df, "k").collect()}
+    monkeypatch.setattr(W, "WINDOW_INDEX_ROWS", 10)
+    big = {r["k"]: r["i"] for r in W.dense_index(df, "k").collect()}
+    assert small == big == {f"k{i:03d}": i for i in range(57)}
+    b = W.batch_numbers(df, "k", 20)
+    assert sorted(r["lote"] for r in b.collect()) == [0] * 20 + [1] * 20 + [2] * 17
