@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomina.operators.aggregates import with_quantiles
-from nomina.operators.ranks import cumulative_shares, exact_quantiles, gini
+from nomina.operators.ranks import cumulative_shares, exact_quantiles, gini, value_ranks
 
 SAL = "sueldo_bruto"
 
@@ -80,6 +80,27 @@ def lorenz(df: DataFrame, value: str = SAL) -> DataFrame:
     return cumulative_shares(df, value).select(value, "cnt", "pop_share", "value_share")
 
 
+def lorenz_points(df: DataFrame, value: str = SAL, k: int = 100, by=()) -> DataFrame:
+    """STA-08 downsampled: the Lorenz curve at population shares j/k, j = 1..k.
+
+    Point j sits at rank t_j = ceil(j*n/k).  Each distinct-value row of the
+    rank table emits exactly the j whose rank falls in its span
+    [below+1, below+cnt], so the output has k rows per group and no row is
+    sorted or gathered: cum. value at rank t = below_sum + x * (t - below).
+    """
+    by = list(by)
+    r = value_ranks(df, value, by)
+    kk = F.lit(k).cast("long")
+    j_lo = F.floor(F.col("below") * kk / F.col("n")).cast("long") + 1
+    j_hi = F.floor((F.col("below") + F.col("cnt")) * kk / F.col("n")).cast("long")
+    pts = r.where(j_hi >= j_lo).select(*by, value, "below", "below_sum", "n", "total",
+                                       F.explode(F.sequence(j_lo, j_hi)).alias("j"))
+    t = F.ceil(F.col("j") * F.col("n") / kk)
+    return pts.select(*by, F.col("j").cast("int").alias("punto"), (t / F.col("n")).alias("pop_share"),
+                      F.when(F.col("total") > 0, (F.col("below_sum") + F.col(value) * (t - F.col("below")))
+                             / F.col("total")).alias("value_share"))
+
+
 def inequality_table(df: DataFrame, key: str = "categoria_organismo", value: str = SAL) -> DataFrame:
     """AGG-15: per group n, mean, std, min, max, Gini (3 dp), CV (2 dp), by Gini."""
     v = F.col(value)

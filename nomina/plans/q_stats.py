@@ -102,13 +102,13 @@ def sta09_outliers_iqr_summary(spark, sf_dir):
 
 
 @query("sta09_outliers_iqr_top10", """
-WITH q AS (SELECT quantile_cont(sueldo_bruto, 0.25) AS q1, quantile_cont(sueldo_bruto, 0.75) AS q3 FROM payroll)
-SELECT id, organismo, sueldo_bruto FROM payroll, q
-WHERE sueldo_bruto < q1 - 1.5 * (q3 - q1) OR sueldo_bruto > q3 + 1.5 * (q3 - q1)
-ORDER BY sueldo_bruto DESC, id LIMIT 10""")
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, event_type, value FROM events, q
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)
+ORDER BY value DESC, event_id LIMIT 10""", payroll=False)
 def sta09_outliers_iqr_top10(spark, sf_dir):
-    o = ST.outliers_iqr(payroll(spark, sf_dir))
-    return ST.top_rows(o, SAL, 10, "id").select("id", "organismo", SAL)
+    o = ST.outliers_iqr(table(spark, sf_dir, "events"), "value")
+    return ST.top_rows(o, "value", 10, "event_id").select("event_id", "event_type", "value")
 
 
 @query("sta10_outliers_z_summary", """
@@ -121,14 +121,12 @@ def sta10_outliers_z_summary(spark, sf_dir):
 
 
 @query("sta10_outliers_z_top10", """
-WITH s AS (SELECT avg(l_extendedprice) AS mu, stddev_pop(l_extendedprice) AS sd FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, s
-WHERE abs(l_extendedprice - mu) / sd > 3 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10""")
+WITH s AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM events)
+SELECT event_id, user_id, value FROM events, s
+WHERE abs(value - mu) / sd > 3 ORDER BY value DESC, event_id LIMIT 10""", payroll=False)
 def sta10_outliers_z_top10(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    o = ST.outliers_z(li, "l_extendedprice")
-    return (o.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(10)
-            .select("l_orderkey", "l_linenumber", "l_extendedprice"))
+    o = ST.outliers_z(table(spark, sf_dir, "events"), "value")
+    return ST.top_rows(o, "value", 10, "event_id").select("event_id", "user_id", "value")
 
 
 def _corr_sql(cols, top=None):
@@ -255,3 +253,14 @@ SELECT categoria_organismo, n, round(m, 2) AS promedio, round(sd, 2) AS desv_std
   round(sd / m, 2) AS cv FROM g""")
 def agg15_inequality_table(spark, sf_dir):
     return I.inequality_table(FL.closed_range(categorised(spark, sf_dir)))
+
+
+@query("sta08_lorenz_points", """
+WITH v AS (SELECT sueldo_bruto AS x, row_number() OVER (ORDER BY sueldo_bruto) AS i,
+  sum(sueldo_bruto) OVER (ORDER BY sueldo_bruto ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cs,
+  count(*) OVER () AS n, sum(sueldo_bruto) OVER () AS t FROM payroll WHERE sueldo_bruto IS NOT NULL),
+g AS (SELECT CAST(j AS INTEGER) AS j FROM range(1, 101) r(j))
+SELECT g.j AS punto, round(v.i / v.n, 8) AS pop_share, round(v.cs / v.t, 8) AS value_share
+FROM g JOIN v ON v.i = CAST(ceil(g.j * v.n / 100.0) AS BIGINT)""")
+def sta08_lorenz_points(spark, sf_dir):
+    return rounded(I.lorenz_points(payroll(spark, sf_dir), SAL, 100), {"pop_share": 8, "value_share": 8})
