@@ -32,6 +32,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nomina.session import ensure_checkpoint_dir
+
 _BUCKET = "_bucket"
 # Distinct (group, value) rows below which one window per group is used; above
 # it the value axis is bucketed so no task sees more than ~1/B of the table.
@@ -57,6 +59,7 @@ def value_ranks(df: DataFrame, value: str, by=(), n_buckets: int | None = None)
     # The distinct-value table feeds two jobs (split points, then ranks): write it
     # once to the shared checkpoint dir so the raw input is scanned only once and
     # a lost executor recomputes from here, not from the source.
+    ensure_checkpoint_dir(df.sparkSession)
     vals = vals.checkpoint(eager=True)
     wsum = F.col(value) * F.col("cnt")
     if n_buckets is None and vals.count() <= SMALL_DISTINCT:

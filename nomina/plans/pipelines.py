@@ -26,6 +26,7 @@ from nomina.operators import quality as Q
 from nomina.operators import sampling as G
 from nomina.operators import topk as TK
 from nomina.operators.ranks import avg_rank_percentile
+from nomina.session import ensure_checkpoint_dir
 from nomina.sources import files as FS
 from nomina.sources import sinks as SK
 
@@ -58,6 +59,7 @@ def monthly_etl(spark: SparkSession, raw_root: str, sources: list[str], as_of: s
     if out_dir:
         # three consumers (two sinks + statistics): materialise once in the shared
         # checkpoint dir instead of re-scanning and re-ranking the raw files each time
+        ensure_checkpoint_dir(spark)
         clean = clean.checkpoint(eager=True)
     stats = A.summary_stats(clean)
     if out_dir:
@@ -90,13 +92,21 @@ def final_consolidation(staff: DataFrame, other: DataFrame, source: str) -> Data
     return FL.open_range(MP.union_by_name(MP.project_common(s, common), MP.project_common(other, common)))
 
 
-def enrich(df: DataFrame) -> DataFrame:
+def enrich(df: DataFrame, materialize: bool = False) -> DataFrame:
     """PIP-04: clean (> 100k, fill, upper class) -> category -> band + avg-rank percentile ->
-    body and class statistics joined back."""
+    body and class statistics joined back.
+
+    The cleaned frame feeds four consumers (percentile ranks, body stats, class
+    stats, the rows themselves); ``materialize`` writes it once to the shared
+    checkpoint dir instead of recomputing the upstream joins four times.
+    """
     d = FL.floor_filter(df.where(F.col(SAL).isNotNull()))
     d = fill_text(d).withColumn("estamento", F.upper("estamento"))
     d = d.withColumn("categoria_organismo", C.categorize_11("organismo"))
     d = d.withColumn("sueldo_categoria", C.band_enrich(SAL))
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        d = d.checkpoint(eager=True)
     d = avg_rank_percentile(d, SAL, "sueldo_percentil")
     return J.enrich_class(J.enrich_body(d))
 

@@ -49,6 +49,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """Identity of the running application (used to key per-session memos)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        return spark.conf.get("spark.app.id", "nomina")
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.default.parallelism", spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint dir; create a scratch one only in local mode."""
     sc = spark.sparkContext
@@ -90,7 +105,7 @@ _BOUND_CACHE: dict[tuple[str, str, int], bool] = {}
 def within_bound(spark: SparkSession, key: str, df: DataFrame, max_rows: int) -> bool:
     """Memoised ``rows(df) <= max_rows`` for an immutable input identified by ``key``
     (e.g. its path): the bounded count runs once per session, not once per query."""
-    k = (spark.sparkContext.applicationId, key, max_rows)
+    k = (app_id(spark), key, max_rows)
     if k not in _BOUND_CACHE:
         _BOUND_CACHE[k] = df.limit(max_rows + 1).count() <= max_rows
     return _BOUND_CACHE[k]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomina.session import within_bound
+from nomina.session import app_id, default_parallelism, within_bound
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -43,10 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Large inputs already have thousands of splits and are left untouched.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (app_id(spark), path)
     if key not in _TABLE_CACHE:
         df = spark.read.parquet(path)
-        par = spark.sparkContext.defaultParallelism
+        par = default_parallelism(spark)
         if name in FACT_KEYS and df.rdd.getNumPartitions() < par:
             df = df.repartition(par, FACT_KEYS[name])
         _TABLE_CACHE[key] = df
