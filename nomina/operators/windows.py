@@ -79,14 +79,22 @@ def dense_index(df: DataFrame, order: str, name: str = "i", start: int = 0) -> D
     """Consecutive positions in ``order``.
 
     Up to ``WINDOW_INDEX_ROWS`` rows (counted, so the bound is proven) a single
-    ``row_number`` window is used; beyond it the sorted frame is numbered with
-    ``zipWithIndex``, which computes per-partition offsets and numbers every
-    partition in parallel (the one place an RDD call is needed: DataFrames have
-    no distributed consecutive index).
+    ``row_number`` window is used.  Beyond it: a distributed sort tags every
+    row with ``monotonically_increasing_id`` (partition index in the high
+    bits), the tagged frame is checkpointed so the ids are fixed, per-partition
+    counts give exclusive offsets (one row per partition, broadcast), and
+    ``offset + position within partition`` is the consecutive index.
     """
     if df.limit(WINDOW_INDEX_ROWS + 1).count() <= WINDOW_INDEX_ROWS:
         return df.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1 + start)
-    ordered = df.orderBy(order)
-    schema = ordered.schema.add(name, "long")
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1] + start))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    from nomina.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = df.orderBy(order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    part = F.shiftright(F.col("_mid"), 33)
+    counts = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(
+        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    j = tagged.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+    idx = F.col("_o") + (F.col("_mid") - F.shiftleft(F.col("_p"), 33)) + F.lit(start)
+    return j.withColumn(name, idx).drop("_p", "_o", "_mid")
