@@ -28,6 +28,8 @@ rows smaller, the 1-based positions are ``below+1 .. below+k``.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ from nomina.session import ensure_checkpoint_dir
 _BUCKET = "_bucket"
 # Distinct (group, value) rows below which one window per group is used; above
 # it the value axis is bucketed so no task sees more than ~1/B of the table.
-SMALL_DISTINCT = 1_000_000
+SMALL_DISTINCT = int(os.environ.get("NOMINA_SMALL_DISTINCT", 1_000_000))
 
 
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
