@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomina.operators.aggregates import with_quantiles
 from nomina.operators.ranks import cumulative_shares, exact_quantiles, gini, value_ranks
 
 SAL = "sueldo_bruto"
@@ -115,5 +114,3 @@ def inequality_table(df: DataFrame, key: str = "categoria_organismo", value: str
                     F.round(F.try_divide(F.col("desv_std"), F.col("promedio")), 2).alias("cv"))
             .orderBy(F.desc("gini"), F.asc(key)))
 
-
-_ = with_quantiles  # re-exported for callers composing reports

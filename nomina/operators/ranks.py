@@ -156,6 +156,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
     return r.groupBy(*by).agg(*aggs).select(*by, *outs)
 
 
+def approx_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
+                     accuracy: int = 10_000) -> DataFrame:
+    """Opt-in approximate quantiles: one partially-aggregated pass (``percentile_approx``,
+    relative rank error ~1/accuracy).  For reports where exactness is not required and
+    the distinct-value table would be as large as the input (e.g. salaries with cents)."""
+    qs = list(probs.items())
+    arr = F.percentile_approx(F.col(value).cast("double"), [q for _, q in qs], accuracy)
+    out = df.groupBy(*by).agg(arr.alias("_q"))
+    return out.select(*by, *[F.col("_q")[i].alias(name) for i, (name, _) in enumerate(qs)])
+
+
 def cumulative_shares(df: DataFrame, value: str, by=(), n_buckets: int | None = None) -> DataFrame:
     """Per distinct value: cumulative population share and cumulative value share.
 

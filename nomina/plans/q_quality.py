@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from nomina.functions import categorize as C
-from nomina.functions import money as M
 from nomina.operators import filters as FL
 from nomina.operators import mapping as MP
 from nomina.operators import quality as Q
@@ -16,7 +15,6 @@ from nomina.plans import sqltext as S
 from nomina.plans.common import SAL, categorised, payroll, rounded, table
 from nomina.plans.registry import query
 from nomina.session import scratch_path
-from nomina.sources.tables import PAYROLL_SQL
 
 CAT11 = S.categorize_11("organismo")
 
@@ -483,5 +481,3 @@ def map17_fallback_literals(spark, sf_dir):
                            F.lit(".csv")).alias("url_origen"))
     return MP.fallback_literals(df).select("id", "fuente", "archivo_origen")
 
-
-_ = (M, PAYROLL_SQL)

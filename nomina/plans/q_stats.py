@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from nomina.operators import filters as FL
 from nomina.operators import inequality as I
 from nomina.operators import stats as ST

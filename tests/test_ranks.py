@@ -89,3 +89,12 @@ def test_small_and_bucketed_paths_agree(spark):
     small = sorted(map(tuple, R.value_ranks(df, "v", ("k",)).select(*cols).collect()))
     bucketed = sorted(map(tuple, R.value_ranks(df, "v", ("k",), n_buckets=7).select(*cols).collect()))
     assert small == bucketed
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    rnd = random.Random(9)
+    xs = [rnd.random() * 1000 for _ in range(3000)]
+    df = _frame(spark, xs)
+    a = R.approx_quantiles(df, "v", {"p50": 0.5, "p90": 0.9}).first()
+    e = R.exact_quantiles(df, "v", {"p50": 0.5, "p90": 0.9}).first()
+    assert abs(a["p50"] - e["p50"]) < 5 and abs(a["p90"] - e["p90"]) < 5

@@ -1,7 +1,6 @@
 """A third of all rows on one key: grouped operators stay exact (pandas brute force)."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,4 +60,3 @@ def test_percentile_rank_exact_under_skew(skewed):
     got = R.avg_rank_percentile(df, "sueldo_bruto", n_buckets=16).toPandas().set_index("id").sort_index()
     exp = (pdf.set_index("id").sort_index()["sueldo_bruto"].rank(pct=True) * 100)
     np.testing.assert_allclose(got["percentil"].astype(float), exp.astype(float), rtol=1e-12, equal_nan=True)
-    _ = pd  # pandas is the brute-force reference

@@ -4,8 +4,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from nomina.session import scratch_path
 from nomina.sources import documents as D
@@ -59,4 +58,3 @@ def test_manifest_classification_and_upsert(spark):
     assert cls == {"a": "SAME", "b": "CHANGED", "c": "NEW"}
     new = {r["clave"]: r["sha256"] for r in D.upsert_manifest(p, D.classify_against_manifest(c, p)).collect()}
     assert new == {r["clave"]: r["sha256"] for r in c.collect()}
-    _ = (F, LongType)
