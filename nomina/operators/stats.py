@@ -179,7 +179,8 @@ def normal_overlay(df: DataFrame, value: str = SAL, points: int = 100, bins: int
     grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
     j = _attach(grid, st)
     x = F.col("_mn") + (F.col("_mx") - F.col("_mn")) * F.col("i") / F.lit(float(points - 1))
-    pdf = F.exp(-0.5 * ((x - F.col("_mu")) / F.col("_sd")) ** 2) / (F.col("_sd") * math.sqrt(2 * math.pi))
+    z = F.try_divide(x - F.col("_mu"), F.col("_sd"))          # null (no curve) when std is 0
+    pdf = F.try_divide(F.exp(-0.5 * z ** 2), F.col("_sd") * math.sqrt(2 * math.pi))
     y = pdf * F.col("_n") * (F.col("_mx") - F.col("_mn")) / F.lit(float(bins))
     return j.select("i", x.alias("x"), y.alias("y"))
 

@@ -28,7 +28,8 @@ def running_share(grouped: DataFrame, order: str, measure: str) -> DataFrame:
     total = grouped.agg(F.sum(measure).alias("_total"))
     out = grouped.select("*", F.sum(measure).over(w).alias("acumulado"))
     return (out.join(F.broadcast(total), how="inner", on=F.lit(True))
-            .withColumn("participacion_acumulada", F.col("acumulado") / F.col("_total")).drop("_total"))
+            .withColumn("participacion_acumulada", F.try_divide(F.col("acumulado"), F.col("_total")))
+            .drop("_total"))
 
 
 def top_n_per_group(df: DataFrame, group: str, item: str, n: int = 5) -> DataFrame:
