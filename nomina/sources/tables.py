@@ -49,7 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key not in _TABLE_CACHE:
         df = spark.read.parquet(path)
         par = default_parallelism(spark)
-        if name in FACT_KEYS and df.rdd.getNumPartitions() < par:
+        try:
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 - no RDD view (e.g. remote sessions): leave the scan as is
+            splits = par
+        if name in FACT_KEYS and splits < par:
             df = df.repartition(par, FACT_KEYS[name])
         _TABLE_CACHE[key] = df
     return _TABLE_CACHE[key]
