@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomina.operators.ranks import exact_quantiles
+from nomina.operators.scalars import attach_row
 
 SAL = "sueldo_bruto"
 
 
 def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Attach a single-row aggregate ``b`` to single-row aggregate ``a``."""
-    return a.join(F.broadcast(b), how="inner", on=F.lit(True))
+    """Attach a single-row aggregate ``b`` to ``a`` (scalar subquery, no join)."""
+    return attach_row(a, b)
 
 
 def with_quantiles(agg: DataFrame, df: DataFrame, value: str, probs: dict, by=()) -> DataFrame:

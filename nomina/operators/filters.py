@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomina.operators.ranks import exact_quantiles
+from nomina.operators.scalars import attach_row
 
 SAL = "sueldo_bruto"
 
@@ -23,10 +24,10 @@ def quantile_trim(df: DataFrame, value: str = SAL, lo: float = 0.01, hi: float =
     """FLT-02: keep rows between the exact lo and hi quantiles, inclusive.
 
     The bounds are one single-row aggregate (computed distributively by the
-    rank table); attaching it is a join against exactly one row.
+    rank table), attached as a scalar subquery and used in a plain filter.
     """
     b = exact_quantiles(df, value, {"_qlo": lo, "_qhi": hi})
-    return (df.join(F.broadcast(b), F.col(value).between(F.col("_qlo"), F.col("_qhi")))
+    return (attach_row(df, b).where(F.col(value).between(F.col("_qlo"), F.col("_qhi")))
             .drop("_qlo", "_qhi"))
 
 
@@ -54,7 +55,7 @@ def problem_report(df: DataFrame, key: str, value: str = SAL, floor: float = 200
     """FLT-06 report: problem rows by ``key`` with their share of all problem rows (%)."""
     p = df.where(F.col(value) < floor).groupBy(key).agg(F.count(F.lit(1)).alias("problemas"))
     total = p.agg(F.sum("problemas").alias("_total"))
-    return (p.join(F.broadcast(total), how="inner", on=F.lit(True))
+    return (attach_row(p, total)
             .select(key, "problemas", F.round(F.col("problemas") * 100.0 / F.col("_total"), 4).alias("pct")))
 
 

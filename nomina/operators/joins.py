@@ -76,8 +76,10 @@ def catalogue_flatten(catalogue: DataFrame, map_col: str, prefix: str = "Municip
 
 
 def scalar_compare(grouped: DataFrame, df: DataFrame, measure: str, value: str = SAL) -> DataFrame:
-    """JOI-09: attach the global mean to every group row (one-row broadcast) and diff."""
+    """JOI-09: attach the global mean to every group row (scalar subquery) and diff."""
+    from nomina.operators.scalars import attach_row
+
     g = df.agg(F.avg(value).alias("promedio_global"))
-    j = grouped.join(F.broadcast(g), how="inner", on=F.lit(True))
+    j = attach_row(grouped, g)
     return j.withColumn("diferencia", F.col(measure) - F.col("promedio_global")).withColumn(
         "diferencia_pct", F.try_divide(F.col("diferencia") * 100.0, F.col("promedio_global")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from nomina.functions import money as M
 from nomina.functions import text as T
 from nomina.functions.geo import city_from_text
+from nomina.operators.scalars import attach_row
 
 SAL = "sueldo_bruto"
 
@@ -218,7 +219,7 @@ def column_profile(df: DataFrame, keyword: str, samples: int = 5) -> DataFrame:
         stats = df.agg(F.count(c).alias("no_nulos"), F.countDistinct(c).alias("distintos"))
         sample = (df.select(c.cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
                   .orderBy("v").limit(samples).agg(F.sort_array(F.collect_list("v")).alias("muestra")))
-        out.append(stats.join(F.broadcast(sample), how="inner", on=F.lit(True)).select(
+        out.append(attach_row(stats, sample).select(
             F.lit(f.name).alias("columna"), F.lit(f.dataType.simpleString()).alias("tipo"),
             "no_nulos", "distintos", F.array_join("muestra", " | ").alias("muestra")))
     return reduce(lambda a, b: a.unionByName(b), out)
@@ -234,4 +235,4 @@ def slice_diff(before: DataFrame, after: DataFrame, cond: Column, key: str = "id
     lost = before.where(cond).join(after.select(key), key, "left_anti").agg(
         F.count(F.lit(1)).alias("perdidos"))
     both = stats(before, "antes").unionByName(stats(after, "despues"))
-    return both.join(F.broadcast(lost), how="inner", on=F.lit(True))
+    return attach_row(both, lost)

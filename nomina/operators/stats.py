@@ -11,18 +11,19 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomina.operators.ranks import exact_quantiles
+from nomina.operators.scalars import attach_row
 
 SAL = "sueldo_bruto"
 CORR_PAIRS_PER_PASS = 14
 
 
 def _attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a single-row aggregate to every row (broadcast of one row)."""
-    return df.join(F.broadcast(one_row), how="inner", on=F.lit(True))
+    """Attach a single-row aggregate to every row (one scalar subquery)."""
+    return attach_row(df, one_row)
 
 
 def iqr_bounds(df: DataFrame, value: str = SAL, k: float = 1.5) -> DataFrame:
@@ -136,7 +137,7 @@ def histogram(df: DataFrame, value: str = SAL, bins: int = 30, by=()) -> DataFra
     """STA-14/15: equal-width bins over [min, max] (last bin closed), empty bins kept.
 
     Bin edges come from one global min/max row; counting is a grouped
-    aggregate; the bin index domain is ``spark.range(bins)`` (bounded).
+    aggregate; every key gets the bounded bin domain ``0..bins-1`` by ``explode``.
     """
     by = list(by)
     x = df.where(F.col(value).isNotNull())
@@ -145,11 +146,8 @@ def histogram(df: DataFrame, value: str = SAL, bins: int = 30, by=()) -> DataFra
     idx = F.when(w == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("_mn")) / w), F.lit(bins - 1))).cast("int")
     counts = _attach(x, mm).groupBy(*by, idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spark: SparkSession = df.sparkSession
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    if by:
-        keys = x.select(*by).distinct()
-        grid = keys.join(F.broadcast(grid), how="inner", on=F.lit(True))
+    keys = x.select(*by).distinct() if by else mm.select()
+    grid = keys.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     edges = _attach(grid, mm).select(
         *by, "bin", (F.col("_mn") + F.col("bin") * w).alias("desde"),
         (F.col("_mn") + (F.col("bin") + 1) * w).alias("hasta"))

@@ -25,9 +25,11 @@ def running_share(grouped: DataFrame, order: str, measure: str) -> DataFrame:
     the unpartitioned window runs over a bounded number of rows.
     """
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from nomina.operators.scalars import attach_row
+
     total = grouped.agg(F.sum(measure).alias("_total"))
     out = grouped.select("*", F.sum(measure).over(w).alias("acumulado"))
-    return (out.join(F.broadcast(total), how="inner", on=F.lit(True))
+    return (attach_row(out, total)
             .withColumn("participacion_acumulada", F.try_divide(F.col("acumulado"), F.col("_total")))
             .drop("_total"))
 

@@ -26,6 +26,7 @@ from nomina.operators import quality as Q
 from nomina.operators import sampling as G
 from nomina.operators import topk as TK
 from nomina.operators.ranks import avg_rank_percentile
+from nomina.operators.scalars import attach_row
 from nomina.session import ensure_checkpoint_dir
 from nomina.sources import files as FS
 from nomina.sources import sinks as SK
@@ -162,10 +163,10 @@ def inequality_report(df: DataFrame) -> DataFrame:
     mm = I.max_min_ratio(d).select(F.col("ratio").alias("ratio_max_min"))
     pr = I.percentile_ratio(d).select("p90_p10", "p75_p25")
     cv = I.cv(d).select("cv")
-    # four single-row aggregates side by side (each broadcast is exactly one row)
+    # four single-row aggregates side by side (scalar subqueries, no joins)
     one = g
     for part in (mm, pr, cv):
-        one = one.join(F.broadcast(part), how="inner", on=F.lit(True))
+        one = attach_row(one, part)
     return one.withColumn("desigualdad", C.inequality_label("gini"))
 
 

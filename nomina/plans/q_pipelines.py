@@ -142,8 +142,9 @@ def pip08_dashboard_query(spark, sf_dir):
     r = P.dashboard_query(payroll(spark, sf_dir), [("estamento", "BUILDING"), ("fuente", "Todas")],
                           lo=100_000, hi=10_000_000)
     m = r["metricas"].select("total_registros", "promedio_sueldo", "mediana_sueldo")
-    one = m.join(F.broadcast(r["equidad"].select("ratio_max_min")), how="inner", on=F.lit(True)) \
-        .join(F.broadcast(r["gini"].select("gini")), how="inner", on=F.lit(True))
+    from nomina.operators.scalars import attach_row
+
+    one = attach_row(attach_row(m, r["equidad"].select("ratio_max_min")), r["gini"].select("gini"))
     return rounded(one, {"promedio_sueldo": 2, "mediana_sueldo": 2, "ratio_max_min": 6, "gini": 6})
 
 
