@@ -18,7 +18,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Fixed defaults that matter for correctness across engines.
+# Engine defaults for sessions built here (AQE + skew join on, UTC so timestamp
+# formatting matches the SQL oracle, no UI server).
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

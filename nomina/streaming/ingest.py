@@ -37,6 +37,16 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _committed(spark: SparkSession, path: str) -> bool:
+    """True only for a fully committed write (its ``_SUCCESS`` marker exists), so a
+    version left half-written by a crashed batch is redone on replay."""
+    try:
+        spark.read.text(f"{path}/_SUCCESS")
+        return True
+    except AnalysisException:
+        return False
+
+
 def _version(base: str, batch_id: int) -> str:
     return f"{base}/v={batch_id:010d}"
 
@@ -77,7 +87,7 @@ def run_progress_stream(spark: SparkSession, landing: str, schema: StructType, s
     log_dir = f"{state_dir}_sesiones"
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        if _read(spark, _version(state_dir, batch_id)) is not None:
+        if _committed(spark, _version(state_dir, batch_id)):
             return  # replay of a committed batch
         start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         batch = batch.persist()
@@ -112,7 +122,7 @@ def run_content_ingest(spark: SparkSession, landing: str, schema: StructType, ou
     written last, so a replayed batch is detected and skipped.
     """
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        if _read(spark, _version(manifest_dir, batch_id)) is not None:
+        if _committed(spark, _version(manifest_dir, batch_id)):
             return
         prev = _previous(spark, manifest_dir, batch_id)
         cur = content_manifest(batch.dropDuplicates([key, content]), key, content)
