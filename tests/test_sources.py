@@ -58,3 +58,20 @@ def test_manifest_classification_and_upsert(spark):
     assert cls == {"a": "SAME", "b": "CHANGED", "c": "NEW"}
     new = {r["clave"]: r["sha256"] for r in D.upsert_manifest(p, D.classify_against_manifest(c, p)).collect()}
     assert new == {r["clave"]: r["sha256"] for r in c.collect()}
+
+
+def test_load_gate_failures(spark):
+    import pytest
+
+    from nomina.sources.sinks import LoadGateError, load_gate
+
+    ok = spark.createDataFrame([("A", 1.0), (None, 2.0)], "organismo string, sueldo_bruto double")
+    assert load_gate(ok)["n"] == 2
+    with pytest.raises(LoadGateError, match="faltan columnas"):
+        load_gate(ok.drop("organismo"))
+    with pytest.raises(LoadGateError, match="no hay registros"):
+        load_gate(ok.limit(0))
+    with pytest.raises(LoadGateError, match="ningún registro"):
+        load_gate(spark.createDataFrame([("A", None)], "organismo string, sueldo_bruto double"))
+    with pytest.raises(LoadGateError, match="tasa de nulos"):
+        load_gate(ok, max_null_rate=0.25)
