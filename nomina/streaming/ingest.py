@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from nomina.sources.documents import classify_against_manifest, content_manifest
+from nomina.sources.documents import classify_against_manifest
 from nomina.streaming.progress import PUBLIC_COLS, attempts_from_events, merge_progress, progress
 
 
@@ -125,16 +125,21 @@ def run_content_ingest(spark: SparkSession, landing: str, schema: StructType, ou
         if _committed(spark, _version(manifest_dir, batch_id)):
             return
         prev = _previous(spark, manifest_dir, batch_id)
-        cur = content_manifest(batch.dropDuplicates([key, content]), key, content)
+        # hash once (narrow); de-duplicate and shuffle on (key, sha256), never on the text itself
+        hashed = batch.withColumn("_sha", F.sha2(F.col(content), 256)).persist()
+        cur = hashed.select(F.col(key).alias("clave"), F.col("_sha").alias("sha256"),
+                            F.lit(None).cast("string").alias("ruta")).dropDuplicates(["clave", "sha256"])
         if prev is None:
             prev = cur.limit(0)
         cls = classify_against_manifest(cur, prev).where(F.col("estado") != "SAME").dropDuplicates(["clave"])
-        fresh = batch.join(cls.select(F.col("clave").alias(key), "sha256"), key).where(
-            F.sha2(F.col(content), 256) == F.col("sha256")).dropDuplicates([key]).drop("sha256")
+        want = cls.select(F.col("clave").alias(key), F.col("sha256").alias("_want"))
+        fresh = (hashed.join(want, key).where(F.col("_sha") == F.col("_want"))
+                 .dropDuplicates([key]).drop("_sha", "_want"))
         fresh.withColumn("lote", F.lit(batch_id)).write.mode("overwrite").parquet(_version(out_dir, batch_id))
         kept = prev.join(cls.select("clave"), "clave", "left_anti")
         kept.unionByName(cls.select("clave", "sha256", "ruta")).write.mode("overwrite").parquet(
             _version(manifest_dir, batch_id))
+        hashed.unpersist()
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(landing))
