@@ -32,6 +32,25 @@ BASE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
+    """Sizing for a real cluster: shuffle partitions ~ input / 128 MB (at least 2 waves of
+    tasks), scan splits and AQE advisory size at the same target so partitions fit in
+    executor memory without spilling; skew handling for partitions 5x the median."""
+    slots = executors * cores_per_executor
+    parts = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    size = f"{target_partition_bytes // (1024 * 1024)}m"
+    return {
+        **BASE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "nomina", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the engine defaults above."""
