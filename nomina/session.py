@@ -33,12 +33,19 @@ BASE_CONF = {
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 shuffle_bytes: int | None = None,
                  target_partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
-    """Sizing for a real cluster: shuffle partitions ~ input / 128 MB (at least 2 waves of
-    tasks), scan splits and AQE advisory size at the same target so partitions fit in
-    executor memory without spilling; skew handling for partitions 5x the median."""
+    """Sizing for a real cluster.
+
+    Shuffle partitions follow the bytes that are *shuffled* (default: 1/8 of the input,
+    since scans are column-pruned and aggregates combine map-side), at ~128 MB each and
+    at least two waves of tasks; scan splits and the AQE advisory size use the same
+    target so partitions fit in executor memory without spilling; skew handling kicks
+    in for partitions 5x the median.
+    """
     slots = executors * cores_per_executor
-    parts = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    shuffled = shuffle_bytes if shuffle_bytes is not None else input_bytes // 8
+    parts = max(2 * slots, -(-shuffled // target_partition_bytes))
     size = f"{target_partition_bytes // (1024 * 1024)}m"
     return {
         **BASE_CONF,
