@@ -132,11 +132,23 @@ def scl27_inequality_label(spark, sf_dir):
 
 
 @query("scl28_money_format", """
-SELECT organismo, '$' || format('{:,}', CAST(round_even(avg(sueldo_bruto), 0) AS BIGINT)) AS promedio_texto
-FROM payroll GROUP BY organismo""")
+WITH g AS (SELECT organismo, avg(sueldo_bruto) AS m, count(*) AS n FROM payroll GROUP BY organismo),
+t AS (SELECT avg(sueldo_bruto) AS mg, count(*) AS nt FROM payroll),
+d AS (SELECT organismo, m, round_even(m - mg, 0) AS dv, round(n * 100.0 / nt, 4) AS share FROM g, t)
+SELECT organismo, '$' || format('{:,}', CAST(round_even(m, 0) AS BIGINT)) AS promedio_texto,
+  CASE WHEN dv >= 0 THEN '+' ELSE '-' END || format('{:,}', CAST(abs(dv) AS BIGINT)) AS diferencia_texto,
+  format('{:,.1f}', share) || '%' AS participacion_texto FROM d""")
 def scl28_money_format(spark, sf_dir):
-    g = payroll(spark, sf_dir).groupBy("organismo").agg(F.avg(SAL).alias("_m"))
-    return g.select("organismo", U.money_format("_m").alias("promedio_texto"))
+    """'$1,234,567' means, '+1,234' / '-1,234' differences to the global mean, '12.3%' shares."""
+    from nomina.operators.scalars import attach_row
+
+    p = payroll(spark, sf_dir)
+    g = p.groupBy("organismo").agg(F.avg(SAL).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    g = attach_row(g, p.agg(F.avg(SAL).alias("_mg"), F.count(F.lit(1)).alias("_nt")))
+    share = F.round(F.col("_n") * 100.0 / F.col("_nt"), 4)
+    return g.select("organismo", U.money_format("_m").alias("promedio_texto"),
+                    U.signed_format(F.col("_m") - F.col("_mg")).alias("diferencia_texto"),
+                    U.pct_format(share, 1).alias("participacion_texto"))
 
 
 @query("scl29_ts_format_hours", """

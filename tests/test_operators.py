@@ -39,6 +39,7 @@ def test_geo_mismatch_and_fix(spark):
     rep = Q.geo_report(v).first()
     assert (rep["registros_municipales"], rep["registros_invalidos"]) == (2, 1)
     assert rep["tasa_validez"] == pytest.approx(50.0)
+    assert [tuple(r) for r in Q.geo_issues_by_type(v).collect()] == [("geographic_mismatch", 1)]
     fixed = {r["id"]: r["organismo"] for r in Q.geo_fix(v).collect()}
     assert fixed[1] == "Municipalidad de Santiago"
     assert Q.geo_fix(v, apply=False).count() == 1
