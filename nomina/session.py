@@ -112,26 +112,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int):
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a tiny job for dimension
-    tables).  Beyond the bound the frame is returned unhinted and the planner
-    (AQE) picks a shuffle join from runtime statistics instead.
-    """
-    from pyspark.sql import functions as F
-
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 _BOUND_CACHE: dict[tuple[str, str, int], bool] = {}
 
 
 def within_bound(spark: SparkSession, key: str, df: DataFrame, max_rows: int) -> bool:
     """Memoised ``rows(df) <= max_rows`` for an immutable input identified by ``key``
-    (e.g. its path): the bounded count runs once per session, not once per query."""
+    (e.g. its path): the bounded count reads at most ``max_rows + 1`` rows, once per
+    session.  Callers broadcast only when it holds; otherwise AQE picks the join
+    from runtime statistics."""
     k = (app_id(spark), key, max_rows)
     if k not in _BOUND_CACHE:
         _BOUND_CACHE[k] = df.limit(max_rows + 1).count() <= max_rows
