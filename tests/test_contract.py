@@ -47,3 +47,29 @@ def test_query_matches_oracle(spark, sf_small, duck, key):
     idx = [dcols.index(c) for c in order]
     d = sorted("|".join(_norm(r[i]) for i in idx) for r in cur.fetchall())
     assert s == d
+
+
+PLAN_SAMPLE = ["agg01_summary_stats", "agg11_category_stats", "agg17_share_of_total", "sta01_gini", "sta09_outliers_iqr_top10",
+               "sta14_histogram", "sta15_histogram_by_key", "flt02_quantile_trim", "joi09_scalar_compare",
+               "win02_running_share", "pip09_inequality_report", "val17_slice_diff", "scl28_money_format"]
+
+
+@pytest.mark.parametrize("key", PLAN_SAMPLE)
+def test_plans_have_no_cross_joins_or_python_udfs(spark, sf_small, key):
+    from tools.plan_audit import FORBIDDEN, plan_text
+
+    text = plan_text(E.queries()[key](spark, sf_small))
+    assert not [m for m in FORBIDDEN if m in text]
+
+
+def test_top_k_plans_as_take_ordered(spark, sf_small):
+    from tools.plan_audit import plan_text
+
+    assert "TakeOrderedAndProject" in plan_text(E.queries()["srt01_top_salaries"](spark, sf_small))
+
+
+def test_flagship_pushes_salary_filter_into_parquet(spark, sf_small):
+    from tools.plan_audit import plan_text
+
+    text = plan_text(E.queries()["agg11_category_stats"](spark, sf_small))
+    assert "GreaterThanOrEqual(sueldo_bruto,100000.0)" in text
