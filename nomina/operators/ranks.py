@@ -126,12 +126,16 @@ def avg_rank_percentile(df: DataFrame, value: str, out: str = "percentil",
     value is a skewed join key, which AQE's skew-join split handles (the rank
     side holds a single row per value).
     """
-    r = value_ranks(df, value, (), n_buckets)
-    pct = ((F.col("below") + (F.col("cnt") + 1) / 2.0) / F.col("n") * 100.0).alias(out)
-    rk = r.select(F.col(value).alias("_v"), pct)
+    rk = percentiles_from_ranks(value_ranks(df, value, (), n_buckets), value, out)
     return (df.join(rk, df[value].cast("double") == rk["_v"], "left").drop("_v"))
 
 
+def percentiles_from_ranks(r: DataFrame, value: str, out: str = "percentil", by=()) -> DataFrame:
+    """Average-rank percentile per distinct value of a rank table: ``(by..., _v, out)``."""
+    pct = ((F.col("below") + (F.col("cnt") + 1) / 2.0) / F.col("n") * 100.0).alias(out)
+    return r.select(*by, F.col(value).alias("_v"), pct)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
                     n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas/``percentile`` semantics) per group.
@@ -140,8 +144,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
     the next rank.  Each distinct value contributes through a conditional
     max, so the final step is one partially-aggregated ``groupBy``.
     """
+    return quantiles_from_ranks(value_ranks(df, value, by, n_buckets), value, probs, by)
+
+
+def quantiles_from_ranks(r: DataFrame, value: str, probs: dict[str, float], by=()) -> DataFrame:
+    """Exact quantiles per group from an existing rank table (see ``exact_quantiles``)."""
     by = list(by)
-    r = value_ranks(df, value, by, n_buckets)
     aggs, outs = [], []
     x, lo_b, hi_b = F.col(value), F.col("below"), F.col("below") + F.col("cnt")
     for name, q in probs.items():
