@@ -108,8 +108,12 @@ def _pos_sum(ranked: DataFrame, value: str) -> Column:
 def gini(df: DataFrame, value: str, by=(), n_buckets: int | None = None,
          name: str = "gini") -> DataFrame:
     """STA-01/02: Gini = 2*sum(i*x_(i)) / (n*sum x) - (n+1)/n; 0.0 when n<=1 or sum<=0."""
+    return gini_from_ranks(value_ranks(df, value, by, n_buckets), value, by, name)
+
+
+def gini_from_ranks(r: DataFrame, value: str, by=(), name: str = "gini") -> DataFrame:
+    """Gini per group from an existing rank table (see ``gini``)."""
     by = list(by)
-    r = value_ranks(df, value, by, n_buckets)
     agg = r.groupBy(*by).agg(
         F.sum(_pos_sum(r, value)).alias("_s"),
         F.first("n").alias("n"), F.first("total").alias("_t"))

@@ -25,7 +25,7 @@ from nomina.operators import mapping as MP
 from nomina.operators import quality as Q
 from nomina.operators import sampling as G
 from nomina.operators import topk as TK
-from nomina.operators.ranks import percentiles_from_ranks, quantiles_from_ranks, value_ranks
+from nomina.operators.ranks import gini_from_ranks, percentiles_from_ranks, quantiles_from_ranks, value_ranks
 from nomina.operators.scalars import attach_row
 from nomina.session import ensure_checkpoint_dir
 from nomina.sources import files as FS
@@ -176,9 +176,12 @@ def dashboard_query(df: DataFrame, filters: list[tuple[str, object]], lo=None, h
 def inequality_report(df: DataFrame) -> DataFrame:
     """PIP-09: closed range -> Gini, max/min, P90/P10, CV, label (one row)."""
     d = FL.closed_range(df)
-    g = I.gini(d, SAL).select("gini")
+    r = value_ranks(d, SAL)                       # one rank table feeds Gini and the ratios
+    g = gini_from_ranks(r, SAL).select("gini")
+    q = quantiles_from_ranks(r, SAL, {"p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9})
+    pr = q.select(F.try_divide(F.col("p90"), F.col("p10")).alias("p90_p10"),
+                  F.try_divide(F.col("p75"), F.col("p25")).alias("p75_p25"))
     mm = I.max_min_ratio(d).select(F.col("ratio").alias("ratio_max_min"))
-    pr = I.percentile_ratio(d).select("p90_p10", "p75_p25")
     cv = I.cv(d).select("cv")
     # four single-row aggregates side by side (scalar subqueries, no joins)
     one = g
