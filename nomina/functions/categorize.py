@@ -54,6 +54,9 @@ MINISTRIES = [
 TAX_SERVICE = "Servicio de Impuestos Internos"
 STATE_KEYWORDS = ["ministerio", "servicio", "dirección", "comisión", "fiscalía"]
 
+# The open-data API source whose rows lack body and class.
+API_SOURCE = "datos_gob_cl_api"
+
 # Class inferred from a post title, ordered keyword lists.
 CLASS_FROM_POST = [
     ("Directivo", ["alcalde", "concejal", "director", "ministro", "subsecretario"]),
@@ -110,7 +113,7 @@ def infer_class(post) -> Column:
     return expr.otherwise(F.lit("Auxiliar"))
 
 
-def infer_body(body, source, source_value: str = "datos_gob_cl_api") -> Column:
+def infer_body(body, source, source_value: str = API_SOURCE) -> Column:
     """SCL-15: missing body of one source -> 'Municipalidad'."""
     b = _c(body)
     return F.when((_c(source) == source_value) & (b.isNull() | (b == MISSING)),

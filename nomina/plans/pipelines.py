@@ -69,7 +69,7 @@ def monthly_etl(spark: SparkSession, raw_root: str, sources: list[str], as_of: s
     return EtlResult(clean, stats)
 
 
-def clean_consolidated(df: DataFrame, api_source: str = "datos_gob_cl_api") -> DataFrame:
+def clean_consolidated(df: DataFrame, api_source: str = C.API_SOURCE) -> DataFrame:
     """PIP-02: to_number -> infer body / class for the API source -> fill -> open range."""
     d = df.withColumn(SAL, M.to_number(F.col(SAL)))
     api = F.col("fuente") == api_source

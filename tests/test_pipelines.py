@@ -16,11 +16,11 @@ def _local(path: str) -> str:
 
 
 def test_monthly_etl_reproduces_published_statistics(spark):
-    """PIP-01 over raw/<source>/<YYYY-MM>/escala.csv: 47 scale rows -> 45 after the
+    """PIP-01 over raw/<source>/<YYYY-MM>/scale.csv: 47 scale rows -> 45 after the
     validity filter and the 1-99 % trim, with the published mean/median/min/max/std."""
     root = _local(scratch_path(spark, f"raw-{uuid.uuid4().hex[:8]}"))
     os.makedirs(f"{root}/sii/2025-09")
-    with open(f"{root}/sii/2025-09/escala.csv", "w", encoding="utf-8") as fh:
+    with open(f"{root}/sii/2025-09/scale.csv", "w", encoding="utf-8") as fh:
         fh.write("Estamento,Grado,Unidad Monetaria,Remuneracion Bruta Mensualizada\n")
         for i, v in enumerate(SCALE):
             fh.write(f'Directivo,{i + 1},Pesos,"{v}"\n')

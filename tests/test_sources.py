@@ -18,7 +18,7 @@ def _local(path: str) -> str:
 def test_csv_dialect_sniffing_latin1_semicolon(spark):
     base = _local(scratch_path(spark, f"dialect-{uuid.uuid4().hex[:8]}"))
     os.makedirs(base)
-    with open(f"{base}/escala.csv", "w", encoding="latin-1") as fh:
+    with open(f"{base}/tabla.csv", "w", encoding="latin-1") as fh:
         fh.write("Estamento;Grado;Remuneración\nDirectivo;1;7.738.744\nTécnico;2;659.267\n")
     sep, enc = FS.sniff_dialect(spark, base)
     assert (sep, enc) == (";", FS.LATIN1)
