@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nomina.operators.ranks import exact_quantiles
+from nomina.operators.ranks import exact_quantiles, quantiles_from_ranks
 from nomina.operators.scalars import attach_row
 
 SAL = "sueldo_bruto"
@@ -25,9 +25,13 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return attach_row(a, b)
 
 
-def with_quantiles(agg: DataFrame, df: DataFrame, value: str, probs: dict, by=()) -> DataFrame:
-    """Join exact quantiles of ``value`` per group onto an aggregate keyed by ``by``."""
-    q = exact_quantiles(df, value, probs, by)
+def with_quantiles(agg: DataFrame, df: DataFrame, value: str, probs: dict, by=(),
+                   ranks: DataFrame | None = None) -> DataFrame:
+    """Join exact quantiles of ``value`` per group onto an aggregate keyed by ``by``.
+
+    ``ranks`` lets a caller that already built the rank table for ``by`` reuse it.
+    """
+    q = quantiles_from_ranks(ranks, value, probs, by) if ranks is not None else exact_quantiles(df, value, probs, by)
     if not by:
         return _one_row_join(agg, q)
     return agg.join(q, list(by), "left")
@@ -45,7 +49,7 @@ def summary_stats(df: DataFrame, value: str = SAL,
     return with_quantiles(agg, df, value, {"mediana_sueldo": 0.5})
 
 
-def dashboard_metrics(df: DataFrame, value: str = SAL) -> DataFrame:
+def dashboard_metrics(df: DataFrame, value: str = SAL, ranks: DataFrame | None = None) -> DataFrame:
     """AGG-02: AGG-01 subset + coefficient of variation (0 when mean <= 0)."""
     v = F.col(value)
     agg = df.agg(
@@ -57,7 +61,7 @@ def dashboard_metrics(df: DataFrame, value: str = SAL) -> DataFrame:
     agg = agg.withColumn("coef_variacion", F.when(F.col("promedio_sueldo") > 0,
                                                   F.col("desv_std") / F.col("promedio_sueldo"))
                          .otherwise(F.lit(0.0)))
-    return with_quantiles(agg, df, value, {"mediana_sueldo": 0.5})
+    return with_quantiles(agg, df, value, {"mediana_sueldo": 0.5}, ranks=ranks)
 
 
 def value_counts(df: DataFrame, key: str, name: str = "n") -> DataFrame:
@@ -112,12 +116,12 @@ def group_compare(df: DataFrame, key: str, value: str = SAL, min_rows: int = 1)
 
 
 def category_stats(df: DataFrame, key: str = "categoria_organismo", value: str = SAL,
-                   body: str = "organismo") -> DataFrame:
+                   body: str = "organismo", ranks: DataFrame | None = None) -> DataFrame:
     """AGG-11: count, mean, median, std, distinct bodies per category."""
     agg = df.groupBy(key).agg(
         F.count(value).alias("n"), F.avg(value).alias("promedio"),
         F.stddev_samp(value).alias("desv_std"), F.countDistinct(body).alias("organismos"))
-    return with_quantiles(agg, df, value, {"mediana": 0.5}, (key,))
+    return with_quantiles(agg, df, value, {"mediana": 0.5}, (key,), ranks=ranks)
 
 
 def two_key_mean(df: DataFrame, a: str, b: str, value: str = SAL) -> DataFrame:

@@ -163,14 +163,21 @@ def load_and_monitor(spark: SparkSession, df: DataFrame, table_path: str, log_pa
 def dashboard_query(df: DataFrame, filters: list[tuple[str, object]], lo=None, hi=None) -> dict[str, DataFrame]:
     """PIP-08: cascade filter -> metrics, equity, Gini, category stats, top salaries.
 
-    The filtered frame is reused by five reports; callers that run them all
-    should ``persist`` it (the reference re-reads its CSV per interaction).
+    The global median, the Gini and the per-category medians come from ONE
+    tagged rank table (all rows + per category) instead of three.
     """
     f = FL.cascade(df, filters, lo=lo, hi=hi)
     if "categoria_organismo" not in f.columns:
         f = f.withColumn("categoria_organismo", C.categorize_11("organismo"))
-    return {"metricas": A.dashboard_metrics(f), "equidad": I.equity_ratio(f, "estamento"),
-            "gini": I.gini(f, SAL), "categorias": A.category_stats(f), "top": TK.top_salaries(f, 20)}
+    cat = "categoria_organismo"
+    tagged = (f.select(F.lit("_todos").alias("_kind"), F.lit("").alias("_key"), F.col(SAL))
+              .unionByName(f.select(F.lit(cat).alias("_kind"), F.col(cat).alias("_key"), F.col(SAL))))
+    r = value_ranks(tagged, SAL, ["_kind", "_key"])
+    r_all = r.where(F.col("_kind") == "_todos").drop("_kind", "_key")
+    r_cat = r.where(F.col("_kind") == cat).drop("_kind").withColumnRenamed("_key", cat)
+    return {"metricas": A.dashboard_metrics(f, ranks=r_all), "equidad": I.equity_ratio(f, "estamento"),
+            "gini": gini_from_ranks(r_all, SAL), "categorias": A.category_stats(f, ranks=r_cat),
+            "top": TK.top_salaries(f, 20)}
 
 
 def inequality_report(df: DataFrame) -> DataFrame:
