@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_quality",)
+MODULES = ("q_quality", "q_decontaminate", "q_similar")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
