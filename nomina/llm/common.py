@@ -51,3 +51,16 @@ def only_rows(docs: DataFrame, keys: DataFrame, doc_id: str, *others: str, anti:
     k = small(k).alias("k")
     on = F.col("d._id").eqNullSafe(F.col("k._id")) & (F.col("d._digest") == F.col("k._digest"))
     return d.alias("d").join(k, on, "left_anti" if anti else "left_semi").select(*cols)
+
+
+def attach(docs: DataFrame, values: DataFrame, doc_id: str, *others: str) -> DataFrame:
+    """``docs`` with the further columns of ``values`` (one row for each ``_id``, ``_digest``);
+    rows whose key it lacks go."""
+    v = small(values.withColumnsRenamed({"_id": "__i", "_digest": "__d"}))
+    joined = row_key(docs, doc_id, *others).join(v, F.col("_id").eqNullSafe(F.col("__i")) & (F.col("_digest") == F.col("__d")))
+    return joined.select(*docs.columns, *[c for c in values.columns if c not in ("_id", "_digest")])
+
+
+def held_out(doc_id: str) -> Column:
+    """Rows that nothing is learned from: CRC-32 of the id as text, modulo 5, is 0."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
