@@ -132,14 +132,19 @@ def _filters(percent: int) -> Column:
             & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))))
 
 
+def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose shingles, counted by range of hash, allow the overlap that a link needs."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
+    most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    total = F.col("n_a") + F.col("n_b")
+    return pairs.join(a, "a").join(b, "b").where((100 + percent) * most >= percent * total).select("a", "b", total.alias("total"))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of distinct pairs: suffix filter on hash ranges, then whole sets."""
-    a, b = (sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "parts", "grams")]) for x in "ab")
-    total = percent * (F.col("n_a") + F.col("n_b"))
-    least = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    both = pairs.join(a, "a").join(b, "b")
-    exact = (100 + percent) * F.size(F.array_intersect("grams_a", "grams_b")) >= total
-    return both.select("a", "b", F.when((100 + percent) * least < total, False).otherwise(exact).alias("linked"))
+    """(a, b, linked) of distinct pairs, on whole sets."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+    linked = (100 + percent) * F.size(F.array_intersect("grams_a", "grams_b")) >= percent * F.col("total")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked")).distinct()
 
 
 def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -148,7 +153,6 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     none = rows.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("linked")).limit(0)
     if not (n_rows := rows.count()):
         return none.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    sets = keep(sets_of(rows.select("node").distinct()))
     tested, roots = none, None
     for turn in range(PIVOT_ROUNDS + 1):
         if roots is None:
@@ -176,6 +180,8 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
         pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
         if roots is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = keep(_suffix_filter(pairs, nodes, percent))
+        sets = keep(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
         new = keep(_verify(pairs, sets, percent))
         tested = new if roots is None else keep(tested.union(new))
         roots = keep(components(tested.where("linked").select("a", "b")))
@@ -194,10 +200,10 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         F.min_by(c, "_row").alias(c) for c in ("_id", "_digest", "prefix", "parts")]))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        own = small(nodes.join(ids, "node", "left_semi").select("node", "n", "parts", F.col("_id").alias("_i"), F.col("_digest").alias("_d")))
+        own = small(keep(nodes.join(ids, "node", "left_semi").select("node", F.col("_id").alias("_i"), F.col("_digest").alias("_d"))))
         d = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.struct(F.col(text).isNull(), F.col(text))).alias("_digest"), F.col(text).alias("_text"))
-        found = d.join(own, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d"))).select("node", "n", "parts", "_text")
-        return found.mapInArrow(_sets(k), "node long, n long, parts array<int>, grams array<long>").dropDuplicates(["node"])
+        found = d.join(own, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d"))).select("node", "_text")
+        return found.mapInArrow(_sets(k), "node long, grams array<long>")
 
     roots = link_classes(nodes, sets_of, percent)
     lows = nodes.select("h1", "h2", "n", "node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -214,9 +220,9 @@ def _sets(k: int):
         powers = words.Powers()
         for batch in batches:
             grams, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for _, c in words.chunks(batch.column(3), powers, words.SPACE, words.LOWER):
+            for _, c in words.chunks(batch.column(1), powers, words.SPACE, words.LOWER):
                 d, h = c.shingles(k)
                 grams.append(h.view(np.int64))
                 counts.append(np.bincount(d, minlength=c.n))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(np.concatenate(grams), np.concatenate(counts))], names=["node", "n", "parts", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.concatenate(grams), np.concatenate(counts))], names=["node", "grams"])
     return run
