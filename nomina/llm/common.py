@@ -26,6 +26,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow kept table that one task reads or writes.
+ROWS_A_TASK = 50_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in no more partitions than they need: small tables
+    then cost a few files a step, large ones keep their partitions."""
+    return df.coalesce(rows // ROWS_A_TASK + 1)
+
+
 def small(df: DataFrame, strings: Column | None = None,
           max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its measured size is within the bounds, else ``df``

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomina.llm.common import keep
+from nomina.llm.common import few, keep
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,20 +16,24 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round keeps one row a link at most; a hub's links are joined, never gathered."""
     e = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
-        if not e.take(1):
+        n = e.count()
+        if not n:
             break
+        e = few(e, n)
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small_ = large.join(low, "a")
-        nxt = small_.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        nxt = keep(nxt.distinct())
-        # done when every link goes to a root: no node is both above and below another
-        roots_only = nxt.select(F.col("b").alias("n")).intersect(nxt.select(F.col("a").alias("n"))).isEmpty()
-        single = nxt.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+        large = keep(few(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), n))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c"))
+        joined = few(large.join(low, "a"), n)
+        # (a, m) for every a, (b, m) for its other neighbours
+        to = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
+        nxt = keep(few(joined.select(F.explode(F.array_distinct(F.array(F.struct(to.alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))).alias("e"))
+                       .select("e.*").distinct(), n))
         e = nxt
-        if roots_only and single:
+        # settled when every node below another is below a single one, which is below none
+        up = nxt.groupBy("a").agg(F.count(F.lit(1)).alias("c")).alias("u")
+        if nxt.select("b").distinct().alias("r").join(up, F.col("r.b") == F.col("u.a"), "left").agg(F.count("u.c")).first()[0] == 0 \
+                and up.where("c > 1").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

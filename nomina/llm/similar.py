@@ -5,7 +5,9 @@
 2.  A document's prefix is its first n - ceil(t n) + 1 shingles in that order: two sets with
     Jaccard t or more share a prefix shingle.  Equal sets are one class from here on.
 3.  Classes meet on prefix shingles that two classes have.  Length, positional and suffix
-    filters drop pairs; the rest are verified on the whole sets, each pair once.
+    filters drop pairs inside the join; the rest are verified on the whole sets, each pair
+    once.  The suffix filter bounds the sets' difference from below: both sets are folded
+    to SIGNATURE parity bits, and bits that differ come from shingles that only one has.
 4.  First every class meets one pivot of each of its prefix shingles.  Pairs inside a
     component found so far cannot change the result, so only shingles that still hold
     several components go on: with another pivot while many pairs are open, then with all
@@ -25,16 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomina.llm import words
-from nomina.llm.common import keep, small
+from nomina.llm.common import few, keep, small
 from nomina.llm.components import components
 from nomina.llm.decontaminate import bitmap, passes
 
 BUCKETS = 1 << 20
 BLOCK = 1 << 10
-RANGES = 16
-#: Open pairs a prefix row, on average, up to which all are verified at once.
-OPEN_PAIRS = 4
-PIVOT_ROUNDS = 12
+SIGNATURE = 512
+#: Open pairs a prefix row, on average, up to which the filters see them all at once.
+OPEN_PAIRS = 200
+PIVOT_ROUNDS = 4
 
 
 def bucket_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -73,7 +75,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, counts: np.ndarray) -> DataFrame:
     """A row a document: _row, _id, _digest, n (shingles), h1 and h2 (hashes of the set),
-    prefix (rare first), parts (shingles by hash range)."""
+    prefix (rare first), bits (parities)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,18 +90,19 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, co
                 order = np.lexsort((h, counts[(h >> np.uint64(44)).astype(np.int64)], d))
                 length = np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
                 rank = np.arange(len(d)) - begin[d]
-                ranges = np.bincount(d * RANGES + (h >> np.uint64(60)).astype(np.int64), minlength=c.n * RANGES)
-                for col, v in zip(cols, (n, *((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums), h[order][rank < length[d]].view(np.int64), length, ranges), strict=True):
+                odd = np.bincount(d * SIGNATURE + ((h >> np.uint64(35)).astype(np.int64) & (SIGNATURE - 1)), minlength=c.n * SIGNATURE) & 1
+                bits = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+                for col, v in zip(cols, (n, *((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums), h[order][rank < length[d]].view(np.int64), length, bits), strict=True):
                     col.append(v)
-            n, h1, h2, prefix, length, ranges = [np.concatenate(x) if x else np.empty(0, np.int64) for x in cols]
+            n, h1, h2, prefix, length, bits = [np.concatenate(x) if x else np.empty(0, np.int64) for x in cols]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), _lists(prefix, length),
-                                              _lists(ranges.astype(np.int32), np.full(len(n), RANGES))],
-                                             names=["_row", "_id", "_digest", "n", "h1", "h2", "prefix", "parts"])
+                                              _lists(bits, np.full(len(n), SIGNATURE // 64))],
+                                             names=["_row", "_id", "_digest", "n", "h1", "h2", "prefix", "bits"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"),
                        F.xxhash64(F.struct(F.col(text).isNull(), F.col(text))).alias("_digest"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, f"_row long, _id {dict(rows.dtypes)['_id']}, _digest long, n long, h1 long, h2 long, "
-                                "prefix array<long>, parts array<int>")
+                                "prefix array<long>, bits array<long>")
 
 
 def shared_grams(nodes: DataFrame) -> DataFrame:
@@ -126,18 +129,12 @@ def shared_grams(nodes: DataFrame) -> DataFrame:
 
 
 def _filters(percent: int) -> Column:
-    """Length and positional filters of rows x and y of one shingle."""
+    """Length, positional and suffix filters of rows x and y of one shingle."""
+    total = F.col("x.n") + F.col("y.n")
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    return ((100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))))
-
-
-def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose shingles, counted by range of hash, allow the overlap that a link needs."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
-    most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    total = F.col("n_a") + F.col("n_b")
-    return pairs.join(a, "a").join(b, "b").where((100 + percent) * most >= percent * total).select("a", "b", total.alias("total"))
+    apart = sum((F.bit_count(F.col(f"x.bits{i}").bitwiseXOR(F.col(f"y.bits{i}"))) for i in range(SIGNATURE // 64)), F.lit(0))
+    return ((100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * rest >= percent * total)
+            & ((100 + percent) * apart <= (100 - percent) * total))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,41 +147,50 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     """(node, root) of the classes that have links.  ``sets_of(nodes)`` gives whole sets."""
     rows = shared_grams(nodes)
-    none = rows.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("linked")).limit(0)
     if not (n_rows := rows.count()):
-        return none.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    tested, roots = none, None
+        return rows.select("node", F.col("node").alias("root"))
+    bits = [F.col("bits")[i].alias(f"bits{i}") for i in range(SIGNATURE // 64)]
+    rows = few(rows, n_rows).join(few(nodes, 2 * nodes.count()).select("node", *bits), "node")
+    rows = few(keep(few(rows, n_rows)), n_rows)
+    names = [f"bits{i}" for i in range(SIGNATURE // 64)]
+    tested, roots, n_roots = None, None, 0
     for turn in range(PIVOT_ROUNDS + 1):
-        if roots is None:
-            live = rows.withColumn("root", F.col("node"))
-        else:
-            live = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            live = live.join(live.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram"), "gram")
-            live = keep(live)
+        live, last = rows.withColumn("root", F.col("node")), False
+        if roots is not None:
+            live = rows.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            # shingles that still hold several components, and the pairs between these
             per_root = live.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
-            of = per_root.groupBy("gram").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
-            open_pairs = of.agg(F.sum((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2)).first()[0] or 0.0
-            if not open_pairs:
+            open_ = per_root.groupBy("gram").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count(F.lit(1)).alias("roots"))
+            open_ = keep(few(open_.where("roots > 1").select("gram", ((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2).alias("pairs")), n_rows))
+            n_pairs = open_.agg(F.sum("pairs")).first()[0]
+            if not n_pairs:
                 break
-        x, last = live.alias("x"), roots is not None and (open_pairs <= OPEN_PAIRS * n_rows or turn == PIVOT_ROUNDS)
+            live = keep(few(live.join(open_.select("gram"), "gram"), n_rows))
+            last = n_pairs <= OPEN_PAIRS * n_rows or turn == PIVOT_ROUNDS
+        x = live.alias("x")
         if last:
-            y = live.alias("y")
-            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _filters(percent))
+            y, order = live.alias("y"), F.col("x.node") > F.col("y.node")
         else:
             # a pivot of one component, and one of another, a shingle; others each turn
-            draw = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")
+            draw = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root", *names)
             ends = live.groupBy("gram").agg(F.min(draw).alias("lo"), F.max(draw).alias("hi"))
-            ends = ends.select("gram", F.explode(F.array("lo") if roots is None else F.array("lo", "hi")).alias("p")).select("gram", "p.node", "p.n", "p.pos", "p.root")
-            y = ends.alias("y")
-            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _filters(percent))
-        pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-        if roots is not None:
+            ends = ends.select("gram", F.explode(F.array("lo") if roots is None else F.array("lo", "hi")).alias("p"))
+            y, order = ends.select("gram", "p.node", "p.n", "p.pos", "p.root", *[f"p.{c}" for c in names]).alias("y"), F.lit(True)
+        pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & order & (F.col("x.root") != F.col("y.root")) & _filters(percent))
+        pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
+        if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = keep(_suffix_filter(pairs, nodes, percent))
+        pairs = keep(few(pairs, n_rows))
+        n_pairs = pairs.count()
+        pairs = few(pairs, n_pairs)
         sets = keep(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-        new = keep(_verify(pairs, sets, percent))
-        tested = new if roots is None else keep(tested.union(new))
-        roots = keep(components(tested.where("linked").select("a", "b")))
+        new = keep(few(_verify(pairs, sets, percent), n_pairs))
+        tested = new if tested is None else tested.union(new)
+        links = new.where("linked").select("a", "b")
+        if roots is not None:
+            links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = keep(few(components(links), n_roots + 2 * n_pairs))
+        n_roots = roots.count()
         if last:
             break
     return roots
@@ -197,7 +203,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     sigs = keep(signatures(docs, doc_id, text, k, percent, counts))
     full = sigs.where("n > 0")
     nodes = keep(full.groupBy("h1", "h2", "n").agg(F.min("_row").alias("node"), F.min("_id").alias("low"), *[
-        F.min_by(c, "_row").alias(c) for c in ("_id", "_digest", "prefix", "parts")]))
+        F.min_by(c, "_row").alias(c) for c in ("_id", "_digest", "prefix", "bits")]))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         own = small(keep(nodes.join(ids, "node", "left_semi").select("node", F.col("_id").alias("_i"), F.col("_digest").alias("_d"))))
