@@ -128,13 +128,17 @@ def shared_grams(nodes: DataFrame) -> DataFrame:
     return keep(some.join(twice, "gram"))
 
 
-def _filters(percent: int) -> Column:
-    """Length, positional and suffix filters of rows x and y of one shingle."""
-    total = F.col("x.n") + F.col("y.n")
+def _near(percent: int) -> Column:
+    """Length and positional filters of rows x and y of one shingle."""
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    return ((100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+            & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))))
+
+
+def _alike(percent: int) -> Column:
+    """Suffix filter of rows x and y: the parity bits that differ are few enough."""
     apart = sum((F.bit_count(F.col(f"x.bits{i}").bitwiseXOR(F.col(f"y.bits{i}"))) for i in range(SIGNATURE // 64)), F.lit(0))
-    return ((100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * rest >= percent * total)
-            & ((100 + percent) * apart <= (100 - percent) * total))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,44 +153,44 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     rows = shared_grams(nodes)
     if not (n_rows := rows.count()):
         return rows.select("node", F.col("node").alias("root"))
-    bits = [F.col("bits")[i].alias(f"bits{i}") for i in range(SIGNATURE // 64)]
-    rows = few(rows, n_rows).join(few(nodes, 2 * nodes.count()).select("node", *bits), "node")
-    rows = few(keep(few(rows, n_rows)), n_rows)
-    names = [f"bits{i}" for i in range(SIGNATURE // 64)]
+    rows = few(rows, n_rows)
+    bits = few(nodes, 2 * nodes.count()).select("node", "n", *[F.col("bits")[i].alias(f"bits{i}") for i in range(SIGNATURE // 64)])
     tested, roots, n_roots = None, None, 0
     for turn in range(PIVOT_ROUNDS + 1):
         live, last = rows.withColumn("root", F.col("node")), False
         if roots is not None:
             live = rows.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-            # shingles that still hold several components, and the pairs between these
-            per_root = live.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
-            open_ = per_root.groupBy("gram").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count(F.lit(1)).alias("roots"))
-            open_ = keep(few(open_.where("roots > 1").select("gram", ((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2).alias("pairs")), n_rows))
-            n_pairs = open_.agg(F.sum("pairs")).first()[0]
+            # shingles that still hold several components, and the pairs the join would look at
+            of = live.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).cast("double").alias("c"))
+            of = keep(few(of.where("lo <> hi").select("gram", (F.col("c") * (F.col("c") - 1) / 2).alias("pairs")), n_rows))
+            n_pairs = of.agg(F.sum("pairs")).first()[0]
             if not n_pairs:
                 break
-            live = keep(few(live.join(open_.select("gram"), "gram"), n_rows))
+            live = keep(few(live.join(of.select("gram"), "gram"), n_rows))
             last = n_pairs <= OPEN_PAIRS * n_rows or turn == PIVOT_ROUNDS
-        x = live.alias("x")
-        if last:
-            y, order = live.alias("y"), F.col("x.node") > F.col("y.node")
-        else:
-            # a pivot of one component, and one of another, a shingle; others each turn
-            draw = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root", *names)
+        ids = (F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+        if last:  # all open pairs; the suffix filter is in the join, so only its survivors come out
+            live = live.join(bits.drop("n"), "node")
+            x, y = live.alias("x"), live.alias("y")
+            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+                           & _near(percent) & _alike(percent)).select(*ids).distinct()
+        else:  # a pivot of one component, and one of another, a shingle; others each turn
+            draw = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")
             ends = live.groupBy("gram").agg(F.min(draw).alias("lo"), F.max(draw).alias("hi"))
-            ends = ends.select("gram", F.explode(F.array("lo") if roots is None else F.array("lo", "hi")).alias("p"))
-            y, order = ends.select("gram", "p.node", "p.n", "p.pos", "p.root", *[f"p.{c}" for c in names]).alias("y"), F.lit(True)
-        pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & order & (F.col("x.root") != F.col("y.root")) & _filters(percent))
-        pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
+            ends = ends.select("gram", F.explode(F.array("lo") if roots is None else F.array("lo", "hi")).alias("p")).select("gram", "p.node", "p.n", "p.pos", "p.root")
+            x, y = live.alias("x"), ends.alias("y")
+            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _near(percent)).select(*ids).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = keep(few(pairs, n_rows))
         n_pairs = pairs.count()
-        pairs = few(pairs, n_pairs)
+        x, y = bits.alias("x"), bits.alias("y")
+        pairs = few(pairs, n_pairs).join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_alike(percent))
+        pairs = keep(few(pairs.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("total")), 4 * n_pairs))
         sets = keep(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-        new = keep(few(_verify(pairs, sets, percent), n_pairs))
+        new = keep(_verify(few(pairs, n_pairs), sets, percent))
         tested = new if tested is None else tested.union(new)
-        links = new.where("linked").select("a", "b")
+        links = few(new.where("linked").select("a", "b"), n_pairs)
         if roots is not None:
             links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = keep(few(components(links), n_roots + 2 * n_pairs))
