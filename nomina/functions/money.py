@@ -46,8 +46,12 @@ def _european(s: Column) -> Column:
     return F.replace(_drop(s, "."), F.lit(","), F.lit("."))
 
 
+# A plain decimal number; type suffixes ("12D", "1f") and names ("NaN", "Infinity") are not numbers.
+NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def _try_double(s: Column) -> Column:
-    return s.try_cast("double")
+    return F.when(s.rlike(NUMBER_RE), s.try_cast("double"))
 
 
 def money_auto(x) -> Column:

@@ -67,10 +67,11 @@ def slug(x) -> Column:
 
 
 def safe_filename(url) -> Column:
-    """SCL-25: basename of the url path, else the url with non-word chars -> '_'."""
+    """SCL-25: basename of the url path, else the url with runs of non-word chars -> '_'
+    (letters and digits of any script are word chars)."""
     path = F.coalesce(F.parse_url(_c(url), F.lit("PATH")), F.lit(""))
     base = F.regexp_extract(path, r"([^/]+)$", 1)
-    return F.when(base != "", base).otherwise(F.regexp_replace(_c(url), r"[^A-Za-z0-9_]", "_"))
+    return F.when(base != "", base).otherwise(F.regexp_replace(_c(url), r"[^\p{L}\p{N}_]+", "_"))
 
 
 def contains_ci(x, needle: str) -> Column:

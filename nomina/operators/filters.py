@@ -52,10 +52,10 @@ def split_floor(df: DataFrame, value: str = SAL, floor: float = 200_000):
 
 
 def problem_report(df: DataFrame, key: str, value: str = SAL, floor: float = 200_000) -> DataFrame:
-    """FLT-06 report: problem rows by ``key`` with their share of all problem rows (%)."""
-    p = df.where(F.col(value) < floor).groupBy(key).agg(F.count(F.lit(1)).alias("problemas"))
-    total = p.agg(F.sum("problemas").alias("_total"))
-    return (attach_row(p, total)
+    """FLT-06 report: problem rows by ``key`` with their share of all rows (%)."""
+    p = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(value) < floor).alias("problemas"))
+    total = p.agg(F.sum("_rows").alias("_total"))
+    return (attach_row(p.where(F.col("problemas") > 0), total)
             .select(key, "problemas", F.round(F.col("problemas") * 100.0 / F.col("_total"), 4).alias("pct")))
 
 
@@ -99,6 +99,11 @@ def default_top_options(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     return option_list(df, col).limit(n)
 
 
+def preselected(df: DataFrame, col: str, n: int = 10) -> DataFrame:
+    """FLT-11 applied: the rows whose ``col`` is among the preselected options."""
+    return df.join(default_top_options(df, col, n), col, "left_semi")
+
+
 def min_group_size(agg: DataFrame, count_col: str = "n", minimum: int = 5) -> DataFrame:
     """FLT-12: HAVING count >= minimum."""
     return agg.where(F.col(count_col) >= minimum)

@@ -18,18 +18,12 @@ value.  It is built in three distributed steps:
 3. per-(group, bucket) totals -> exclusive prefix offsets (G x B rows) ->
    a window *inside* each (group, bucket) adds the local running count.
 
-When the checkpointed distinct table is provably small (``SMALL_DISTINCT``
-rows, counted from the checkpoint) steps 2-3 are replaced by one window per
-group over it; both paths are exact and agree (tested).
-
 Rank ties are handled exactly: with ``k`` rows at value ``x`` and ``below``
 rows smaller, the 1-based positions are ``below+1 .. below+k``.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,16 +31,12 @@ from pyspark.sql import functions as F
 from nomina.session import ensure_checkpoint_dir
 
 _BUCKET = "_bucket"
-# Distinct (group, value) rows below which one window per group is used; above
-# it the value axis is bucketed so no task sees more than ~1/B of the table.
-SMALL_DISTINCT = int(os.environ.get("NOMINA_SMALL_DISTINCT", 1_000_000))
-
 
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
     if n_buckets:
         return n_buckets
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(4096, parts * 4))
+    return max(8, parts * 4)
 
 
 def value_ranks(df: DataFrame, value: str, by=(), n_buckets: int | None = None) -> DataFrame:
@@ -64,19 +54,10 @@ def value_ranks(df: DataFrame, value: str, by=(), n_buckets: int | None = None)
     ensure_checkpoint_dir(df.sparkSession)
     vals = vals.checkpoint(eager=True)
     wsum = F.col(value) * F.col("cnt")
-    if n_buckets is None and vals.count() <= SMALL_DISTINCT:
-        # Proven-small distinct table: one exact window per group is cheaper than
-        # the bucketed path and bounded by SMALL_DISTINCT rows.
-        gw = Window.partitionBy(*by) if by else Window.partitionBy()
-        below = gw.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return vals.select(*by, value, "cnt",
-                           F.coalesce(F.sum("cnt").over(below), F.lit(0)).alias("below"),
-                           F.coalesce(F.sum(wsum).over(below), F.lit(0.0)).alias("below_sum"),
-                           F.sum("cnt").over(gw).alias("n"), F.sum(wsum).over(gw).alias("total"))
     nb = _n_buckets(df, n_buckets)
     probs = [i / nb for i in range(1, nb)]
     cuts = vals.approxQuantile(value, probs, 1.0 / (4 * nb)) if nb > 1 else []
-    splits = [float("-inf")] + sorted({c for c in cuts if c == c}) + [float("inf")]
+    splits = [float("-inf")] + (sorted({c for c in cuts if c == c}) or [0.0]) + [float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=value, outputCol=_BUCKET,
                           handleInvalid="keep").transform(vals)
     totals = bucketed.groupBy(*by, _BUCKET).agg(

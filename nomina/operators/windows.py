@@ -46,9 +46,9 @@ def top_n_summary(df: DataFrame, group: str, item: str, n: int = 10) -> DataFram
     plus the number of remaining items ("... and N more")."""
     c = df.groupBy(group, item).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(group).orderBy(F.asc(item))
-    ranked = c.withColumn("rango", F.row_number().over(w)).withColumn(
-        "items_grupo", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    return (ranked.where(F.col("rango") <= n)
+    sizes = c.groupBy(group).agg(F.count(F.lit(1)).alias("items_grupo"))
+    ranked = c.withColumn("rango", F.row_number().over(w)).where(F.col("rango") <= n)
+    return (ranked.join(sizes, ranked[group].eqNullSafe(sizes[group])).drop(sizes[group])
             .withColumn("restantes", F.greatest(F.col("items_grupo") - n, F.lit(0)))
             .drop("items_grupo"))
 
@@ -74,22 +74,14 @@ def batch_numbers(keys: DataFrame, order: str, size: int, max_batches: int | Non
     return numbered.withColumn("lote", F.floor((F.col("posicion") - 1) / F.lit(size)).cast("int"))
 
 
-# Rows above which positions are assigned by the distributed index instead of one window.
-WINDOW_INDEX_ROWS = 1_000_000
-
-
 def dense_index(df: DataFrame, order: str, name: str = "i", start: int = 0) -> DataFrame:
     """Consecutive positions in ``order``.
 
-    Up to ``WINDOW_INDEX_ROWS`` rows (counted, so the bound is proven) a single
-    ``row_number`` window is used.  Beyond it: a distributed sort tags every
-    row with ``monotonically_increasing_id`` (partition index in the high
+    A distributed sort tags every row with ``monotonically_increasing_id`` (partition index in the high
     bits), the tagged frame is checkpointed so the ids are fixed, per-partition
     counts give exclusive offsets (one row per partition, broadcast), and
     ``offset + position within partition`` is the consecutive index.
     """
-    if df.limit(WINDOW_INDEX_ROWS + 1).count() <= WINDOW_INDEX_ROWS:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1 + start)
     from nomina.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)

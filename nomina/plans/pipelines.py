@@ -46,11 +46,11 @@ class EtlResult:
     stats: DataFrame
 
 
-def monthly_etl(spark: SparkSession, raw_root: str, sources: list[str], as_of: str,
+def monthly_etl(spark: SparkSession, raw_root: str, sources: list[str] | None, as_of: str,
                 out_dir: str | None = None) -> EtlResult:
     """PIP-01: raw/<source>/<YYYY-MM>/*.csv -> canonical, valid, trimmed -> stats (+ sinks)."""
     frames = []
-    for src in sources:
+    for src in sources or FS.landed_sources(spark, raw_root):
         raw = FS.month_dir_scan(spark, raw_root, [src], as_of=as_of)
         if raw is None:
             continue
@@ -197,7 +197,7 @@ def inequality_report(df: DataFrame) -> DataFrame:
     return one.withColumn("desigualdad", C.inequality_label("gini"))
 
 
-def consolidate_month(spark: SparkSession, raw_root: str, sources: list[str], as_of: str) -> DataFrame:
+def consolidate_month(spark: SparkSession, raw_root: str, sources: list[str] | None, as_of: str) -> DataFrame:
     """PIP-10: scan month dirs with provenance -> union -> rows and salary stats per source."""
     raw = FS.month_dir_scan(spark, raw_root, sources, as_of=as_of)
     sal = M.money_auto(F.col("Remuneración bruta mensualizada"))

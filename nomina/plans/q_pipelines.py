@@ -15,7 +15,6 @@ from nomina.plans.registry import query
 from nomina.session import scratch_path
 
 CAT11 = S.categorize_11("organismo")
-SOURCES = ["fuente_dir=F", "fuente_dir=O", "fuente_dir=P"]
 STATS_ROUND = {"promedio_sueldo": 2, "min_sueldo": 2, "max_sueldo": 2, "desv_std": 2, "mediana_sueldo": 2}
 
 
@@ -47,7 +46,7 @@ clean AS (SELECT v.* FROM v, q WHERE sueldo_bruto BETWEEN lo AND hi)
 def pip01_monthly_etl(spark, sf_dir):
     root = _land_raw(spark, sf_dir)
     out = scratch_path(spark, f"etl-{uuid.uuid4().hex[:12]}")
-    res = P.monthly_etl(spark, root, SOURCES, "2025-09-30 00:00:00", out_dir=out)
+    res = P.monthly_etl(spark, root, None, "2025-09-30 00:00:00", out_dir=out)
     return rounded(res.stats, STATS_ROUND)
 
 
@@ -169,5 +168,5 @@ SELECT fuente, count(*) AS n, round(avg(s), 2) AS promedio, count(DISTINCT organ
   round(quantile_cont(s, 0.5), 2) AS mediana FROM d GROUP BY fuente""")
 def pip10_consolidate_month(spark, sf_dir):
     root = _land_raw(spark, sf_dir)
-    out = P.consolidate_month(spark, root, SOURCES, "2025-09-30 00:00:00")
+    out = P.consolidate_month(spark, root, None, "2025-09-30 00:00:00")
     return rounded(out, {"promedio": 2, "mediana": 2})

@@ -78,12 +78,24 @@ def flt05_closed_range(spark, sf_dir):
 
 
 @query("flt06_split_floor", """
-SELECT organismo, count(*) AS problemas, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct
+SELECT organismo, count(*) AS problemas, round(count(*) * 100.0 / (SELECT count(*) FROM payroll), 4) AS pct
 FROM payroll WHERE sueldo_bruto < 200000 GROUP BY organismo""")
 def flt06_split_floor(spark, sf_dir):
     return FL.problem_report(payroll(spark, sf_dir), "organismo")
 
 
+@query("flt06_problems_by_source", """
+SELECT fuente, count(*) AS problemas, round(count(*) * 100.0 / (SELECT count(*) FROM payroll), 4) AS pct
+FROM payroll WHERE sueldo_bruto < 200000 GROUP BY fuente""")
+def flt06_problems_by_source(spark, sf_dir):
+    return FL.problem_report(payroll(spark, sf_dir), "fuente")
+
+
+@query("flt06_kept", """SELECT id, sueldo_bruto FROM payroll WHERE sueldo_bruto >= 200000""")
+def flt06_kept(spark, sf_dir):
+    return FL.split_floor(payroll(spark, sf_dir))[0].select("id", SAL)
+
+
 @query("flt07_in_lists", """
 SELECT id FROM payroll WHERE organismo IN ('Ministerio de NATION_1', 'Servicio de NATION_2', 'Servicio NATION_2')
 AND estamento IN ('BUILDING', 'MACHINERY')""")
@@ -119,6 +131,12 @@ def flt11_default_top_options(spark, sf_dir):
     return FL.default_top_options(payroll(spark, sf_dir), "organismo", 10)
 
 
+@query("flt11_preselected_rows", """
+SELECT id FROM payroll WHERE organismo IN (SELECT DISTINCT organismo FROM payroll WHERE organismo IS NOT NULL ORDER BY organismo LIMIT 10)""")
+def flt11_preselected_rows(spark, sf_dir):
+    return FL.preselected(payroll(spark, sf_dir), "organismo", 10).select("id")
+
+
 @query("flt12_min_group_size", """
 SELECT organismo, grado, count(sueldo_bruto) AS n, round(avg(sueldo_bruto), 2) AS promedio FROM payroll
 GROUP BY 1, 2 HAVING count(sueldo_bruto) >= 5""")

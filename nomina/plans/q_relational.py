@@ -24,7 +24,7 @@ att AS (SELECT user_id AS organismo_id, event_id AS intento_id, ts,
   value AS processing_time FROM events),
 prog AS (SELECT organismo_id, arg_max(status, (ts, intento_id)) AS status, max(ts) AS last_attempt,
   count_if(status = 'success') AS success_count, count_if(status = 'error') AS error_count,
-  arg_max(error, (ts, intento_id)) FILTER (WHERE error IS NOT NULL) AS last_error,
+  arg_max({'e': error}, (ts, intento_id)).e AS last_error, CAST(sum(data_count) AS BIGINT) AS data_total,
   arg_max(data_count, (ts, intento_id)) AS data_count, arg_max(processing_time, (ts, intento_id)) AS processing_time
   FROM att GROUP BY organismo_id)"""
 
@@ -109,11 +109,10 @@ def srt04_preview(spark, sf_dir):
 
 
 @query("set01_union_all", """
-SELECT id, fuente, sueldo_bruto FROM payroll WHERE fuente = 'F'
-UNION ALL SELECT id, fuente, sueldo_bruto FROM payroll WHERE fuente = 'O'""")
+SELECT id, fuente, sueldo_bruto FROM payroll UNION ALL SELECT id, fuente, sueldo_bruto FROM payroll WHERE fuente = 'O'""")
 def set01_union_all(spark, sf_dir):
     p = payroll(spark, sf_dir).select("id", "fuente", SAL)
-    return SE.union_all(p.where(F.col("fuente") == "F"), p.where(F.col("fuente") == "O"))
+    return SE.union_all(p, p.where(F.col("fuente") == "O"))
 
 
 @query("set03_difference", """

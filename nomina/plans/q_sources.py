@@ -117,7 +117,7 @@ SELECT fuente, periodo, count(*) AS n, count(DISTINCT organismo) AS organismos F
 def src06_month_dir_scan(spark, sf_dir):
     root = _scratch(spark, "raw")
     _payroll_rows(spark, sf_dir).hint("rebalance", "fuente", "periodo").write.partitionBy("fuente", "periodo").option("header", True).csv(root)
-    df = FS.month_dir_scan(spark, root, ["fuente=F", "fuente=O", "fuente=P"], as_of="2025-09-30 00:00:00")
+    df = FS.month_dir_scan(spark, root, as_of="2025-09-30 00:00:00")
     return df.groupBy("fuente", "periodo").agg(F.count(F.lit(1)).alias("n"),
                                                F.countDistinct("organismo").alias("organismos"))
 
@@ -127,7 +127,7 @@ def src07_provenance(spark, sf_dir):
     """Rows-only: lineage columns (file name, directory, source, period, time)."""
     root = _scratch(spark, "raw-prov")
     _payroll_rows(spark, sf_dir).hint("rebalance", "fuente", "periodo").write.partitionBy("fuente", "periodo").option("header", True).csv(root)
-    df = FS.month_dir_scan(spark, root, ["fuente=F", "fuente=O", "fuente=P"], as_of="2025-09-30 00:00:00")
+    df = FS.month_dir_scan(spark, root, as_of="2025-09-30 00:00:00")
     return df.select("id", "fuente", "periodo", "archivo_origen", "fecha_procesamiento")
 
 
@@ -284,7 +284,7 @@ def scl18_21_url_fields(spark, sf_dir):
 SELECT page_id, translate(replace(lower(texto), ' ', ''), 'áéíóú', 'aeiou') AS slug,
   CASE WHEN regexp_extract(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '([^/]+)$', 1) <> ''
        THEN regexp_extract(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '([^/]+)$', 1)
-       ELSE regexp_replace(url, '[^A-Za-z0-9_]', '_', 'g') END AS archivo, posicion
+       ELSE regexp_replace(url, '[^\\p{L}\\p{N}_]+', '_', 'g') END AS archivo, posicion
 FROM (WITH """ + LINKS_SQL.strip() + """ SELECT * FROM links)""", payroll=False)
 def scl24_25_slug_filename(spark, sf_dir):
     l = _links(spark, sf_dir)

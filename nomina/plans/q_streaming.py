@@ -45,7 +45,7 @@ def str01_progress_stream(spark, sf_dir):
 
 @query("str02_progress_summary", f"""WITH {PROGRESS_SQL}
 SELECT count(*) AS total, count_if(status = 'success') AS exitosos, count_if(status = 'error') AS con_error,
-  count_if(status = 'no_data') AS sin_datos, coalesce(sum(data_count), 0) AS datos_extraidos,
+  count_if(status = 'no_data') AS sin_datos, CAST(coalesce(sum(data_total), 0) AS BIGINT) AS datos_extraidos,
   max(last_attempt) AS ultimo_intento,
   round(CASE WHEN count(*) > 0 THEN count_if(status = 'success') * 100.0 / count(*) ELSE 0 END, 4) AS tasa_exito
 FROM prog""", payroll=False)

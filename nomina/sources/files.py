@@ -1,9 +1,8 @@
-"""File sources (SRC-01..07): CSV / Parquet scans, dialect sniffing, multi-file loads.
+"""File sources (SRC-01..07): CSV / Parquet scans, dialects per file, multi-file loads.
 
 Raw tables are read with an all-string schema (money is parsed later by
 ``functions.money``), never with ``inferSchema`` (a full extra pass).
-Only bounded things reach the driver: a few head lines for dialect
-sniffing and the list of candidate paths.
+Only the list of files and their dialects reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,37 +17,48 @@ DELIMITERS = [",", ";", "\t", "|"]
 LATIN1 = "ISO-8859-1"
 
 
-def csv_scan(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+def csv_scan(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8",
              header: bool = True) -> DataFrame:
     """SRC-01: header CSV, every column a string."""
     return (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
             .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
 
 
-def sniff_dialect(spark: SparkSession, path: str, sample_lines: int = 20) -> tuple[str, str]:
-    """SRC-02: choose (delimiter, encoding) from a bounded head sample of the file(s).
+def file_dialects(spark: SparkSession, path) -> DataFrame:
+    """A row a file: ``file_path``, its first line (``header``), ``sep`` and ``encoding``.
 
-    Encoding falls back to Latin-1 when the UTF-8 decode of the sample shows
-    replacement characters; the delimiter is the candidate with the most
-    consistent non-zero count per line.
+    Decided from all bytes of the file, in one scan with map-side aggregation: Latin-1 as soon
+    as one line is not valid UTF-8, and the delimiter whose least count over the non-empty
+    lines (plus one if all lines agree) is greatest, earlier candidates first.
     """
-    head = [r.value for r in spark.read.text(path).limit(sample_lines).collect()]
-    encoding = LATIN1 if any("�" in (line or "") for line in head) else "UTF-8"
-    best, best_score = ",", -1.0
-    for d in DELIMITERS:
-        counts = [(line or "").count(d) for line in head if line]
-        if not counts or max(counts) == 0:
-            continue
-        score = min(counts) + (1.0 if len(set(counts)) == 1 else 0.0)
-        if score > best_score:
-            best, best_score = d, score
-    return best, encoding
-
-
-def csv_dialect_scan(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-02: sniff, then scan with the chosen delimiter and encoding."""
-    sep, enc = sniff_dialect(spark, path)
-    return csv_scan(spark, path, sep=sep, encoding=enc)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_line"))
+    full = F.length("_line") > 0
+    stats = [agg for i, d in enumerate(DELIMITERS) for n in [F.when(full, F.length("_line") - F.length(F.replace("_line", F.lit(d), F.lit(""))))]
+             for agg in (F.min(n).alias(f"_lo{i}"), F.max(n).alias(f"_hi{i}"))]
+    per = lines.groupBy("file_path").agg(
+        F.min_by("_line", F.when(F.col("_start") == 0, F.col("_at"))).alias("header"),
+        F.bool_and(F.is_valid_utf8("_line")).alias("_utf8"), *stats)
+    score = F.array(*[F.struct(F.when(F.col(f"_hi{i}") > 0, F.col(f"_lo{i}") + (F.col(f"_lo{i}") == F.col(f"_hi{i}")).cast("int")).otherwise(-1).alias("s"),
+                               F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
+    return per.select("file_path", "header", F.array_max(score)["d"].alias("sep"),
+                      F.when(F.col("_utf8"), "UTF-8").otherwise(LATIN1).alias("encoding"))
+
+
+def csv_dialect_scan(spark: SparkSession, path, finish=lambda df: df) -> DataFrame | None:
+    """SRC-02: every file under ``path`` with its own delimiter, encoding and header.
+
+    Files that agree in all three are one scan; scans are united by column name.  The list of
+    files, which Spark's driver holds for any scan, is all that reaches the driver.  ``finish``
+    is applied to each scan before the union.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for f in file_dialects(spark, path).collect():
+        groups.setdefault((f["encoding"], f["sep"], f["header"] or ""), []).append(f["file_path"])
+    frames = [finish(csv_scan(spark, sorted(files), sep=sep, encoding=encoding))
+              for (encoding, sep, header), files in sorted(groups.items()) if header]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
 def parquet_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -110,17 +120,27 @@ def with_provenance(df: DataFrame, as_of=None) -> DataFrame:
     return out.withColumn("fecha_procesamiento", ts)
 
 
-def month_dir_scan(spark: SparkSession, root: str, sources: list[str], as_of=None) -> DataFrame:
-    """SRC-06: ``root/<source>/<YYYY-MM>/*.csv`` for each source, with provenance.
+def landed_sources(spark: SparkSession, root: str) -> list[str]:
+    """The source directories of a landing, from the paths of its files."""
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/*.csv").select("path")
+    return sorted(r[0] for r in files.select(F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1)).distinct().collect())
 
-    One scan per source (files of a source share a header); sources are
-    unioned by column name, so differing layouts stay aligned.
+
+def month_dir_scan(spark: SparkSession, root: str, sources: list[str] | None = None, as_of=None) -> DataFrame | None:
+    """SRC-06: ``root/<source>/<YYYY-MM>/*.csv`` with provenance; all sources of the landing
+    unless some are named.  Every file has its own header, delimiter and encoding; rows meet
+    by column name.
     """
+    from pyspark.errors import AnalysisException
+
     frames = []
-    for src in sources:
-        df = _try_read(spark, f"{root.rstrip('/')}/{src}/*/*.csv", "csv")
+    for src in sources or ["*"]:
+        try:
+            df = csv_dialect_scan(spark, f"{root.rstrip('/')}/{src}/*/*.csv", lambda d: with_provenance(d, as_of))
+        except AnalysisException:  # a named source that has not landed
+            df = None
         if df is not None:
-            frames.append(with_provenance(df, as_of))
+            frames.append(df)
     if not frames:
         return None
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

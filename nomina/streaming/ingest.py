@@ -113,11 +113,12 @@ def session_log(spark: SparkSession, state_dir: str) -> DataFrame:
 
 def run_content_ingest(spark: SparkSession, landing: str, schema: StructType, out_dir: str,
                        manifest_dir: str, checkpoint: str, key: str, content: str,
-                       files_per_trigger: int = 1) -> DataFrame:
+                       files_per_trigger: int = 1, order: str | None = None) -> DataFrame:
     """STR-04: ingest landed files, skipping content already seen (SRC-20 manifest).
 
-    Each micro-batch is de-duplicated by key (latest content wins inside the
-    batch), classified NEW / CHANGED / SAME against the manifest, and only
+    Each micro-batch is de-duplicated by key: the content with the greatest ``order``
+    wins (without one, and on ties, the greatest hash, so that data and manifest always
+    agree).  Keys are then classified NEW / CHANGED / SAME against the manifest, and only
     NEW / CHANGED rows are appended; the manifest version of the batch is
     written last, so a replayed batch is detected and skipped.
     """
@@ -127,11 +128,11 @@ def run_content_ingest(spark: SparkSession, landing: str, schema: StructType, ou
         prev = _previous(spark, manifest_dir, batch_id)
         # hash once (narrow); de-duplicate and shuffle on (key, sha256), never on the text itself
         hashed = batch.withColumn("_sha", F.sha2(F.col(content), 256)).persist()
-        cur = hashed.select(F.col(key).alias("clave"), F.col("_sha").alias("sha256"),
-                            F.lit(None).cast("string").alias("ruta")).dropDuplicates(["clave", "sha256"])
+        rank = F.struct(*([order] if order else []), "_sha")
+        cur = hashed.groupBy(F.col(key).alias("clave")).agg(F.max_by("_sha", rank).alias("sha256")).withColumn("ruta", F.lit(None).cast("string"))
         if prev is None:
             prev = cur.limit(0)
-        cls = classify_against_manifest(cur, prev).where(F.col("estado") != "SAME").dropDuplicates(["clave"])
+        cls = classify_against_manifest(cur, prev).where(F.col("estado") != "SAME")
         want = cls.select(F.col("clave").alias(key), F.col("sha256").alias("_want"))
         fresh = (hashed.join(want, key).where(F.col("_sha") == F.col("_want"))
                  .dropDuplicates([key]).drop("_sha", "_want"))

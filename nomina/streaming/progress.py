@@ -37,20 +37,20 @@ def attempts_from_events(events: DataFrame) -> DataFrame:
 def progress(attempts: DataFrame, key: str = "organismo_id") -> DataFrame:
     """STR-01 (batch): latest status / error / count per key plus counters.
 
-    ``last_order`` (newest attempt) and ``last_error_order`` (newest error)
-    are kept so partial progress tables merge exactly (see ``merge_progress``).
+    Status, error, count and time are those of the newest attempt: a later success
+    clears the error.  ``data_total`` adds up all attempts.  ``last_order`` (newest
+    attempt) is kept so partial progress tables merge exactly (see ``merge_progress``).
     """
     order = F.struct(F.col("ts").alias("ts"), F.col("intento_id").alias("id"))
-    err_order = F.when(F.col("error").isNotNull(), order)
     return attempts.groupBy(key).agg(
         F.max_by("status", order).alias("status"),
         F.max("ts").alias("last_attempt"),
         F.count_if(F.col("status") == "success").alias("success_count"),
         F.count_if(F.col("status") == "error").alias("error_count"),
-        F.max_by(F.col("error"), err_order).alias("last_error"),
+        F.max_by("error", order).alias("last_error"),
         F.max_by("data_count", order).alias("data_count"),
         F.max_by("processing_time", order).alias("processing_time"),
-        F.max(order).alias("last_order"), F.max(err_order).alias("last_error_order"))
+        F.sum("data_count").alias("data_total"), F.max(order).alias("last_order"))
 
 
 PUBLIC_COLS = ["organismo_id", "status", "last_attempt", "success_count", "error_count", "last_error",
@@ -64,7 +64,7 @@ def progress_summary(prog: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "success").alias("exitosos"),
         F.count_if(F.col("status") == "error").alias("con_error"),
         F.count_if(F.col("status") == "no_data").alias("sin_datos"),
-        F.coalesce(F.sum("data_count"), F.lit(0)).alias("datos_extraidos"),
+        F.coalesce(F.sum("data_total"), F.lit(0)).alias("datos_extraidos"),
         F.max("last_attempt").alias("ultimo_intento"))
     return agg.withColumn("tasa_exito", F.when(F.col("total") > 0,
                                                F.col("exitosos") * 100.0 / F.col("total"))
@@ -80,10 +80,8 @@ def failures(prog: DataFrame, n: int = 20, key: str = "organismo_id") -> DataFra
 def merge_progress(current: DataFrame | None, batch_progress: DataFrame, key: str = "organismo_id") -> DataFrame:
     """Fold a micro-batch's progress into the stored table (STR-01 upsert).
 
-    Counters add; status / count / time follow the newest attempt and the
-    error follows the newest error, so folding batches in any order equals
-    the batch aggregate over all attempts.  (The reference resets columns its
-    upsert omits, A-20; here nothing is lost.)
+    Counters add; status, error, count and time follow the newest attempt, so
+    folding batches in any order equals the batch aggregate over all attempts.
     """
     if current is None:
         return batch_progress
@@ -94,8 +92,8 @@ def merge_progress(current: DataFrame | None, batch_progress: DataFrame, key: st
         F.max("last_attempt").alias("last_attempt"),
         F.sum("success_count").alias("success_count"),
         F.sum("error_count").alias("error_count"),
-        F.max_by("last_error", "last_error_order").alias("last_error"),
+        F.max_by("last_error", "last_order").alias("last_error"),
         F.max_by("data_count", "last_order").alias("data_count"),
         F.max_by("processing_time", "last_order").alias("processing_time"),
-        F.max("last_order").alias("last_order"),
-        F.max("last_error_order").alias("last_error_order")).select(*cols)
+        F.sum("data_total").alias("data_total"),
+        F.max("last_order").alias("last_order")).select(*cols)

@@ -20,8 +20,8 @@ def test_csv_dialect_sniffing_latin1_semicolon(spark):
     os.makedirs(base)
     with open(f"{base}/tabla.csv", "w", encoding="latin-1") as fh:
         fh.write("Estamento;Grado;Remuneración\nDirectivo;1;7.738.744\nTécnico;2;659.267\n")
-    sep, enc = FS.sniff_dialect(spark, base)
-    assert (sep, enc) == (";", FS.LATIN1)
+    (f,) = FS.file_dialects(spark, base).collect()
+    assert (f["sep"], f["encoding"], f["header"][:9]) == (";", FS.LATIN1, "Estamento")
     rows = FS.csv_dialect_scan(spark, base).collect()
     assert [r["Estamento"] for r in rows] == ["Directivo", "Técnico"]
     assert rows[0]["Remuneración"] == "7.738.744"
@@ -42,6 +42,20 @@ def test_month_dir_scan_provenance_and_union(spark):
     assert FS.load_many(spark, [f"{root}/no/existe.csv"]) is None
 
 
+def test_each_file_has_its_own_header_and_encoding(spark):
+    root = _local(scratch_path(spark, f"raw-{uuid.uuid4().hex[:8]}"))
+    os.makedirs(f"{root}/sii/2025-09")
+    plain = "".join(f"Luis,{n},Z\n" for n in range(400))
+    files = {"a.csv": ("Nombres,Sueldo,Cargo\n" + plain, "utf-8"), "b.csv": ("Sueldo,Cargo,Nombres,Extra\n300,Z,Eva,x\n", "utf-8"),
+             "c.csv": ("Nombres,Sueldo,Cargo\n" + plain + "Muñoz,1,Técnico\n", "latin-1"), "d.csv": ("Nombres;Sueldo\nJosé;5\n", "utf-8"), "e.csv": ("", "utf-8")}
+    for name, (text, encoding) in files.items():
+        with open(f"{root}/sii/2025-09/{name}", "w", encoding=encoding) as fh:
+            fh.write(text)
+    rows = {(r["archivo_origen"], r["Nombres"], r["Sueldo"], r["Cargo"], r["Extra"]) for r in FS.month_dir_scan(spark, root).collect() if r["Nombres"] != "Luis"}
+    assert rows == {("b.csv", "Eva", "300", "Z", "x"), ("c.csv", "Muñoz", "1", "Técnico", None), ("d.csv", "José", "5", None, None)}
+    assert FS.month_dir_scan(spark, root).count() == 803
+
+
 def test_json_records_nested_path(spark):
     doc = {"result": {"records": [{"nombre": "Ana", "sueldo": "1.200.000"}, {"nombre": "Luis", "sueldo": "950.000"}]}}
     df = spark.createDataFrame([(1, json.dumps(doc))], "id long, j string")

@@ -30,3 +30,27 @@ def test_progress_stream_incremental_and_idempotent(spark, sf_small):
     assert run2 == _rows(progress(attempts_from_events(ev)))
     batches = ING.session_log(spark, state).count()
     assert batches == 3                                                                  # 2 + 1 files
+
+
+def test_latest_content_of_a_key_goes_to_data_and_manifest(spark):
+    import hashlib
+
+    landing, out, man, ck = (scratch_path(spark, f"{x}-{uuid.uuid4().hex[:8]}") for x in ("land", "data", "man", "ck"))
+    rows = [(1, "OLD", 1), (1, "NEW", 2), (2, "ONE", 1), (2, "ONE", 1)]
+    df = spark.createDataFrame(rows, "k long, t string, at long")
+    df.coalesce(1).write.parquet(landing)
+    run = lambda: sorted((r["k"], r["t"]) for r in ING.run_content_ingest(spark, landing, df.schema, out, man, ck, "k", "t", order="at").collect())
+    assert run() == [(1, "NEW"), (2, "ONE")]
+    df.coalesce(1).write.mode("append").parquet(landing)
+    assert run() == [(1, "NEW"), (2, "ONE")]
+    manifest = {r["clave"]: r["sha256"] for r in spark.read.parquet(man).where("v = 1").collect()}
+    assert manifest == {1: hashlib.sha256(b"NEW").hexdigest(), 2: hashlib.sha256(b"ONE").hexdigest()}
+    spark.createDataFrame([(1, "OLD", 9)], "k long, t string, at long").write.mode("append").parquet(landing)
+    assert run() == [(1, "NEW"), (1, "OLD"), (2, "ONE")]
+
+
+def test_a_success_clears_the_error(spark):
+    att = spark.createDataFrame([(1, 1, 10, "error", "boom", 0, 1.0), (1, 2, 20, "success", None, 7, 1.0), (2, 3, 5, "success", None, 3, 1.0), (2, 4, 6, "error", "bad", 0, 1.0)],
+                                "organismo_id long, intento_id long, ts long, status string, error string, data_count long, processing_time double")
+    got = {r["organismo_id"]: (r["last_error"], r["data_total"]) for r in progress(att).collect()}
+    assert got == {1: (None, 7), 2: ("bad", 3)}
