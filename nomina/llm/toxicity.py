@@ -36,6 +36,8 @@ EXAMPLES = 8000
 TERMS = 2048
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks read before bounds are compared.
+FIRST = 8
 #: Least G2 of a term, and least examples with it.
 LEAST_G2, LEAST_DOCS = 25.0, 4
 SOFT = 0.05
@@ -55,8 +57,9 @@ def _terms(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """The examples.  ``terms`` sorted hashes, ``idf``; postings by (block, term): ``ptr``,
-    ``example``, ``weight``; ``high`` the largest weight a term and block."""
+    """The examples.  ``terms`` sorted hashes, ``idf``; the blocks' postings one after another:
+    ``example``, ``term``, ``weight``, block b from ``ptr[b]`` on; ``high`` the largest weight
+    a term and block."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -65,6 +68,7 @@ class Index:
     stands: np.ndarray
     ptr: np.ndarray
     example: np.ndarray
+    term: np.ndarray
     weight: np.ndarray
     high: np.ndarray
     plain: float
@@ -90,31 +94,38 @@ class Index:
 
     def nearest(self, term: np.ndarray, w: np.ndarray, but: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of greatest cosine (above 0) with the vector, and the cosines."""
-        blocks = self.high.shape[1]
         bound = w @ self.high[term]
         order = np.argsort(-bound, kind="stable")
-        best_e, best_c = np.empty(0, np.int64), np.empty(0)
-        step, lo = 4, 0
-        while lo < blocks and bound[order[lo]] > 0:
-            if len(best_c) >= k and bound[order[lo]] < best_c[k - 1] - 1e-9:
-                break
-            some = order[lo:lo + step]
-            some = some[bound[some] > 0]
-            sums = np.zeros(len(some) * BLOCK)
-            for i, b in enumerate(some):
-                for t, x in zip(term, w, strict=True):
-                    p, q = self.ptr[b * len(self.terms) + t], self.ptr[b * len(self.terms) + t + 1]
-                    if q > p:
-                        sums[i * BLOCK + self.example[p:q] - b * BLOCK] += x * self.weight[p:q]
-            at = np.flatnonzero(sums > 0)
-            e = some[at // BLOCK] * BLOCK + at % BLOCK
-            at, e = at[e != but], e[e != but]
-            best_e, best_c = np.concatenate([best_e, e]), np.concatenate([best_c, np.round(sums[at], 12)])
+        full = np.zeros(len(self.terms))
+        full[term] = w
+        best_e, best_c = self._cosines(order[:FIRST], full, but, k)
+        # whatever block can still reach the k-th neighbour, or tie with it, is read whole
+        least = best_c[k - 1] - 1e-9 if len(best_c) >= k else 0.0
+        more = order[FIRST:]
+        more = more[bound[more] >= least] if least > 0 else more[bound[more] > 0]
+        if len(more):
+            e, c = self._cosines(more, full, but, k)
+            best_e, best_c = np.concatenate([best_e, e]), np.concatenate([best_c, c])
             top = np.lexsort((best_e, -best_c))[:k]
             best_e, best_c = best_e[top], best_c[top]
-            lo, step = lo + step, min(64, 2 * step)
         return best_e, best_c
 
+    def _cosines(self, blocks: np.ndarray, full: np.ndarray, but: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best examples of some blocks."""
+        at = slice(None) if 2 * len(blocks) > len(self.ptr) else np.concatenate([np.arange(self.ptr[b], self.ptr[b + 1]) for b in blocks])
+        sums = np.bincount(self.example[at], weights=full[self.term[at]] * self.weight[at], minlength=len(self.ids))
+        if 0 <= but < len(sums):
+            sums[but] = 0
+        e = np.flatnonzero(sums > 0)
+        if isinstance(at, slice):
+            e = e[np.isin(e // BLOCK, blocks)]
+        c = np.round(sums[e], 12)
+        if len(e) > 4 * k:
+            some = c >= np.partition(c, len(c) - k)[len(c) - k]
+            e, c = e[some], c[some]
+        top = np.lexsort((e, -c))[:k]
+        return e[top], c[top]
+
     def vote(self, e: np.ndarray, cosine: np.ndarray) -> float:
         w = self.stands[e] / (1 - np.minimum(cosine, 1) + SOFT)
         return float((w * self.label[e]).sum() / w.sum())
@@ -159,7 +170,7 @@ def _bare(terms: np.ndarray, n: np.ndarray, size: int) -> Index:
     """An index that knows its terms, but no examples yet.  ``n``: examples with each term."""
     order = np.argsort(terms)
     none, line = np.empty(0, np.int64), np.array([0.0, 1.0])
-    return Index(terms[order], np.log((1 + size) / (1 + n[order])) + 1, none, none, none, none, none, none, none, 0.0, (line, line))
+    return Index(terms[order], np.log((1 + size) / (1 + n[order])) + 1, none, none, none, none, none, none, none, none, 0.0, (line, line))
 
 
 def _vectorise(rows: DataFrame, index: Index) -> list:
@@ -189,10 +200,8 @@ def _fill(index: Index, rows: list) -> None:
     e = np.repeat(np.arange(len(full)), [len(x["terms"]) for x in full])
     t = np.array([y for x in full for y in x["terms"]], np.int64)
     w = np.array([y for x in full for y in x["weights"]], float)
-    cell = e // BLOCK * terms + t
-    order = np.argsort(cell, kind="stable")
-    index.example, index.weight = e[order], w[order]
-    index.ptr = np.searchsorted(cell[order], np.arange(blocks * terms + 1))
+    index.example, index.term, index.weight = e, t, w  # by example, hence by block
+    index.ptr = np.searchsorted(e // BLOCK, np.arange(blocks + 1))
     index.high = np.zeros((terms, blocks))
     np.maximum.at(index.high, (t, e // BLOCK), w)
 
