@@ -85,7 +85,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], d
         for batch in batches:
             letters = np.array([any(map(str.isalpha, t or "")) for t in batch.column(1).to_pylist()], bool)
             parts = [np.empty((0, len(names)))]
-            for _, c in words.chunks(batch.column(1), powers, words.SPACE):
+            for _, c in words.chunks(batch.column(1), powers, words.SPACE, size=1 << 20):
                 total = np.zeros((c.n, len(names)))
                 if names and len(c.start):
                     value, word = memo.of(c, score)

@@ -46,7 +46,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 
         for batch in batches:
             cols = [[] for _ in range(3)]
-            for _, c in words.chunks(batch.column(1), powers, words.SPACE):
+            for _, c in words.chunks(batch.column(1), powers, words.SPACE, size=1 << 20):
                 value, word = memo.of(c, count)
                 kinds = np.unique(c.doc * len(value) + word) // max(1, len(value)) if len(word) else c.doc
                 tokens = np.bincount(c.doc, weights=value[word, 0], minlength=c.n) if len(word) else np.zeros(c.n)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 #: Bytes that end a word: ASCII white space (0x20, 0x09-0x0D).
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -50,7 +50,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def chunks(texts: pa.Array, powers: Powers, ends: np.ndarray, lower: np.ndarray = SAME) -> Iterator[tuple[int, Chunk]]:
+def chunks(texts: pa.Array, powers: Powers, ends: np.ndarray, lower: np.ndarray = SAME, size: int = CHUNK) -> Iterator[tuple[int, Chunk]]:
     """(first row, Chunk) over the rows of ``texts``; a null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -62,7 +62,7 @@ def chunks(texts: pa.Array, powers: Powers, ends: np.ndarray, lower: np.ndarray
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
         hi = min(hi, lo + 4096, len(texts))
         yield lo, Chunk(lower[data[off[lo]:off[hi]]], off[lo:hi + 1] - off[lo], powers, ends)
         lo = hi
