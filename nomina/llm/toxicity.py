@@ -58,8 +58,8 @@ def _terms(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Index:
     """The examples.  ``terms`` sorted hashes, ``idf``; the blocks' postings one after another:
-    ``example``, ``term``, ``weight``, block b from ``ptr[b]`` on; ``high`` the largest weight
-    a term and block."""
+    ``example``, ``term``, ``weight``, block b from ``ptr[b]`` on; ``list_``: the same by term,
+    term t from ``list_ptr[t]`` on; ``high`` the largest weight a term and block."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -70,6 +70,8 @@ class Index:
     example: np.ndarray
     term: np.ndarray
     weight: np.ndarray
+    list_: np.ndarray
+    list_ptr: np.ndarray
     high: np.ndarray
     plain: float
     curve: tuple[np.ndarray, np.ndarray]
@@ -96,29 +98,37 @@ class Index:
         """The ``k`` examples of greatest cosine (above 0) with the vector, and the cosines."""
         bound = w @ self.high[term]
         order = np.argsort(-bound, kind="stable")
-        full = np.zeros(len(self.terms))
-        full[term] = w
-        best_e, best_c = self._cosines(order[:FIRST], full, but, k)
+        best_e, best_c = self._cosines(order[:FIRST], term, w, but, k)
         # whatever block can still reach the k-th neighbour, or tie with it, is read whole
         least = best_c[k - 1] - 1e-9 if len(best_c) >= k else 0.0
         more = order[FIRST:]
         more = more[bound[more] >= least] if least > 0 else more[bound[more] > 0]
         if len(more):
-            e, c = self._cosines(more, full, but, k)
+            e, c = self._cosines(more, term, w, but, k, least)
             best_e, best_c = np.concatenate([best_e, e]), np.concatenate([best_c, c])
             top = np.lexsort((best_e, -best_c))[:k]
             best_e, best_c = best_e[top], best_c[top]
         return best_e, best_c
 
-    def _cosines(self, blocks: np.ndarray, full: np.ndarray, but: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best examples of some blocks."""
-        at = slice(None) if 2 * len(blocks) > len(self.ptr) else np.concatenate([np.arange(self.ptr[b], self.ptr[b + 1]) for b in blocks])
-        sums = np.bincount(self.example[at], weights=full[self.term[at]] * self.weight[at], minlength=len(self.ids))
+    def _cosines(self, blocks: np.ndarray, term: np.ndarray, w: np.ndarray, but: int, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best examples of some blocks that reach ``least``: few blocks are read block by block, many by
+        the lists of the vector's terms."""
+        sums = np.zeros(len(self.ids))
+        if len(blocks) <= 2 * FIRST:
+            full = np.zeros(len(self.terms))
+            full[term] = w
+            at = np.concatenate([np.arange(self.ptr[b], self.ptr[b + 1]) for b in blocks])
+            sums += np.bincount(self.example[at], weights=full[self.term[at]] * self.weight[at], minlength=len(sums))
+        else:
+            for t, x in zip(term.tolist(), w.tolist(), strict=True):
+                at = self.list_[self.list_ptr[t]:self.list_ptr[t + 1]]
+                sums[self.example[at]] += x * self.weight[at]
+            wanted = np.zeros(len(self.ptr) - 1, bool)
+            wanted[blocks] = True
+            sums[~np.repeat(wanted, BLOCK)[:len(sums)]] = 0
         if 0 <= but < len(sums):
             sums[but] = 0
-        e = np.flatnonzero(sums > 0)
-        if isinstance(at, slice):
-            e = e[np.isin(e // BLOCK, blocks)]
+        e = np.flatnonzero(sums >= least if least > 0 else sums > 0)
         c = np.round(sums[e], 12)
         if len(e) > 4 * k:
             some = c >= np.partition(c, len(c) - k)[len(c) - k]
@@ -170,7 +180,7 @@ def _bare(terms: np.ndarray, n: np.ndarray, size: int) -> Index:
     """An index that knows its terms, but no examples yet.  ``n``: examples with each term."""
     order = np.argsort(terms)
     none, line = np.empty(0, np.int64), np.array([0.0, 1.0])
-    return Index(terms[order], np.log((1 + size) / (1 + n[order])) + 1, none, none, none, none, none, none, none, none, 0.0, (line, line))
+    return Index(terms[order], np.log((1 + size) / (1 + n[order])) + 1, *[none] * 10, 0.0, (line, line))
 
 
 def _vectorise(rows: DataFrame, index: Index) -> list:
@@ -202,6 +212,8 @@ def _fill(index: Index, rows: list) -> None:
     w = np.array([y for x in full for y in x["weights"]], float)
     index.example, index.term, index.weight = e, t, w  # by example, hence by block
     index.ptr = np.searchsorted(e // BLOCK, np.arange(blocks + 1))
+    index.list_ = np.argsort(t, kind="stable")
+    index.list_ptr = np.searchsorted(t[index.list_], np.arange(terms + 1))
     index.high = np.zeros((terms, blocks))
     np.maximum.at(index.high, (t, e // BLOCK), w)
 
