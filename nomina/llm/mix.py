@@ -31,6 +31,8 @@ BLOCK = 256
 SHARD_BLOCKS = 4096
 #: Documents of a range of hashes, on average, whose sizes one task adds up in order.
 BIN_ROWS = 4096
+#: Bits of a document's fraction of a copy.
+PART_BITS = 30
 WEIGHTS = (5, 2, 1)
 ROUNDS = 6
 
@@ -148,7 +150,7 @@ def slots(sources: DataFrame, shards: int, seed: int, block: int) -> DataFrame:
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", percent: int = 150, most: int = 2,
             weights: tuple[int, ...] = WEIGHTS, seed: int = 7, block: int = BLOCK, key: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two tables.  Documents: _row, _id, _digest, size, source_size, target, taken (words the
+    """Two tables.  Documents: _row, _id, _digest, _src, size, source_size, target, taken (words the
     mix takes, repeats counted).  Pieces: shard, pass, slot and for each the words lo..hi of a
     document (_row) that stand there."""
     rows = keep(stream(docs, doc_id, text, source, key or (text,)))
@@ -164,4 +166,28 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     per_doc = pieces.groupBy("_row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
     named = sources.select(F.col("_src").alias("_s"), F.col("words").alias("source_size"), "target")
     out = rows.join(small(named, F.col("_s").cast("string")), F.col("_src").eqNullSafe(F.col("_s"))).join(per_doc, "_row", "left")
-    return out.select("_row", "_id", "_digest", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")), pieces
+    return out.select("_row", "_id", "_digest", "_src", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")), pieces
+
+
+def whole(out: DataFrame, seed: int = 7) -> DataFrame:
+    """The mix in whole documents: _id, _digest, ``n`` rows with this key and ``copies``, the
+    times they stand together.  Each has the whole part of taken / size copies; the fractions
+    are added up by source, class of size (eight an octave) and hash of the id, and the
+    document at which the sum passes a whole number has one more.  A document's copies are
+    thus right on average, and those of each class of sizes within one of their sum."""
+    rows = keep(out.where("size > 0").groupBy("_src", "_id", "_digest").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.sum("taken").alias("taken"))
+                .withColumns({"_f": F.expr(f"((taken % size) << {PART_BITS}) div size"), "_h": hash60(F.col("_id")),
+                              "_c": F.expr("length(bin(size)) * 8 + (size << 3 >> length(bin(size)) - 1) % 8")}))
+    bits = (rows.count() // (8 * BIN_ROWS)).bit_length()
+    rows = rows.withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
+    before = Window.partitionBy("_src").orderBy("_c", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    # each source starts at a seeded fraction of its own
+    start = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_src").isNull(), F.coalesce(F.col("_src").cast("string"), F.lit(""))), 64 - PART_BITS)
+    bins = rows.groupBy("_src", "_c", "_b").agg(F.sum("_f").alias("f"))
+    bins = bins.select(F.col("_src").alias("_s"), F.col("_c").alias("_cc"), F.col("_b").alias("_bb"), (F.coalesce(F.sum("f").over(before), F.lit(0)) + start).alias("_first"))
+    inner = Window.partitionBy("_src", "_c", "_b").orderBy("_h", "_id", "_digest").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_at", F.coalesce(F.sum("_f").over(inner), F.lit(0)))
+    same = F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_cc")) & (F.col("_b") == F.col("_bb"))
+    rows = rows.join(small(keep(bins), F.col("_s").cast("string")), same).withColumn("_at", F.col("_at") + F.col("_first"))
+    more = F.shiftright(F.col("_at") + F.col("_f"), PART_BITS) - F.shiftright("_at", PART_BITS)
+    return rows.select("_id", "_digest", "n", (F.expr("taken div size") + more).alias("copies")).where("copies > 0")

@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomina.llm.common import attach, table
-from nomina.llm.mix import mixture
+from nomina.llm.common import attach, keep, only_rows, table
+from nomina.llm.mix import mixture, whole
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,12 +14,21 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes its words, in whole documents: taken /
-    size, rounded; documents that the mix leaves out go, documents taken twice stand twice."""
-    out, _ = mixture(docs, key=("text", "source"))
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    copies = out.groupBy("_id", "_digest").agg(F.max(copies).alias("_copies")).where("_copies > 0")
-    mixed = attach(docs, copies, "doc_id", "text", "source")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    size, the fractions rounded so that the words of each source come near its target;
+    documents that the mix leaves out go, documents taken twice stand twice.  Repeated rows
+    share their copies evenly, one of them has those left over."""
+    copies = keep(whole(mixture(docs, key=("text", "source"))[0]))
+
+    def times(rows: DataFrame, n: str) -> DataFrame:
+        mixed = attach(rows, copies.select("_id", "_digest", F.expr(n).cast("int").alias("_copies")).where("_copies > 0"), "doc_id", "text", "source")
+        return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+    again = keep(copies.where("n > 1 and copies % n > 0"))
+    mixed = times(docs, "copies div n")
+    if again.isEmpty():
+        return mixed
+    once = only_rows(docs, again, "doc_id", "text", "source").dropDuplicates(["doc_id", "text", "source"])
+    return mixed.union(times(once, "if(n > 1, copies % n, 0)"))
 
 
 QUERIES = {"op8_mix_sources": op8_mix_sources}

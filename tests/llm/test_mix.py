@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from nomina.llm import catalog, mix
+from nomina.llm import catalog, mix, q_mix
 from tests.llm.conftest import nasty_documents
 
 
@@ -90,3 +90,33 @@ def test_multinomial_counts_by_shard(spark):
     assert (s.groupby(["_src", "pass"]).block.nunique() == s.groupby(["_src", "pass"]).size()).all()
     per = s[s._src == "b"].groupby("shard").size()
     assert len(per) == 4 and per.between(1400, 1725).all()
+
+
+def test_stage_keeps_the_targets_in_whole_documents(spark):
+    """Documents of many blocks have about their source's rate; the words of each source come
+    near its target all the same, in long documents as in short ones."""
+    r = random.Random(4)
+    share = {"a": 300_000, "b": 600_000, "c": 1_400_000, "d": 300_000}
+    docs, words = [], {}
+    for s, n in share.items():
+        while words.get(s, 0) < n:
+            size = r.choice([r.randrange(1, 200), r.randrange(2000, 5000)])
+            docs.append((len(docs), "w " * size, s))
+            words[s] = words.get(s, 0) + size
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    sizes = {i: (len(t) // 2, s) for i, t, s in docs}
+    target = brute_targets(words)
+    got = [x[0] for x in q_mix.stage(spark, frame, "").select("doc_id").collect()]
+    for s in share:
+        for least, off in ((0, 0.03), (2000, 0.05)):
+            own = sum(n for n, t in sizes.values() if t == s and n >= least)
+            kept = sum(sizes[i][0] for i in got if sizes[i][1] == s and sizes[i][0] >= least)
+            assert abs(kept / own - target[s] / words[s]) < off, (s, least, kept / own, target[s] / words[s])
+
+
+def test_stage_shares_copies_among_repeated_rows(spark):
+    docs = [(1, "w " * 600, "a")] * 5 + [(i, "w " * 300, "a") for i in range(2, 40)] + [(i, "w " * 300, "b") for i in range(40, 400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    taken = sum(x["taken"] for x in mix.mixture(frame, key=("text", "source"))[0].collect() if x["_id"] == 1)
+    got = [x[0] for x in q_mix.stage(spark, frame, "").select("doc_id").collect()].count(1)
+    assert got in (taken // 600, taken // 600 + 1)
