@@ -90,8 +90,8 @@ def link_relevance(links: DataFrame, text: str = "texto", url: str = "url",
 
 
 def link_domain_filter(links: DataFrame, domain: str, key: str = "page_id", url: str = "url",
-                       cap: int | None = 5) -> DataFrame:
-    """SRC-13: links on one domain, de-duplicated in first-seen order, first ``cap`` per key."""
+                       cap: int | None = None) -> DataFrame:
+    """SRC-13: links on one domain, de-duplicated in first-seen order; with ``cap`` the first per key."""
     on = links.where(host(url).contains(domain))
     first = on.groupBy(key, url).agg(F.min("posicion").alias("posicion"))
     if cap is None:

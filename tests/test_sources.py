@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from nomina.session import scratch_path
 from nomina.sources import documents as D
 from nomina.sources import files as FS
+from nomina.sources import html as H
 
 
 def _local(path: str) -> str:
@@ -89,3 +90,9 @@ def test_load_gate_failures(spark):
         load_gate(spark.createDataFrame([("A", None)], "organismo string, sueldo_bruto double"))
     with pytest.raises(LoadGateError, match="tasa de nulos"):
         load_gate(ok, max_null_rate=0.25)
+
+
+def test_domain_links_have_no_cap_by_default(spark):
+    links = spark.createDataFrame([(1, f"https://a.example.com/{i}", i) for i in range(8)], "page_id long, url string, posicion int")
+    assert H.link_domain_filter(links, "example.com").count() == 8
+    assert H.link_domain_filter(links, "example.com", cap=5).count() == 5
