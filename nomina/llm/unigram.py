@@ -93,11 +93,13 @@ class Trie:
 def best_counts(trie: Trie, cost: np.ndarray) -> np.ndarray:
     """Pieces of the cheapest segmentation of every prefix (of equally cheap ones the fewest).
     ``cost``: whole numbers by piece."""
-    key = np.full(trie.n, np.iinfo(np.int64).max)
-    key[0] = 0
+    least, count = np.full(trie.n, np.iinfo(np.int64).max // 2), np.zeros(trie.n, np.int64)
+    least[0] = 0
     for own, up, piece in trie.steps:
-        key[own] = np.minimum(key[own], key[up] + (cost[piece] << 20) + 1)
-    return key & ((1 << 20) - 1)
+        c, n = least[up] + cost[piece], count[up] + 1
+        better = (c < least[own]) | ((c == least[own]) & (n < count[own]))
+        least[own], count[own] = np.where(better, c, least[own]), np.where(better, n, count[own])
+    return count
 
 
 def all_segmentations(trie: Trie, logp: np.ndarray) -> np.ndarray:

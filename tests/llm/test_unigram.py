@@ -1,4 +1,5 @@
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -91,3 +92,12 @@ def test_vocabulary_finds_what_it_has(n):
     got = v.find(c.span_hash(c.off[:-1], c.off[1:]))
     want = {p: i for i, p in enumerate(pieces)}
     assert got.tolist() == [want[p] for p in pieces] + [-1]
+
+
+def test_counts_of_very_long_pre_tokens():
+    """A chain of more than 2**20 single pieces, and a dearer piece that skips one of them."""
+    n, zero = (1 << 20) + 3, np.array([0])
+    steps = ((np.array([i]), np.array([i - 1]), zero) for i in range(1, n + 1))
+    skip = [(np.array([n]), np.array([n - 2]), np.array([1]))]
+    trie = SimpleNamespace(n=n + 1, steps=(x for part in (steps, skip) for x in part))
+    assert unigram.best_counts(trie, np.array([9000, 18_001]))[-2:].tolist() == [n - 1, n]
