@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_unigram", "q_decontaminate", "q_licences", "q_quality", "q_shard", "q_similar", "q_mix", "q_toxicity", "q_html", "q_conversations")
+MODULES = ("q_unigram", "q_decontaminate", "q_licences", "q_quality", "q_shard", "q_similar", "q_mix", "q_toxicity", "q_html", "q_conversations", "q_simhash", "q_align")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -6,7 +6,7 @@ from nomina.llm import catalog
 from tests.llm.conftest import oracle, rows_of
 
 EMPTY = {"op1_token_counts", "op2_decontaminate", "op3_licence_scan", "op4_host_rules", "op5_histogram_sort", "op6_ngram_jaccard",
-         "op7_language_id", "op8_mix_sources", "op9_toxicity", "op10_line_blocks", "op13_prefix_trie"}
+         "op7_language_id", "op8_mix_sources", "op9_toxicity", "op10_line_blocks", "op11_simhash", "op12_align_tokens", "op13_prefix_trie"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
