@@ -1,5 +1,12 @@
 """The pipeline against its parts: SQL for the stages that have it, brute force for the mix."""
 
+import hashlib
+import struct
+from collections import Counter
+
+import xxhash
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from nomina.llm import q_decontaminate, q_mix, q_quality, q_shard, q_similar
 from nomina.llm.mix import mixture
@@ -23,6 +30,39 @@ def _sql(sql, at):
     return con.execute(sql).df()
 
 
+def size_class(n: int) -> int:
+    """Eight classes an octave."""
+    return n.bit_length() * 8 + (n << 3 >> n.bit_length() - 1) % 8
+
+
+def copies_by_running_sums(plan: list[dict], seed: int = 7, bits: int = 30) -> Counter:
+    """Copies of every document, in whole numbers: the fractions of a source's documents are
+    added up by size class and hash of the id, and each full one is a copy more."""
+    out, rows = Counter(), {}
+    for r in plan:
+        if r["size"]:
+            key = r["_src"], r["_id"], r["_digest"]
+            n, taken = rows.get(key, (r["size"], 0))
+            rows[key] = n, taken + r["taken"]
+
+    def place(key):
+        text = "" if key[1] is None else str(key[1])
+        return key[0] or "", size_class(rows[key][0]), int(hashlib.md5(text.encode()).hexdigest()[:15], 16), key[1] or 0, key[2]
+
+    at = {}
+    for key in sorted(rows, key=place):
+        size, taken = rows[key]
+        if key[0] not in at:  # a seeded start for each source: XXH64 of the seed, a null mark and the name
+            h = 42
+            for part in (struct.pack("<i", seed), struct.pack("<i", key[0] is None), (key[0] or "").encode()):
+                h = xxhash.xxh64_intdigest(part, h)
+            at[key[0]] = h >> 64 - bits
+        before = at[key[0]]
+        at[key[0]] += (taken % size << bits) // size
+        out[key[1]] += taken // size + (at[key[0]] >> bits) - (before >> bits)
+    return out
+
+
 def test_stages_one_by_one(spark, sf_small, tmp_path):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     cols = docs.columns
@@ -45,9 +85,16 @@ def test_stages_one_by_one(spark, sf_small, tmp_path):
 
     d = _folder(tmp_path, "d", clean, spark, sf_small)
     mixed = q_mix.stage(spark, spark.read.parquet(f"{d}/documents.parquet"), sf_small)
-    plan = mixture(spark.read.parquet(f"{d}/documents.parquet"))[0].toPandas()
-    times = [i for i, n, t in zip(plan._id, plan["size"], plan.taken, strict=True) for _ in range(int(t / n + 0.5) if n else 0)]
-    assert mixed.columns == cols and sorted(r[0] for r in mixed.select("doc_id").collect()) == sorted(times)
+    plan = [r.asDict() for r in mixture(spark.read.parquet(f"{d}/documents.parquet"), key=("text", "source"))[0].collect()]
+    times = copies_by_running_sums(plan)
+    got = mixed.select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("size"), "source").collect()
+    assert mixed.columns == cols and Counter(r[0] for r in got) == +times
+    for source in {r["_src"] for r in plan}:
+        own = [r for r in plan if r["_src"] == source and r["size"]]
+        most = {}  # of each class of sizes the sum is right but for one document
+        for r in own:
+            most[size_class(r["size"])] = max(most.get(size_class(r["size"]), 0), r["size"])
+        assert abs(sum(r.size for r in got if r.source == source) - own[0]["target"]) <= sum(most.values()) + 1
 
     e = _folder(tmp_path, "e", mixed, spark, sf_small)
     last = q_shard.stage(spark, spark.read.parquet(f"{e}/documents.parquet"), sf_small)
