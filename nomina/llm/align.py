@@ -1,14 +1,15 @@
 """Alignment of two tokenizers over a corpus, by byte offsets.
 
-Both tokenizers end a token before a single space between two characters that are no white
-space, so a text is a row of pieces (a space and what follows up to the next such space)
-that are tokenized and aligned apart.  ``Aligner`` checks that the vocabularies keep to
-that.  Within a task each distinct piece is aligned once.
+Some places end a token of both tokenizers whatever is around them: before a single space
+between two characters that are no white space, and between a Latin letter and an ASCII
+sign that no piece of the vocabulary has after a letter.  A text (with the space in front of
+it) is cut there into pieces, which are tokenized and aligned apart, each distinct one once
+in a task.
 
 1.  The new pieces of a batch: pandas ``merge_asof``, keyed by piece, finds for each token
     start the other side's covering token; the union of both directions are the overlaps.
     Overlapping tokens with equal ends close a group.  Every A token of a group is linked
-    with every B token of it.
+    with every B token of it.  A document's distinct id pairs are kept, packed.
 2.  Id pairs are counted by documents over the whole corpus (each task adds up its own
     first); a pair is an A id's best if no pair of that id has a higher count.
 3.  Each document sums its links' counts.  The most frequent pairs, as many as HEAD allows,
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -40,8 +42,9 @@ from nomina.llm.common import keep
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: How byte-level BPE of this kind cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CUT = re.compile(r"(?<=\S) (?=\S)")
 MARK = "▁"
+#: Letters at which a text may be cut: Latin ones, which all Unicode versions agree on.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Bytes of text aligned at once, pieces a task remembers, pair counts it holds before it
 #: sends them on, and pairs that are broadcast.
 CHUNK, PIECES, HELD, HEAD = 1 << 20, 400_000, 1 << 20, 1 << 20
@@ -83,9 +86,14 @@ class Aligner:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(MARK in x.lstrip(MARK) for x in names if x != MARK):
             raise ValueError("a piece of the vocabulary goes on after a space")
+        mixed = {y for i, x in enumerate(names) if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i))
+                 for y in re.findall(f"(?<=[{LETTERS}])[!-/:-@\\[-`{{-~\t\n\r]", x)}
+        signs = "".join(re.escape(chr(c)) for c in (*range(9, 11), 13, *range(33, 127)) if not chr(c).isalnum() and chr(c) not in mixed)
+        self.cut = re.compile(rf"(?<=\S)(?= \S)|(?<=[{LETTERS}])(?=[{signs}])")
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         self.n_b = len(names)
+        self.kind = "<i4" if len(self.a_len) * self.n_b < 1 << 31 else "<i8"
         self.clear()
 
     def clear(self) -> None:
@@ -98,14 +106,14 @@ class Aligner:
     def numbers(self, text: str) -> list[int]:
         """The numbers of a text's pieces; new pieces get the next ones."""
         index = self.index
-        return [index.setdefault(p, len(index)) for p in CUT.split(text)] if text else []
+        return [index.setdefault(p, len(index)) for p in self.cut.split(" " + text)] if text else []
 
     def learn(self) -> None:
         """Tokenize and align the pieces that are new since the last call."""
         new = list(islice(self.index, len(self.text), None))
         if not new:
             return
-        n, size = len(new), np.array([len(p.encode()) + 1 for p in new])
+        n, size = len(new), np.array([len(p.encode()) for p in new])
         base = np.cumsum(size) - size
         (a_piece, a), (b_piece, b), valid = self._encode(new, size)
         left, right = self._tokens(a_piece, a, self.a_len, base), self._tokens(b_piece, b, self.b_len, base)
@@ -133,26 +141,32 @@ class Aligner:
 
     def _encode(self, new: list[str], size: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
         """(piece, id) of all A tokens and of all B tokens, by piece; and which pieces B gives
-        back.  Pieces that begin and end with no white space are cut from their neighbours,
-        so they go through the tokenizers as one text."""
+        back.  Pieces are cut from their neighbours whatever these are, so they go through the
+        tokenizers as one text (but those that end with white space or begin with two)."""
         valid, a, b = np.ones(len(new), bool), [], []
-        alone = {i for i, p in enumerate(new) if p[0].isspace() or p[-1].isspace() or MARK in p}
+        alone = {i for i, p in enumerate(new) if p[-1].isspace() or MARK in p or p[0] == " " and (len(p) == 1 or p[1].isspace())}
         row = [i for i in range(len(new)) if i not in alone]
         if row:
-            line = " ".join([new[i] for i in row])
-            begin = np.cumsum(size[row]) - size[row]
-            x, y = np.array(self.a.encode_ordinary(" " + line), np.int64), np.array(self.b.encode(line), np.int64)
-            if b"".join([self.b_bytes[i] for i in y.tolist()]) == b" " + line.encode():
+            # a piece that follows a letter gets one, which no piece owns
+            fill = np.array([0 if new[i][0] == " " else 2 for i in row])
+            line = "".join([new[i] if new[i][0] == " " else " a" + new[i] for i in row])
+            begin = np.cumsum(size[row] + fill) - size[row]
+            edges = np.stack([begin - fill, begin], axis=1).ravel()
+            owner = np.stack([np.where(fill > 0, -1, row), row], axis=1).ravel()
+            x, y = np.array(self.a.encode_ordinary(line), np.int64), np.array(self.b.encode(line[1:]), np.int64)
+            if b"".join([self.b_bytes[i] for i in y.tolist()]) == line.encode():
                 for ids, length, out in ((x, self.a_len, a), (y, self.b_len, b)):
                     at = np.cumsum(length[ids]) - length[ids]
-                    out.append((np.array(row)[np.searchsorted(begin, at, "right") - 1], ids))
+                    piece = owner[np.searchsorted(edges, at, "right") - 1]
+                    out.append((piece[piece >= 0], ids[piece >= 0]))
             else:
                 alone = range(len(new))
         for i in alone:
-            y = self.b.encode(new[i])
-            valid[i] = b"".join([self.b_bytes[j] for j in y]) == b" " + new[i].encode()
+            after = new[i][0] != " "
+            y = self.b.encode("a" + new[i])[1:] if after else self.b.encode(new[i][1:])
+            valid[i] = b"".join([self.b_bytes[j] for j in y]) == new[i].encode()
             if valid[i]:
-                for ids, out in ((self.a.encode_ordinary(" " + new[i]), a), (y, b)):
+                for ids, out in ((self.a.encode_ordinary(new[i]), a), (y, b)):
                     out.append((np.full(len(ids), i), np.array(ids, np.int64)))
         none = (np.empty(0, np.int64), np.empty(0, np.int64))
         found = []
@@ -234,23 +248,62 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
             first, texts, size = i + 1, [], 0
 
 
-def pair_counts(docs: DataFrame, text: str, vocabularies) -> DataFrame:
-    """pair, n (documents that hold it linked): partial counts of each task."""
+def _packed(pair: np.ndarray, times: np.ndarray, kind: str) -> bytes:
+    """Ascending pairs by their differences, and their links, compressed."""
+    return zlib.compress(np.concatenate([np.diff(pair, prepend=0), times]).astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), kind).astype(np.int64)
+    return np.cumsum(both[:len(both) // 2]), both[len(both) // 2:]
+
+
+def aligned(docs: DataFrame, doc_id: str, text: str, vocabularies) -> DataFrame:
+    """A row a document: _row, _id, n_a, n_b, n_groups, n_links, groups_sha256, _pairs (packed)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Aligner(*vocabularies.value)
-        pair, n = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            for _, texts in _chunks(batch.column(0)):
-                new = Documents(texts, own).links(own)[1]
-                _, pair, n = _distinct(np.zeros(len(pair) + len(new), np.int64), np.concatenate([pair, new]), np.concatenate([n, np.ones(len(new), np.int64)]))
+            for first, texts in _chunks(batch.column(2)):
+                d = Documents(texts, own)
+                edge = np.searchsorted(d.doc, np.arange(d.n + 1))
+                cols = []
+                for value in own.sizes.T[1:]:
+                    total = np.concatenate([[0], np.cumsum(value[d.piece])])
+                    cols.append(pa.array(total[edge[1:]] - total[edge[:-1]]))
+                names = [";".join([own.text[i] for i in x]) if ok and x else "" for x, ok in zip(d.numbers, d.valid, strict=True)]
+                doc, pair, times = d.links(own)
+                at = np.searchsorted(doc, np.arange(d.n + 1)).tolist()
+                packs = [_packed(pair[i:j], times[i:j], own.kind) for i, j in zip(at, at[1:], strict=False)]
+                part = batch.slice(first, d.n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *cols, pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in names]), pa.array(packs, pa.binary())],
+                    names=["_row", "_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "_pairs"])
                 if len(own.index) > PIECES:
                     own.clear()
-                if len(pair) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
-                    pair, n = np.empty(0, np.int64), np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, f"_row long, _id {dict(rows.dtypes)['_id']}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, _pairs binary")
+
+
+def pair_counts(rows: DataFrame, kind: str) -> DataFrame:
+    """pair, n (documents that hold it linked); each task adds up its own first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            pair, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                held.append(_unpacked(data, kind)[0])
+                size += len(held[-1])
+                if size > HELD:
+                    yield out()
+                    held, size = [], 0
+        yield out()
+
+    return rows.select("_pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def frequent(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -273,55 +326,42 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_file: s
     spark = docs.sparkSession
     with open(a_file, encoding="utf-8") as a, open(b_file, "rb") as b:
         vocabularies = spark.sparkContext.broadcast((a.read(), b.read()))
-    n_b = Aligner(*vocabularies.value).n_b
-    counts = keep(pair_counts(docs, text, vocabularies))
+    one = Aligner(*vocabularies.value)
+    n_b, kind = one.n_b, one.kind
+    rows = keep(aligned(docs, doc_id, text, vocabularies))
+    counts = keep(pair_counts(rows, kind))
     highest = counts.groupBy(F.expr(f"pair div {n_b}").alias("_a")).agg(F.max("n").alias("_max"))  # a row an A id at most
     pairs = keep(counts.join(F.broadcast(highest), F.expr(f"pair div {n_b}") == F.col("_a")).select("pair", "n", F.expr("if(n = _max, 1L, 0L)").alias("best")))
     *known, all_of = frequent(pairs, head)
     shared = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (pair, n, best) = Aligner(*vocabularies.value), shared.value
+        pair, n, best = shared.value
         for batch in batches:
-            for first, texts in _chunks(batch.column(2)):
-                d = Documents(texts, own)
-                at = np.minimum(np.searchsorted(pair, own.pair), max(0, len(pair) - 1))
-                hit = pair[at] == own.pair if len(pair) else np.zeros(len(own.pair), bool)
-                sums = []
-                for value in (best, n):  # what a piece's links add, if their pairs are known
-                    add = np.concatenate([[0], np.cumsum(np.where(hit, own.times * value[at], 0) if len(pair) else np.zeros(len(own.pair), np.int64))])
-                    sums.append(add[own.first[1:]] - add[own.first[:-1]])
-                cols = []
-                for value in (*own.sizes.T[1:], *sums):
-                    total = np.concatenate([[0], np.cumsum(value[d.piece])])
-                    edge = np.searchsorted(d.doc, np.arange(d.n + 1))
-                    cols.append(pa.array(total[edge[1:]] - total[edge[:-1]]))
-                names = [";".join([own.text[i] for i in x]) if ok and x else "" for x, ok in zip(d.numbers, d.valid, strict=True)]
-                rare = np.zeros(len(own.pair) + 1, np.int64)
-                np.cumsum(~hit, out=rare[1:])
-                with_rare = (rare[own.first[1:]] > rare[own.first[:-1]])[d.piece]  # pieces with other pairs
-                doc, piece, c = _distinct(d.doc[with_rare], d.piece[with_rare])
-                of, link = own.expand(piece)
-                left = ~hit[link]
-                of, link = of[left], link[left]
-                doc, other, times = _distinct(doc[of], own.pair[link], own.times[link] * c[of])
-                off = pa.array(np.searchsorted(doc, np.arange(d.n + 1)), pa.int32())
-                part = batch.slice(first, d.n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *cols, pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in names]),
-                     pa.ListArray.from_arrays(off, pa.array(other)), pa.ListArray.from_arrays(off, pa.array(times))],
-                    names=["_row", "_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "_pairs", "_times"])
-                if len(own.index) > PIECES:
-                    own.clear()
-
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    out = rows.mapInArrow(run, f"_row long, _id {dict(rows.dtypes)['_id']}, {', '.join(f'{c} long' for c in numbers)}, groups_sha256 string, _pairs array<long>, _times array<long>")
+            links = [_unpacked(data, kind) for data in batch.column("_pairs").to_pylist()]
+            doc = np.repeat(np.arange(len(links)), [len(x) for x, _ in links])
+            own, times = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*links, strict=True)) if links else (np.empty(0, np.int64),) * 2
+            at = np.minimum(np.searchsorted(pair, own), max(0, len(pair) - 1))
+            hit = pair[at] == own if len(pair) else np.zeros(len(own), bool)
+            edge = np.searchsorted(doc, np.arange(len(links) + 1))
+            cols = []
+            for value in (best, n):
+                total = np.zeros(len(own) + 1, np.int64)
+                np.cumsum(np.where(hit, times * value[at], 0) if len(pair) else total[1:], out=total[1:])
+                cols.append(pa.array(total[edge[1:]] - total[edge[:-1]]))
+            off = pa.array(np.searchsorted(doc[~hit], np.arange(len(links) + 1)), pa.int32())
+            rest = [pa.ListArray.from_arrays(off, pa.array(x[~hit])) for x in (own, times)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols, *rest], names=[*batch.schema.names[:-1], "n_best", "count_sum", "_others", "_times"])
+
+    numbers = ("n_a", "n_b", "n_groups", "n_links")
+    out = rows.mapInArrow(run, f"_row long, _id {dict(rows.dtypes)['_id']}, {', '.join(f'{c} long' for c in numbers)}, groups_sha256 string, n_best long, count_sum long, "
+                               "_others array<long>, _times array<long>")
+    cols = ("_row", "_id", *numbers, "n_best", "count_sum", "groups_sha256")
     if all_of:
-        return out.drop("_pairs", "_times"), pairs
+        return out.select(*cols), pairs
     out = keep(out)
-    rest = out.select("_row", F.explode(F.arrays_zip("_pairs", "_times")).alias("e")).select("_row", F.col("e._pairs").alias("pair"), F.col("e._times").alias("_t"))
+    rest = out.select("_row", F.explode(F.arrays_zip("_others", "_times")).alias("e")).select("_row", F.col("e._others").alias("pair"), F.col("e._times").alias("_t"))
     rest = rest.join(pairs, "pair").groupBy("_row").agg(F.sum(F.col("_t") * F.col("best")).alias("_best"), F.sum(F.col("_t") * F.col("n")).alias("_sum"))
-    out = out.drop("_pairs", "_times").join(rest, "_row", "left").withColumns({
+    out = out.join(rest, "_row", "left").withColumns({
         "n_best": F.col("n_best") + F.coalesce("_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("_sum", F.lit(0))})
-    return out.drop("_best", "_sum"), pairs
+    return out.select(*cols), pairs
