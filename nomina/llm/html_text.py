@@ -1,23 +1,28 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped into lines, one for each block element.  A line's weight is the length of
-its text, 0 if it stands in a menu, header, footer, sidebar, notice, advert, form or comment,
-or outside the page's article where one is marked, or if most of it is link text.  Weights
-are summed over sliding windows of ``WINDOW`` lines.  Text begins where a sum surges to
-``SURGE`` characters (or to the page's greatest sum, if that is less) and ends where the sums
-dive to 0; what lies between is kept.
+Markup is stripped into lines, one for each block element.  Lines in a menu, header, footer,
+sidebar, notice, advert, form or comment leave the sequence.  A line's weight is the length
+of its text, 0 if most of it is link text or if it stands outside the page's main element
+(or, without one, its articles) where one is marked.  Weights are summed over sliding windows
+of ``WINDOW`` lines.  Text begins where a sum surges to ``SURGE`` characters (or to the page's
+greatest sum, if that is less) and ends where the sums dive to 0; what lies between the first
+and the last weighty line is kept, lines of links included.  Lines inside a marked element
+all have weight, so that none of them is lost.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by line feeds.  A <br> is white space inside its block.
 
 Edge cases: null, empty and markup-only pages give an empty text; unclosed elements end with
 their parent or the page, an unclosed comment or script with the page; a page's text is never
-cut; repeated rows each give a row."""
+cut, however long or deeply nested; of runs with the same sums all are kept; repeated rows
+each give a row; columns other than the named ones are not read; an empty table gives an
+empty result."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,7 +51,9 @@ _NAMES = frozenset(("ad ads adv advert adverts advertisement advertising adsense
                     "login search searchbox form toc skip tagcloud").split())
 #: With one of these parts a name speaks of the article, whatever else it has.
 _OWN = frozenset("article post entry content story main body text page".split())
-_SAFE = frozenset(("html", "body", "article", "main", "p", "h1", "b", "i", "em", "strong", "span", "a"))
+#: Elements whose names say nothing: those that hold the text itself, the second kind only inside a marked element.
+_SAFE = frozenset("html body article main h1 h2 h3 h4 h5 h6 b i em strong a code blockquote pre".split())
+_SAFE_INSIDE = frozenset("p li td th tr dd dt caption figcaption figure".split())
 #: Elements that end an open one of the same kind.
 _ENDS = {"p": _BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -61,7 +68,7 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
         return tag not in ("html", "body")
     if own.get("role", "").lower() in _ROLES:
         return True
-    if tag in _SAFE - {"p", "span"}:
+    if tag in _SAFE or in_article and tag in _SAFE_INSIDE:
         return False
     for name in (own.get("class", "") + " " + own.get("id", "")).lower().split():
         parts = set(re.split(r"[-_:]+", name))
@@ -70,19 +77,28 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters of links, dropped, number of the article it is in or 0) of each block."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, dropped, article
+def lines(page: str) -> tuple[list[tuple[str, int, int]], set[int]]:
+    """(text, characters of links, number of the marked element it is in or 0) of each block that
+    is not dropped; and the numbers of main elements."""
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []  # tag, dropped, marked element, open links
+    opened: Counter[str] = Counter()
+    mains: set[int] = set()
     text: list[str] = []
     linked = articles = links = 0
     at = 0
 
+    def close(first: int) -> None:
+        nonlocal links
+        opened.subtract(t for t, _, _, _ in stack[first:])
+        del stack[first:]
+        links = stack[-1][3] if stack else 0
+
     def flush() -> None:
         nonlocal linked
         if text:
-            if line := " ".join(html.unescape("".join(text)).split()):
-                out.append((line, linked, bool(stack and stack[-1][1]), stack[-1][2] if stack else 0))
+            if (line := " ".join(html.unescape("".join(text)).split())) and not (stack and stack[-1][1]):
+                out.append((line, linked, stack[-1][2] if stack else 0))
             text.clear()
         linked = 0
 
@@ -101,15 +117,14 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         tag = tag.lower()
         if closing:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if opened[tag] > 0 else None
             if found is None:
                 if tag in _BLOCK:
                     flush()
                 continue
-            if any(t in _BLOCK or t in _DROP for t, _, _ in stack[found:]) or stack[found][1] != (stack[found - 1][1] if found else False):
+            if any(t in _BLOCK or t in _DROP for t, _, _, _ in stack[found:]) or stack[found][1] != (stack[found - 1][1] if found else False):
                 flush()
-            del stack[found:]
-            links = sum(t == "a" for t, _, _ in stack)
+            close(found)
             continue
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
@@ -119,10 +134,10 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         if tag in _BLOCK:
             flush()
             for open_, ends in _ENDS.items():  # an element that the new one ends
-                if tag in ends:
+                if tag in ends and opened[open_] > 0:
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == open_:
-                            del stack[i:]
+                            close(i)
                             break
                         if stack[i][0] in _BLOCK:
                             break
@@ -131,29 +146,29 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         if attributes.endswith("/") and tag not in _BLOCK:
             continue
-        _, dropped, article = stack[-1] if stack else ("", False, 0)
+        _, dropped, article, _ = stack[-1] if stack else ("", False, 0, 0)
         own = _dropped(tag, attributes, article > 0)
         if own and not dropped:
             flush()
-        if not article and not (dropped or own) and (tag in _ARTICLE or re.search(r"""role\s*=\s*["']?main|itemprop\s*=\s*["']?articleBody""", attributes)):
+        main = tag == "main" or bool(re.search(r"""role\s*=\s*["']?main|itemprop\s*=\s*["']?articleBody""", attributes))
+        if not article and not (dropped or own) and (main or tag in _ARTICLE):
             articles += 1
             article = articles
-        stack.append((tag, dropped or own, article))
-        links = sum(t == "a" for t, _, _ in stack)
+            if main:
+                mains.add(article)
+        links += tag == "a"
+        opened[tag] += 1
+        stack.append((tag, dropped or own, article, links))
     if at < len(page) and not re.match(r"<[a-zA-Z/!?]", page[at:at + 2]):
         add(page[at:] if "<" not in page[at:] else re.sub(r"<[a-zA-Z/!?][^<]*\Z", "", page[at:]))
     flush()
-    return out
+    return out, mains
 
 
 def main_text(page: str | None) -> str:
-    rows = lines(page or "")
-    if any(article and not dropped for _, _, dropped, article in rows):
-        # what the article leaves out inside does not interrupt it; what is outside does
-        rows = [(t, n, not a, a) for t, n, dropped, a in rows if not (a and dropped)]
-        weight = [0 if dropped else len(t) for t, _, dropped, _ in rows]
-    else:
-        weight = [0 if dropped or 2 * n > len(t) else len(t) for t, n, dropped, _ in rows]
+    rows, mains = lines(page or "")
+    marked = {a for _, _, a in rows if a in mains} or {a for _, _, a in rows if a}
+    weight = [len(t) if a in marked or not marked and 2 * n <= len(t) else 0 for t, n, a in rows]
     sums = [sum(weight[i:i + WINDOW]) for i in range(len(weight))]
     surge = min(SURGE, max(sums, default=0))
     kept: list[str] = []
@@ -163,7 +178,8 @@ def main_text(page: str | None) -> str:
         while j < len(sums) and sums[j]:
             j += 1
         if j > i and max(sums[i:j]) >= surge:
-            kept += [rows[k][0] for k in range(i, j) if weight[k]]
+            weighty = [k for k in range(i, j) if weight[k]]
+            kept += [rows[k][0] for k in range(weighty[0], weighty[-1] + 1) if weight[k] or not marked]
         i = max(j, i + 1)
     return "\n".join(kept)
 

@@ -32,6 +32,42 @@ def test_edge_cases(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_what_looks_like_a_notice_inside_the_text_stays(marked):
+    def page(inner):
+        return f"<body><nav><a href=/>Home</a></nav>{'<article>' if marked else '<div>'}{inner}{'</article>' if marked else '</div>'}<footer>{LONG}</footer></body>"
+
+    # a paragraph that is mostly a link
+    assert main_text(page(f"<p>{LONG}</p><p>See <a href=/r>the full report on this matter</a>.</p><p>{LONG} 2</p>")) == f"{LONG}\nSee the full report on this matter.\n{LONG} 2"
+    # dropped blocks before a short last paragraph
+    asides = f"<aside><p>{LONG}</p></aside>" * 3
+    assert main_text(page(f"<p>{LONG}</p>{asides}<p>Short end.</p>")) == f"{LONG}\nShort end."
+    # headings never go by their name
+    assert main_text(page(f"<h2 class='header'>Heading</h2><p>{LONG}</p><h3 id=comments>Other</h3><p>{LONG}</p>")) == f"Heading\n{LONG}\nOther\n{LONG}"
+
+
+def test_names_of_text_elements_inside_an_article():
+    inner = f"<p class='legal'>{LONG}</p><p class=\"note side\">b</p><ul><li class=share>c</li></ul><blockquote class=notice>d</blockquote><table><tr><td class=ad>e</td></tr></table>"
+    assert main_text(f"<article>{inner}<div class=ad>no</div></article>") == f"{LONG}\nb\nc\nd\ne"
+
+
+def test_articles_outside_the_main_element():
+    page = f"<main><p>{LONG}</p></main><section><article><p>{LONG} teaser</p></article></section>"
+    assert main_text(page) == LONG
+    assert main_text(page.replace("main", "article")) == f"{LONG}\n{LONG} teaser"
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        t = time.process_time()
+        assert main_text("<a></a><i><b>" * n + "x" + "</u></b>" * n) == "x"
+        took.append(time.process_time() - t)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_very_long_and_odd_pages():
     many = "".join(f"<p>{LONG} {i}</p>" for i in range(20_000))
     assert main_text(f"<article>{many}</article>").count("\n") == 19_999
