@@ -143,7 +143,8 @@ def slots(sources: DataFrame, shards: int, seed: int, block: int) -> DataFrame:
                 got = np.clip(left - before, 0, full)
                 yield pd.DataFrame({"_src": [src] * count, "pass": e, "slot": j, "shard": shard, "block": b, "n": got})
 
-    runs = runs.drop("_k").repartition("_src", "pass", "shard", "first")
+    # as many tasks as output shards, each with about a shard's slots
+    runs = runs.drop("_k").repartition(shards, "_src", "pass", "shard", "first")
     return runs.select("_src", "blocks", "tail", "pkey", "pass", "left", "where", "shard", "first", "n_slots").mapInPandas(
         fill, f"_src {kind}, pass int, slot long, shard int, block long, n long").where("n > 0")
 
