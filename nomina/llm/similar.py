@@ -10,12 +10,15 @@
     to SIGNATURE parity bits, and bits that differ come from shingles that only one has.
 4.  First every class meets one pivot of each of its prefix shingles.  Pairs inside a
     component found so far cannot change the result, so only shingles that still hold
-    several components go on: with another pivot while many pairs are open, then with all
-    open pairs.  A group of K near copies thus costs about K pairs, and no link between
-    components is lost.
+    several components go on, with new pivots: one of the shingle's largest component and
+    PIVOTS of others, drawn anew.  Pivots go on as long as they join components or the pairs that are left
+    open are more than a few times the rows; the rest are then compared as they are.  A group
+    of K near copies thus costs about K pairs a round, and no link between components is lost.
 
 Edge cases: null, empty or wordless texts have an empty set and link with nothing; texts
-with fewer words than a shingle have one; equal rows are one class; tables may be empty."""
+with fewer words than a shingle have one; very long texts are a chunk of their own; ties in
+the order of shingles go by the hash; equal rows are one class; columns other than the named
+ones are not read; tables may be empty."""
 
 from __future__ import annotations
 
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nomina.llm import words
@@ -34,9 +37,12 @@ from nomina.llm.decontaminate import bitmap, passes
 BUCKETS = 1 << 20
 BLOCK = 1 << 10
 SIGNATURE = 512
-#: Open pairs a prefix row, on average, up to which the filters see them all at once.
-OPEN_PAIRS = 200
-PIVOT_ROUNDS = 4
+#: Open pairs a prefix row, on average, that are compared without further pivots.
+OPEN_PAIRS = 2
+#: Components of a shingle from which a pivot is drawn in a round, besides the largest.
+PIVOTS = 15
+#: Share of the components that a round of pivots must join for another to follow.
+PROGRESS = 0.01
 
 
 def bucket_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -155,34 +161,41 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
         return rows.select("node", F.col("node").alias("root"))
     rows = few(rows, n_rows)
     bits = few(nodes, 2 * nodes.count()).select("node", "n", *[F.col("bits")[i].alias(f"bits{i}") for i in range(SIGNATURE // 64)])
-    tested, roots, n_roots = None, None, 0
-    for turn in range(PIVOT_ROUNDS + 1):
-        live, last = rows.withColumn("root", F.col("node")), False
+    tested, roots, turn, joined, last = None, None, 0, 1.0, False
+    while not last:
+        live = rows.withColumn("root", F.col("node"))
         if roots is not None:
             live = rows.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-            # shingles that still hold several components, and the pairs the join would look at
-            of = live.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).cast("double").alias("c"))
-            of = keep(few(of.where("lo <> hi").select("gram", (F.col("c") * (F.col("c") - 1) / 2).alias("pairs")), n_rows))
-            n_pairs = of.agg(F.sum("pairs")).first()[0]
-            if not n_pairs:
+            # shingles that still hold several components, and the pairs between these
+            of = live.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
+            of = of.groupBy("gram").agg(F.sum("c").cast("double").alias("c"), F.sum(F.col("c").cast("double") ** 2).alias("own"), F.count(F.lit(1)).alias("k"))
+            of = keep(few(of.where("k > 1").select("gram", ((F.col("c") ** 2 - F.col("own")) / 2).alias("pairs")), n_rows))
+            n_open = of.agg(F.sum("pairs")).first()[0]
+            if not n_open:
                 break
             live = keep(few(live.join(of.select("gram"), "gram"), n_rows))
-            last = n_pairs <= OPEN_PAIRS * n_rows or turn == PIVOT_ROUNDS
+            last = n_open <= OPEN_PAIRS * n_rows or joined < PROGRESS
         ids = (F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
         if last:  # all open pairs; the suffix filter is in the join, so only its survivors come out
             live = live.join(bits.drop("n"), "node")
             x, y = live.alias("x"), live.alias("y")
             pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
                            & _near(percent) & _alike(percent)).select(*ids).distinct()
-        else:  # a pivot of one component, and one of another, a shingle; others each turn
-            draw = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")
-            ends = live.groupBy("gram").agg(F.min(draw).alias("lo"), F.max(draw).alias("hi"))
-            ends = ends.select("gram", F.explode(F.array("lo") if roots is None else F.array("lo", "hi")).alias("p")).select("gram", "p.node", "p.n", "p.pos", "p.root")
+        else:
+            node = F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "n", "pos", "root")
+            per = live.groupBy("gram", "root").agg(F.min(node).alias("p"), F.count(F.lit(1)).alias("c"))
+            if roots is None:
+                ends = per.groupBy("gram").agg(F.min_by("p", F.xxhash64("root", F.lit(turn))).alias("p"))
+            else:
+                drawn = Window.partitionBy("gram").orderBy(F.xxhash64("root", F.lit(turn)), "root")
+                ends = per.groupBy("gram").agg(F.max_by("p", F.struct("c", "root")).alias("p")).union(
+                    per.withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= PIVOTS).select("gram", "p")).distinct()
+            ends = ends.select("gram", "p.node", "p.n", "p.pos", "p.root")
             x, y = live.alias("x"), ends.alias("y")
             pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _near(percent)).select(*ids).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = keep(few(pairs, n_rows))
+        pairs = keep(pairs)
         n_pairs = pairs.count()
         x, y = bits.alias("x"), bits.alias("y")
         pairs = few(pairs, n_pairs).join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_alike(percent))
@@ -191,12 +204,12 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
         new = keep(_verify(few(pairs, n_pairs), sets, percent))
         tested = new if tested is None else tested.union(new)
         links = few(new.where("linked").select("a", "b"), n_pairs)
+        before = live.select("root").distinct().count()
         if roots is not None:
             links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = keep(few(components(links), n_roots + 2 * n_pairs))
-        n_roots = roots.count()
-        if last:
-            break
+        roots = keep(components(links))
+        after = live.select("node").join(small(roots), "node", "left").select(F.coalesce("root", "node")).distinct().count()
+        joined, turn = 1 - after / before, turn + 1
     return roots
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from nomina.llm import similar as module
@@ -28,11 +29,12 @@ def brute(texts: dict[int, str]) -> dict[int, int]:
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("pairs,rounds", [(200, 4), (0, 1)])
-def test_near_copies_against_brute_force(spark, monkeypatch, pairs, rounds):
-    """Groups of near copies around the threshold; also with all pairs left to the last join."""
+@pytest.mark.parametrize("pairs,progress", [(2, 0.01), (0, 1.1), (0, 1e-9)])
+def test_near_copies_against_brute_force(spark, monkeypatch, pairs, progress):
+    """Groups of near copies around the threshold; also with one round of pivots, and with
+    rounds until none joins anything."""
     monkeypatch.setattr(module, "OPEN_PAIRS", pairs)
-    monkeypatch.setattr(module, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(module, "PROGRESS", progress)
     r = random.Random(5)
     texts = {}
     for group in range(4):
@@ -56,3 +58,35 @@ def test_components_of_a_path_a_hub_and_loops(spark):
     r.shuffle(links)
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(80)}, 1999: 1999, 2000: 1999}
+
+
+def test_two_thousand_near_misses(spark):
+    """Edits of one text, most pairs of which are just below the bound: the components are those
+    of all pairs compared."""
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3])):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        if i % 5 == 0:
+            w += [f"t{r.randrange(40)}" for _ in range(r.randrange(8))]
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[j:j + 4]) for j in range(len(t.split()) - 3)} for _, t in rows]
+    index = {g: j for j, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [index[g] for g in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    linked = 100 * both >= 85 * (n[:, None] + n[None, :] - both)
+    assert 0.02 < linked.mean() < 0.9
+    root = np.arange(len(rows))
+    while True:
+        new = np.array([root[linked[i]].min() for i in range(len(rows))])
+        if (new == root).all():
+            break
+        root = new
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {x._id: x.component for x in similar(df).collect()}
+    assert got == dict(enumerate(root.tolist()))
