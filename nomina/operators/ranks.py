@@ -12,11 +12,11 @@ value.  It is built in three distributed steps:
 
 1. collapse rows to distinct ``(by, x)`` with a partially-aggregated
    ``groupBy`` -- a hot value or hot group collapses map-side;
-2. cut the value axis into ``B`` buckets at approximate quantiles of the
-   distinct values (``B`` split points are the only thing that reaches the
-   driver, a bounded list), assign buckets with the JVM ``Bucketizer``;
-3. per-(group, bucket) totals -> exclusive prefix offsets (G x B rows) ->
-   a window *inside* each (group, bucket) adds the local running count.
+2. deal these out by ranges of ``(by, x)`` (Spark's range exchange, whose split points come
+   from a bounded sample of each partition), so that a large group is split whatever range
+   its values span;
+3. per-(group, range) totals -> exclusive prefix offsets (at most groups + ranges rows) ->
+   a window *inside* each (group, range) adds the local running count.
 
 Rank ties are handled exactly: with ``k`` rows at value ``x`` and ``below``
 rows smaller, the 1-based positions are ``below+1 .. below+k``.
@@ -24,20 +24,14 @@ rows smaller, the 1-based positions are ``below+1 .. below+k``.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nomina.operators.selection import quantiles
 from nomina.session import ensure_checkpoint_dir
 
 _BUCKET = "_bucket"
 
-def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
-    if n_buckets:
-        return n_buckets
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, parts * 4)
-
 
 def value_ranks(df: DataFrame, value: str, by=(), n_buckets: int | None = None) -> DataFrame:
     """Rank table ``(by..., value, cnt, below, below_sum, n, total)`` over non-null values.
@@ -48,23 +42,18 @@ def value_ranks(df: DataFrame, value: str, by=(), n_buckets: int | None = None)
     vals = (df.select(*by, F.col(value).cast("double").alias(value))
             .where(F.col(value).isNotNull() & ~F.isnan(value))
             .groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt")))
-    # The distinct-value table feeds two jobs (split points, then ranks): write it
-    # once to the shared checkpoint dir so the raw input is scanned only once and
-    # a lost executor recomputes from here, not from the source.
+    # The ranges are written once to the shared checkpoint dir: totals and ranks then see
+    # the same ranges, the raw input is scanned only once, and a lost executor recomputes
+    # from here, not from the source.
     ensure_checkpoint_dir(df.sparkSession)
-    vals = vals.checkpoint(eager=True)
+    ranged = vals.repartitionByRange(n_buckets, *by, value) if n_buckets else vals.repartitionByRange(*by, value)
+    bucketed = ranged.withColumn(_BUCKET, F.spark_partition_id()).checkpoint(eager=True)
     wsum = F.col(value) * F.col("cnt")
-    nb = _n_buckets(df, n_buckets)
-    probs = [i / nb for i in range(1, nb)]
-    cuts = vals.approxQuantile(value, probs, 1.0 / (4 * nb)) if nb > 1 else []
-    splits = [float("-inf")] + (sorted({c for c in cuts if c == c}) or [0.0]) + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=value, outputCol=_BUCKET,
-                          handleInvalid="keep").transform(vals)
     totals = bucketed.groupBy(*by, _BUCKET).agg(
         F.sum("cnt").alias("_bcnt"), F.sum(F.col(value) * F.col("cnt")).alias("_bsum"))
     gw = Window.partitionBy(*by) if by else Window.partitionBy()
     ow = gw.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    # G x B rows: bounded by (#groups x buckets); the window runs per group.
+    # at most groups + ranges rows; the window runs per group
     offsets = totals.select(
         *by, _BUCKET,
         F.coalesce(F.sum("_bcnt").over(ow), F.lit(0)).alias("_off"),
@@ -126,10 +115,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
     """Exact linear-interpolated quantiles (pandas/``percentile`` semantics) per group.
 
     For position p = q*(n-1): the value at rank floor(p) plus frac * gap to
-    the next rank.  Each distinct value contributes through a conditional
-    max, so the final step is one partially-aggregated ``groupBy``.
+    the next rank, found by narrowing (``selection``): no table of distinct values.
     """
-    return quantiles_from_ranks(value_ranks(df, value, by, n_buckets), value, probs, by)
+    return quantiles(df, value, probs, by, **({"buckets": n_buckets} if n_buckets else {}))
 
 
 def quantiles_from_ranks(r: DataFrame, value: str, probs: dict[str, float], by=()) -> DataFrame:

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nomina.operators.scalars import attach_row
+from nomina.operators.selection import quantiles
+from nomina.sources.files import CSV_FORMAT
+
 
 class LoadGateError(ValueError):
     """Raised by ``load_gate`` when a frame must not be loaded."""
@@ -16,13 +20,15 @@ class LoadGateError(ValueError):
 
 def write_dated_and_latest(df: DataFrame, base: str, fmt: str = "csv",
                            partition: str = "periodo") -> tuple[str, str]:
-    """SRC-14: write partitioned by period, and a second 'latest' copy."""
+    """SRC-14: write partitioned by period, and a second 'latest' copy.  CSV files double the
+    quotes inside quotes, as other readers expect."""
     dated, latest = f"{base}/por_periodo", f"{base}/latest"
     # REBALANCE: AQE packs each period into few files and splits a hot period
     # across tasks (a plain repartition(partition) would give it one task).
-    w = df.hint("rebalance", partition).write.mode("overwrite").option("header", True)
+    options = {**CSV_FORMAT, "header": "true"} if fmt == "csv" else {}
+    w = df.hint("rebalance", partition).write.mode("overwrite").options(**options)
     w.partitionBy(partition).format(fmt).save(dated)
-    df.write.mode("overwrite").option("header", True).format(fmt).save(latest)
+    df.write.mode("overwrite").options(**options).format(fmt).save(latest)
     return dated, latest
 
 
@@ -83,16 +89,18 @@ def table_load_replace(df: DataFrame, path: str, as_of, required=("organismo", "
 def load_stats(df: DataFrame, as_of, origin: str, value: str = "sueldo_bruto") -> DataFrame:
     """One load-log row (SRC-17): counts, distincts and salary statistics."""
     v = F.col(value)
-    return df.agg(
+    stats = df.agg(
         F.count(F.lit(1)).alias("total_registros"),
         F.countDistinct("organismo").alias("organismos_unicos"),
         F.countDistinct("estamento").alias("estamentos_unicos"),
         F.countDistinct("grado").alias("grados_unicos"),
         F.countDistinct("fuente").alias("fuentes_unicas"),
-        F.avg(v).alias("promedio_sueldo"), F.median(v).alias("mediana_sueldo"),
-        F.min(v).alias("min_sueldo"), F.max(v).alias("max_sueldo"),
-        F.stddev_samp(v).alias("desv_std")).select(
-        F.lit(as_of).cast("timestamp").alias("fecha_carga"), "*", F.lit(origin).alias("archivo_origen"))
+        F.avg(v).alias("promedio_sueldo"), F.min(v).alias("min_sueldo"), F.max(v).alias("max_sueldo"),
+        F.stddev_samp(v).alias("desv_std"))
+    both = attach_row(stats, quantiles(df, value, {"mediana_sueldo": 0.5}))
+    return both.select(
+        F.lit(as_of).cast("timestamp").alias("fecha_carga"), "total_registros", "organismos_unicos", "estamentos_unicos", "grados_unicos", "fuentes_unicas",
+        "promedio_sueldo", "mediana_sueldo", "min_sueldo", "max_sueldo", "desv_std", F.lit(origin).alias("archivo_origen"))
 
 
 def metadata_append(stats_row: DataFrame, path: str) -> str:
@@ -103,5 +111,5 @@ def metadata_append(stats_row: DataFrame, path: str) -> str:
 
 def export_csv(spark, table_path: str, out: str) -> str:
     """SRC-18: stored table -> CSV export."""
-    spark.read.parquet(table_path).write.mode("overwrite").option("header", True).csv(out)
+    spark.read.parquet(table_path).write.mode("overwrite").options(**CSV_FORMAT).option("header", True).csv(out)
     return out
