@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nomina.operators.prefix import running_totals
 from nomina.operators.ranks import avg_rank_percentile
 
 SAL = "sueldo_bruto"
@@ -19,19 +20,11 @@ __all__ = ["avg_rank_percentile", "running_share", "top_n_per_group", "top_n_sum
 
 
 def running_share(grouped: DataFrame, order: str, measure: str) -> DataFrame:
-    """WIN-02: cumulative sum and cumulative share of ``measure`` in ``order``.
-
-    ``grouped`` is an aggregate (one row per ordered key, e.g. per month), so
-    the unpartitioned window runs over a bounded number of rows.
-    """
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    from nomina.operators.scalars import attach_row
-
-    total = grouped.agg(F.sum(measure).alias("_total"))
-    out = grouped.select("*", F.sum(measure).over(w).alias("acumulado"))
-    return (attach_row(out, total)
-            .withColumn("participacion_acumulada", F.try_divide(F.col("acumulado"), F.col("_total")))
-            .drop("_total"))
+    """WIN-02: cumulative sum and cumulative share of ``measure`` in ``order``, over any number
+    of rows (two-level running totals; no task holds them all)."""
+    out, total = running_totals(grouped, [order], measure, "acumulado")
+    kind = dict(out.dtypes)["acumulado"]
+    return out.withColumn("participacion_acumulada", F.try_divide(F.col("acumulado"), F.lit(total).cast(kind)))
 
 
 def top_n_per_group(df: DataFrame, group: str, item: str, n: int = 5) -> DataFrame:
@@ -57,7 +50,7 @@ def top_issues(issues: DataFrame, kind: str, order: str, per_kind: int = 10, ove
     """WIN-04: first ``per_kind`` issues per type, then the first ``overall`` of those."""
     from nomina.operators.sampling import top_k_per_group
 
-    first = top_k_per_group(issues, kind, [F.col(order)], F.lit(per_kind), salt_key=order).drop("rango")
+    first = top_k_per_group(issues, kind, [F.col(order)], per_kind).drop("rango")
     return first.orderBy(kind, order).limit(overall)
 
 

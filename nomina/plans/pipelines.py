@@ -129,11 +129,12 @@ def enrich(df: DataFrame, materialize: bool = False) -> DataFrame:
     return out
 
 
-def categorise_filter_sample(df: DataFrame, floor: float = 200_000, target: int = 5000):
-    """PIP-05: five-way category -> split at ``floor`` -> stratified sample of the kept rows."""
+def categorise_filter_sample(df: DataFrame, floor: float = 200_000, target: int = 5000, big_body: str | None = None):
+    """PIP-05: five-way category -> split at ``floor`` -> stratified sample of the kept rows, of
+    which ``big_body`` may fill half."""
     d = df.withColumn("categoria_organismo", C.categorize_5("organismo"))
     kept, problems = FL.split_floor(d, SAL, floor)
-    return kept, problems, G.stratified_sample(kept, target)
+    return kept, problems, G.stratified_sample(kept, target, big_body=big_body)
 
 
 def geo_repair(df: DataFrame, apply: bool = True):

@@ -31,14 +31,17 @@ def _payroll_rows(spark, sf_dir):
 
 
 # --- SQL mirrors of the HTML helpers -----------------------------------------------------
-ANCHOR = H.ANCHOR_RE.replace("'", "''")
+# Patterns of their own, which hold for the driver's pages; the library reads tokens instead.
+ANCHOR = '<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+ROOT = "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
+FOLDER = "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/(?:[^?#]*/)?)"
 
 
 def _sql_resolve(base: str, href: str) -> str:
     h = f"trim({href})"
     scheme = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)"
-    root = f"regexp_extract({base}, '{H.SCHEME_HOST_RE}', 1)"
-    dirp = f"regexp_extract({base}, '{H.DIR_RE}', 1)"
+    root = f"regexp_extract({base}, '{ROOT}', 1)"
+    dirp = f"regexp_extract({base}, '{FOLDER}', 1)"
     return (f"CASE WHEN regexp_matches({h}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {h} "
             f"WHEN starts_with({h}, '//') THEN {scheme} || ':' || {h} "
             f"WHEN starts_with({h}, '/') THEN {root} || {h} "
@@ -50,7 +53,7 @@ def _sql_resolve(base: str, href: str) -> str:
 LINKS_SQL = f"""
 links AS (
   SELECT page_id, CAST(i - 1 AS INTEGER) AS posicion, {_sql_resolve('url', 'hrefs[i]')} AS url,
-    trim(regexp_replace(raws[i], '{H.TAG_RE}', '', 'g')) AS texto
+    trim(regexp_replace(raws[i], '<[^>]+>', '', 'g')) AS texto
   FROM (SELECT page_id, url, regexp_extract_all(html, '{ANCHOR}', 1) AS hrefs,
                regexp_extract_all(html, '{ANCHOR}', 2) AS raws FROM pages) p,
        LATERAL (SELECT unnest(generate_series(1, len(hrefs))) AS i))"""
@@ -122,6 +125,49 @@ def src06_month_dir_scan(spark, sf_dir):
                                                F.countDistinct("organismo").alias("organismos"))
 
 
+def _quoted(c):
+    """A CSV field in quotes, with the quotes inside doubled."""
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+@query("src06_csv_quoted_landing", """
+SELECT fuente, periodo, id, 'Luis "' || estamento || '", hijo' || CASE WHEN id % 3 = 0 THEN chr(10) || chr(10) || '2a línea, "x"' ELSE '' END AS nombre,
+  sueldo_texto AS sueldo FROM payroll""")
+def src06_csv_quoted_landing(spark, sf_dir):
+    """A landing as other programs write it: doubled quotes, delimiters and line breaks inside
+    quotes, empty lines before and between the records; half the files are of Latin-1 and
+    semicolons."""
+    root = _scratch(spark, "raw-quoted")
+    semi = F.col("_k") % 2 == 1
+    sep = F.when(semi, F.lit(";")).otherwise(F.lit(","))
+    name = F.concat(F.lit('Luis "'), F.col("estamento"), F.lit('", hijo'), F.when(F.col("id") % 3 == 0, F.lit('\n\n2a línea, "x"')).otherwise(F.lit("")))
+    p = _payroll_rows(spark, sf_dir).withColumn("_k", F.col("id").cast("long") % 2)
+    record = F.concat_ws("", F.col("id").cast("string"), sep, _quoted(name), sep, F.coalesce(_quoted(F.col("sueldo_texto")), F.lit("")))
+    p = p.select("fuente", "periodo", "_k", F.expr("id div 4000").alias("_c"), record.alias("_r"))
+    header = F.concat(F.lit("\n\n"), F.when(semi, F.lit("id;nombre;sueldo")).otherwise(F.lit("id,nombre,sueldo")))
+    files = p.groupBy("fuente", "periodo", "_k", "_c").agg(F.array_join(F.collect_list("_r"), "\r\n\n").alias("_body"))  # a file a row, at most 2,000 records
+    files = files.select("fuente", "periodo", F.concat(header, F.lit("\n"), F.col("_body")).alias("value"), semi.alias("_semi"))
+    for is_semi, encoding in ((False, "UTF-8"), (True, FS.LATIN1)):
+        body = F.col("value") if not is_semi else F.encode("value", FS.LATIN1)
+        part = files.where(F.col("_semi") == is_semi).select("fuente", "periodo", body.cast("string").alias("value"))
+        part.write.mode("append").partitionBy("fuente", "periodo").option("maxRecordsPerFile", 1).text(root)
+    # the sink names files .txt
+    df = FS.month_dir_scan(spark, root, as_of="2025-09-30 00:00:00", pattern="*.txt")
+    return df.select("fuente", "periodo", F.col("id").cast("long").alias("id"), "nombre", "sueldo")
+
+
+@query("src14_csv_quotes_back", """
+SELECT id, 'Luis "' || estamento || '", hijo' || CASE WHEN id % 5 = 0 THEN chr(10) || ' y más ' ELSE '' END AS nombre, periodo FROM payroll""")
+def src14_csv_quotes_back(spark, sf_dir):
+    """Names with quotes, delimiters, line breaks and outer spaces, written by period and read
+    back from the dated files."""
+    base = _scratch(spark, "sink-quoted")
+    name = F.concat(F.lit('Luis "'), F.col("estamento"), F.lit('", hijo'), F.when(F.col("id") % 5 == 0, F.lit("\n y más ")).otherwise(F.lit("")))
+    dated, _ = SK.write_dated_and_latest(_payroll_rows(spark, sf_dir).select("id", name.alias("nombre"), "periodo"), base)
+    back = FS.csv_dialect_scan(spark, f"{dated}/*/*.csv", lambda d: d.withColumn("periodo", F.regexp_extract("_metadata.file_path", "periodo=([^/]+)/", 1)))
+    return back.select(F.col("id").cast("long").alias("id"), "nombre", "periodo")
+
+
 @query("src07_provenance")
 def src07_provenance(spark, sf_dir):
     """Rows-only: lineage columns (file name, directory, source, period, time)."""

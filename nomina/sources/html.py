@@ -1,15 +1,17 @@
 """HTML corpus operators over a ``(key, url, html)`` frame (SRC-10..13, SCL-22).
 
-No HTML parser is involved: anchors, tables, rows and cells are pulled out
-with ``regexp_extract_all`` and ``posexplode``; every page is one row, so
-the work is spread by the partitioning of the pages table and whole pages
-are always processed.  Relative links are resolved with the urljoin rules
-for absolute, scheme-relative, root-relative and document-relative hrefs
-(``..`` segments are not normalised).
+A page becomes a table of tokens (``html_tokens``): one pattern finds comments, raw-text
+elements, tags with attributes in any of the three quoting forms, and text.  What a parser
+keeps on a stack are running sums over a page's tokens here: the open anchor, how many
+tables are open, the row and cell of each open table.  Every page is one row to begin with,
+so the work is spread by the pages and whole pages are always processed; nothing runs
+outside the JVM.
 """
 
 from __future__ import annotations
 
+import html.entities
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,14 +27,25 @@ TABLE_KEYWORDS = ["sueldo", "remuneracion", "bruto", "liquido"]
 # Data-file extensions of interest for links.
 DATA_EXTENSIONS = [".xlsx", ".xls", ".csv", ".pdf"]
 
-ANCHOR_RE = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+# Quoted parts of a tag may hold ">".
+_ATTRS = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
+RAW_TEXT = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
+TOKEN_RE = (r"(?is)<!--.*?(?:-->|$)|<(" + "|".join(RAW_TEXT) + r")(?=[\s/>])" + _ATTRS + r">.*?(?:</\1\s*+>|$)"
+            r"|<[!?][^>]*+>|</?[a-z][^\s/>]*+" + _ATTRS + r">|</?[a-z][^>]*+>|[^<]++|<")
+NAME_RE = r"^</?([a-zA-Z][^\s/>]*)"
+ATTR_RE = r"""(?s)([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
+ENTITY_RE = r"&(?:#[xX]?[0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
+TABLE_RE = r"(?is)<table\b.*?</table>"
 TAG_RE = r"<[^>]+>"
-TABLE_RE = r"(?s)<table\b.*?</table>"
-ROW_RE = r"(?s)<tr\b.*?</tr>"
-CELL_RE = r"(?s)<t[dh]\b[^>]*>(.*?)</t[dh]>"
 SCHEME_HOST_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
 HOST_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)"
-DIR_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/(?:[^?#]*/)?)"
+PATH_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
+# Most columns a cell may span, as browsers have it.
+MAX_COLSPAN = 1000
+# Character references by name, as Python's standard library lists them, and those numbers
+# that stand for a character of Windows-1252.
+_REFERENCES = {f"&{n}": c for n, c in html.entities.html5.items()} | {
+    str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)}
 
 
 def _c(x) -> Column:
@@ -43,32 +56,115 @@ def strip_tags(x) -> Column:
     return F.trim(F.regexp_replace(_c(x), TAG_RE, ""))
 
 
+def _strip(x) -> Column:
+    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for those that are none."""
+    def units(c: Column, digits: int) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(c), digits, "0")), "UTF-16BE")
+
+    high = code - 0x10000
+    pair = (F.lit(0xD800) + F.shiftright(high, 10)) * 0x10000 + F.lit(0xDC00) + high.bitwiseAND(F.lit(0x3FF))
+    bad = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.when(bad, F.lit("\ufffd")).when(code < 0x10000, units(code, 4)).otherwise(units(pair, 8))
+
+
+def unescape(x) -> Column:
+    """Character references by name, number and hexadecimal number; unknown names stay."""
+    text = _c(x)
+    known = F.from_json(F.lit(json.dumps(_REFERENCES)), "map<string,string>")
+
+    def one(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"^&#([xX]?)([0-9a-fA-F]+)", 2)
+        hexa = F.regexp_extract(ref, r"^&#([xX]?)", 1) != ""
+        code = F.conv(F.lpad(F.right(digits, F.lit(9)), 9, "0"), 16, 10).cast("long")
+        code = F.when(hexa, code).otherwise(F.try_to_number(F.right(digits, F.lit(9)), F.lit("999999999")).cast("long"))
+        number = F.coalesce(F.element_at(known, code.cast("string")), _character(code))
+        return F.when(ref.startswith("&#"), number).otherwise(F.coalesce(F.element_at(known, ref), ref))
+
+    parts = F.arrays_zip(F.split(text, ENTITY_RE).alias("text"), F.regexp_extract_all(text, F.lit(ENTITY_RE), 0).alias("ref"))
+    whole = F.array_join(F.transform(parts, lambda p: F.concat(p["text"], F.coalesce(one(p["ref"]), F.lit("")))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
 def host(url) -> Column:
     return F.regexp_extract(_c(url), HOST_RE, 1)
 
 
+def fold_path(path) -> Column:
+    """``.`` and ``..`` segments of an absolute path resolved."""
+    segments = F.split(_c(path), "/")
+    last = F.element_at(segments, -1)
+    folded = F.aggregate(segments, F.array().cast("array<string>"), lambda done, s: (
+        F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s))))
+    out = F.array_join(F.when(last.isin(".", ".."), F.array_append(folded, F.lit(""))).otherwise(folded), "/")
+    return F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
+
+
 def resolve_url(base, href) -> Column:
-    """urljoin(base, href) for the common cases."""
-    b, h = _c(base), F.trim(_c(href))
+    """urljoin(base, href): absolute, scheme-relative, root- and document-relative references,
+    queries and fragments; dot segments are folded."""
+    b, h = _c(base), _strip(href)
     scheme = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
-    root = F.regexp_extract(b, SCHEME_HOST_RE, 1)
-    dirp = F.regexp_extract(b, DIR_RE, 1)
+    root, path = F.regexp_extract(b, SCHEME_HOST_RE, 1), F.regexp_extract(b, PATH_RE, 1)
+    own, rest = F.regexp_extract(h, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(h, r"(?s)^([^?#]*)(.*)$", 2)
+    folder = F.regexp_extract(path, r"^(.*/)[^/]*$", 1)
+    joined = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own)
+    joined = F.regexp_replace(joined, r"/{2,}", "/")  # empty segments go
     return (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(root, h))
             .when(h == "", b)
-            .when(h.startswith("#") | h.startswith("?"), F.concat(F.regexp_replace(b, r"[?#].*$", ""), h))
-            .when(dirp == "", F.concat(root, F.lit("/"), h))
-            .otherwise(F.concat(dirp, h)))
+            .when(h.startswith("#"), F.concat(F.regexp_replace(b, r"#.*$", ""), h))
+            .when(h.startswith("?"), F.concat(F.regexp_replace(b, r"[?#].*$", ""), h))
+            .when(h.startswith("/"), F.concat(root, fold_path(own), rest))
+            .otherwise(F.concat(root, fold_path(joined), rest)))
+
+
+def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html", keep=()) -> DataFrame:
+    """The token stream: key, ``_page`` (a number a row), ``keep``, ``pos``, ``name`` (lower-case
+    tag, null for text), ``close`` (an end tag) and ``raw``.  Comments, declarations and
+    raw-text elements (scripts, styles) are left out."""
+    found = F.regexp_extract_all(F.col(html), F.lit(TOKEN_RE), 0)
+    t = pages.select(key, *keep, F.monotonically_increasing_id().alias("_page"), found.alias("_found"))
+    t = t.select(key, *keep, "_page", F.posexplode("_found").alias("pos", "raw"))
+    t = t.where(~F.col("raw").rlike(r"(?i)^<(?:[!?]|(?:" + "|".join(RAW_TEXT) + r")(?=[\s/>]))"))
+    tag = F.col("raw").rlike(r"^</?[a-zA-Z]")
+    return t.select(key, *keep, "_page", "pos", F.when(tag, F.lower(F.regexp_extract("raw", NAME_RE, 1))).alias("name"),
+                    (tag & F.col("raw").startswith("</")).alias("close"), "raw")
+
+
+def attribute(raw, name: str) -> Column:
+    """The value of a start tag's attribute: quoted either way, bare, "" without one, null if
+    the tag lacks it.  The first of repeated attributes counts."""
+    inner = F.regexp_replace(_c(raw), NAME_RE, "")
+    names = F.transform(F.regexp_extract_all(inner, F.lit(ATTR_RE), 1), F.lower)
+    value = F.try_element_at(F.regexp_extract_all(inner, F.lit(ATTR_RE), 2), F.nullif(F.array_position(names, name), F.lit(0)).cast("int"))
+    return unescape(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
+
+
+def _joined(text: Column) -> Column:
+    """Texts of a group in token order."""
+    found = F.sort_array(F.collect_list(F.when(text.isNotNull(), F.struct("pos", text.alias("t")))))
+    return F.array_join(F.transform(found, lambda x: x["t"]), "")
 
 
 def html_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """SRC-11: one row per anchor: (key, posicion, url, texto), url made absolute."""
-    arr = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR_RE), 1).alias("href"),
-                       F.regexp_extract_all(html, F.lit(ANCHOR_RE), 2).alias("raw"))
-    ex = pages.select(key, F.col(url).alias("_base"), F.posexplode(arr).alias("posicion", "_a"))
-    return ex.select(key, "posicion", resolve_url("_base", "_a.href").alias("url"),
-                     strip_tags("_a.raw").alias("texto"))
+    """SRC-11: one row per anchor with an href: (key, posicion, url, texto), url made absolute.
+
+    An anchor ends at its end tag or where the next begins; its text is what is between,
+    whatever tags that holds."""
+    t = html_tokens(pages.select(key, F.col(url).alias("_base"), html), key, html, keep=("_base",))
+    t = t.where((F.col("name") == "a") | F.col("name").isNull())
+    so_far = Window.partitionBy("_page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    opens = (F.col("name") == "a") & ~F.col("close")
+    t = t.withColumns({"_n": F.count(F.when(opens, 1)).over(so_far), "_in": F.last(F.when(F.col("name") == "a", ~F.col("close")), ignorenulls=True).over(so_far)})
+    anchors = t.where("_in").groupBy(key, "_base", "_page", "_n").agg(
+        F.first(F.when(opens, F.col("raw")), ignorenulls=True).alias("_tag"), _joined(F.when(F.col("name").isNull(), F.col("raw"))).alias("_text"))
+    anchors = anchors.withColumn("_href", attribute("_tag", "href")).where(F.col("_href").isNotNull())
+    place = F.row_number().over(Window.partitionBy("_page").orderBy("_n")) - 1
+    return anchors.select(key, place.alias("posicion"), resolve_url("_base", "_href").alias("url"), _strip(unescape("_text")).alias("texto"))
 
 
 def salary_text_match(x) -> Column:
@@ -76,11 +172,21 @@ def salary_text_match(x) -> Column:
     return F.lower(_c(x)).rlike("|".join(f"(?:{p})" for p in SALARY_PATTERNS))
 
 
+def _has_extension(url: Column, extensions) -> Column:
+    return reduce(lambda a, b: a | b, [F.lower(url).endswith(e) for e in extensions])
+
+
 def link_relevance(links: DataFrame, text: str = "texto", url: str = "url",
-                   path_keywords=("transparencia", "remuneraciones")) -> DataFrame:
-    """SRC-12: keep links whose text matches a salary pattern, whose url ends in a
-    data-file extension, or whose url contains a path keyword; tags the reason."""
+                   path_keywords=("transparencia", "remuneraciones"), text_words=None) -> DataFrame:
+    """SRC-12: keep links whose text matches a salary pattern, whose url holds a data-file
+    extension, or whose url contains a path keyword; tags the reason.
+
+    With ``text_words`` the strict rule: the url ends in a data-file extension and the text
+    holds one of the words."""
     u = F.lower(F.col(url))
+    if text_words is not None:
+        said = reduce(lambda a, b: a | b, [F.lower(F.col(text)).contains(w) for w in text_words])
+        return links.where(_has_extension(F.col(url), DATA_EXTENSIONS) & F.coalesce(said, F.lit(False))).withColumn("motivo", F.lit("extension y texto"))
     by_text = F.coalesce(salary_text_match(text), F.lit(False))
     by_ext = reduce(lambda a, b: a | b, [u.contains(e) for e in DATA_EXTENSIONS])
     by_path = reduce(lambda a, b: a | b, [u.contains(k) for k in path_keywords])
@@ -90,9 +196,12 @@ def link_relevance(links: DataFrame, text: str = "texto", url: str = "url",
 
 
 def link_domain_filter(links: DataFrame, domain: str, key: str = "page_id", url: str = "url",
-                       cap: int | None = None) -> DataFrame:
-    """SRC-13: links on one domain, de-duplicated in first-seen order; with ``cap`` the first per key."""
+                       cap: int | None = None, extensions=None) -> DataFrame:
+    """SRC-13: links on one domain, de-duplicated in first-seen order; with ``extensions`` only
+    those that end in one of them, with ``cap`` the first per key."""
     on = links.where(host(url).contains(domain))
+    if extensions is not None:
+        on = on.where(_has_extension(F.col(url), extensions))
     first = on.groupBy(key, url).agg(F.min("posicion").alias("posicion"))
     if cap is None:
         return first
@@ -108,26 +217,97 @@ def text_relevance(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("relevante", salary_text_match(html) | table_kw)
 
 
+def _cells(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, _page, tabla, _tr, _n (cell of the table, in order), texto, colspan, rowspan.
+
+    A token belongs to every table that is open around it; only tags directly in a table
+    (not in one inside it) shape it.  A cell ends where the next cell or row begins."""
+    shape = ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "br")
+    t = html_tokens(pages, key, html).where(F.col("name").isNull() | F.col("name").isin(*shape))
+    up = (F.col("name") == "table") & ~F.col("close")
+    down = (F.col("name") == "table") & F.col("close")
+    page = Window.partitionBy("_page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_sum", F.sum(F.when(up, 1).when(down, -1).otherwise(0)).over(page))
+    # end tags without a table count for nothing: the sum may not fall below 0
+    t = t.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(page))).withColumn("_tables", F.count(F.when(up, 1)).over(page))
+    t = t.where("_depth > 0").withColumn("_level", F.explode(F.sequence(F.lit(1), F.col("_depth"))))
+    level = Window.partitionBy("_page", "_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("_level") == F.col("_depth")
+    t = t.withColumn("tabla", F.last(F.when(up & own, F.col("_tables") - 1), ignorenulls=True).over(level).cast("int"))
+    table = Window.partitionBy("_page", "tabla").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    cell = own & F.col("name").isin("td", "th") & ~F.col("close")
+    edge = own & F.col("name").isin(*[n for n in shape if n != "br"])
+    t = t.withColumns({"_tr": F.count(F.when(own & (F.col("name") == "tr") & ~F.col("close"), 1)).over(table),
+                       "_n": F.count(F.when(cell, 1)).over(table), "_in": F.last(F.when(edge, cell), ignorenulls=True).over(table)})
+    text = F.when(F.col("name").isNull(), F.col("raw")).when((F.col("name") == "br") & ~F.col("close"), F.lit("\n"))
+    cells = t.where("_in").groupBy(key, "_page", "tabla", "_tr", "_n").agg(F.first(F.when(cell, F.col("raw")), ignorenulls=True).alias("_tag"), _joined(text).alias("texto"))
+
+    def span(name: str) -> Column:
+        value = F.try_to_number(F.regexp_extract(F.coalesce(attribute("_tag", name), F.lit("")), r"^\s*([0-9]{1,5})\s*$", 1), F.lit("99999"))
+        return F.greatest(F.coalesce(value.cast("int"), F.lit(1)), F.lit(1))
+
+    clean = F.regexp_replace(_strip(unescape("texto")), r"[\r\n]+|\s{2,}", " ")
+    return cells.select(key, "_page", "tabla", "_tr", "_n", clean.alias("texto"), F.least(span("colspan"), F.lit(MAX_COLSPAN)).alias("colspan"), span("rowspan").alias("rowspan"))
+
+
+def _placed(cells: DataFrame, key: str) -> DataFrame:
+    """key, _page, tabla, fila, columna, texto: the grid of every table, spans filled in.
+
+    Rows that no cell from above reaches begin a block; within a block one fold over its cells
+    gives each the first column that is free.  A row span ends with the table."""
+    table = Window.partitionBy("_page", "tabla")
+    rows = cells.withColumn("fila", F.dense_rank().over(table.orderBy("_tr")) - 1)
+    rows = rows.withColumn("_last", F.max("fila").over(table))
+    rows = rows.withColumn("_until", F.least(F.col("fila") + F.col("rowspan") - 1, F.col("_last")))
+    reach = F.max("_until").over(table.orderBy("fila").rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.coalesce(reach < F.col("fila"), F.lit(True)))
+    rows = rows.withColumn("_block", F.max(F.when(F.col("_new"), F.col("fila"))).over(table.orderBy("fila").rangeBetween(Window.unboundedPreceding, 0)))
+    item = F.struct("fila", "_n", "_until", "colspan", "texto")
+    blocks = rows.groupBy(key, "_page", "tabla", "_block").agg(F.sort_array(F.collect_list(item)).alias("_cells"))
+    kind = "struct<fila:int,next:int,taken:array<struct<fila:int,col:int>>,out:array<struct<fila:int,col:int,_until:int,colspan:int,texto:string>>>"
+
+    def put(state: Column, x: Column) -> Column:
+        start = F.when(x["fila"] == state["fila"], state["next"]).otherwise(F.lit(0))
+        full = F.transform(F.filter(state["taken"], lambda c: c["fila"] == x["fila"]), lambda c: c["col"])
+        col = F.array_min(F.array_except(F.sequence(start, start + F.size(full)), full)).cast("int")
+        below = F.flatten(F.transform(F.filter(F.sequence(x["fila"], x["_until"]), lambda r: r > x["fila"]), lambda r: F.transform(
+            F.sequence(col, col + x["colspan"] - 1), lambda c: F.struct(r.cast("int").alias("fila"), c.cast("int").alias("col")))))
+        placed = F.struct(x["fila"].alias("fila"), col.alias("col"), x["_until"].alias("_until"), x["colspan"].alias("colspan"), x["texto"].alias("texto"))
+        return F.struct(x["fila"].alias("fila"), (col + x["colspan"]).cast("int").alias("next"), F.concat(state["taken"], below).alias("taken"),
+                        F.array_append(state["out"], placed).alias("out")).cast(kind)
+
+    begin = F.from_json(F.lit('{"fila": -1, "next": 0, "taken": [], "out": []}'), kind)
+    grid = blocks.select(key, "_page", "tabla", F.explode(F.aggregate("_cells", begin, put)["out"]).alias("c"))
+    grid = grid.select(key, "_page", "tabla", F.explode(F.sequence("c.fila", "c._until")).alias("fila"), "c.col", "c.colspan", "c.texto")
+    return grid.select(key, "_page", "tabla", "fila", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)).alias("columna"), "texto")
+
+
 def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html",
                 first_only: bool = False) -> DataFrame:
-    """SRC-10: every (or the first) ``<table>`` of every page as rows.
+    """SRC-10: every (or the first) ``<table>`` of every page as rows, tables in tables too.
 
     Output: (key, tabla, fila, celdas array<string>, registro map<header, cell>);
-    the first row of a table is its header and is not repeated as data.
-    Nested tables are out of scope.
+    the first row of a table is its header and is not repeated as data.  Row and column spans
+    repeat their text; of equal headers the later ones are numbered (``x``, ``x.1``); cells
+    beyond the header are named by their place (``_c3``), missing ones are null.
     """
-    tables = F.regexp_extract_all(F.col(html), F.lit(TABLE_RE), 0)
-    t = pages.select(key, F.posexplode(tables).alias("tabla", "_t"))
+    cells = _cells(pages, key, html)
     if first_only:
-        t = t.where(F.col("tabla") == 0)
-    rows = t.select(key, "tabla", F.posexplode(F.regexp_extract_all("_t", F.lit(ROW_RE), 0))
-                    .alias("fila", "_r"))
-    cells = rows.select(key, "tabla", "fila", F.transform(
-        F.regexp_extract_all("_r", F.lit(CELL_RE), 1), lambda c: strip_tags(c)).alias("celdas"))
-    header = cells.where(F.col("fila") == 0).select(key, "tabla", F.col("celdas").alias("_h"))
-    data = cells.where(F.col("fila") > 0)
-    return (data.join(header, [key, "tabla"], "left")
-            .withColumn("registro", F.when(
-                (F.size("_h") == F.size("celdas")) & (F.size(F.array_distinct("_h")) == F.size("_h")),
-                F.map_from_arrays("_h", "celdas")))
-            .drop("_h"))
+        cells = cells.where(F.col("tabla") == 0)
+    grid = _placed(cells, key)
+    found = F.map_from_entries(F.array_agg(F.struct("columna", "texto")))
+    # two spans may claim one place: the first cell has it
+    grid = grid.groupBy(key, "_page", "tabla", "fila", "columna").agg(F.first("texto").alias("texto"))
+    rows = grid.groupBy(key, "_page", "tabla", "fila").agg(found.alias("_m"), F.max("columna").alias("_w"))
+    rows = rows.withColumn("celdas", F.transform(F.sequence(F.lit(0), F.col("_w")), lambda i: F.element_at("_m", i))).drop("_m", "_w")
+    head = F.first(F.when(F.col("fila") == 0, F.col("celdas")), ignorenulls=True).over(Window.partitionBy("_page", "tabla"))
+    rows = rows.withColumn("_h", F.coalesce(head, F.array().cast("array<string>"))).where("fila > 0")
+    base = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_h"), F.size("celdas")) - 1),
+                       lambda i: F.coalesce(F.get("_h", i), F.concat(F.lit("_c"), i.cast("string"))))
+    rows = rows.withColumn("_names", base)
+    before = lambda x, i: F.size(F.filter(F.slice("_names", 1, i), lambda y: y == x))
+    names = F.transform("_names", lambda x, i: F.when(before(x, i) > 0, F.concat(x, F.lit("."), before(x, i).cast("string"))).otherwise(x))
+    rows = rows.withColumn("_names", names)
+    record = F.map_from_arrays("_names", F.transform("_names", lambda x, i: F.get("celdas", i)))
+    unique = F.size(F.array_distinct("_names")) == F.size("_names")
+    return rows.select(key, "tabla", "fila", "celdas", F.when(unique, record).alias("registro"))
