@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nomina.functions import money as M
@@ -212,17 +212,20 @@ def source_audit(df: DataFrame, source: str = "fuente", name: str = "nombre", or
 def column_profile(df: DataFrame, keyword: str, samples: int = 5) -> DataFrame:
     """VAL-15: for columns whose name contains ``keyword``: type, non-null count,
     distinct count and the first ``samples`` sorted distinct values (bounded top-k)."""
-    cols = [f for f in df.schema.fields if keyword.lower() in f.name.lower()]
-    out = []
-    for f in cols:
-        c = F.col(f.name)
-        stats = df.agg(F.count(c).alias("no_nulos"), F.countDistinct(c).alias("distintos"))
-        sample = (df.select(c.cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-                  .orderBy("v").limit(samples).agg(F.sort_array(F.collect_list("v")).alias("muestra")))
-        out.append(attach_row(stats, sample).select(
-            F.lit(f.name).alias("columna"), F.lit(f.dataType.simpleString()).alias("tipo"),
-            "no_nulos", "distintos", F.array_join("muestra", " | ").alias("muestra")))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    fields = [f for f in df.schema.fields if keyword.lower() in f.name.lower()]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "columna string, tipo string, no_nulos long, distintos long, muestra string")
+    kinds = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "_i int, columna string, tipo string")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"`{f.name}`").cast("string").alias("v")) for i, f in enumerate(fields)])).alias("e")
+    # one scan: every column's values side by side, distinct ones counted map-side first; the
+    # two readers of the counts share their exchange
+    counts = df.select(each).groupBy("e._i", "e.v").agg(F.count(F.lit(1)).alias("c"))
+    stats = counts.groupBy("_i").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("no_nulos"), F.count("v").alias("distintos"))
+    place = F.row_number().over(Window.partitionBy("_i").orderBy("v"))
+    first = counts.where("v is not null").withColumn("_r", place).where(F.col("_r") <= samples)
+    sample = first.groupBy("_i").agg(F.array_join(F.sort_array(F.collect_list("v")), " | ").alias("muestra"))
+    out = F.broadcast(kinds).join(stats, "_i", "left").join(sample, "_i", "left")  # a row a column
+    return out.select("columna", "tipo", F.coalesce("no_nulos", F.lit(0)).alias("no_nulos"), F.coalesce("distintos", F.lit(0)).alias("distintos"), F.coalesce("muestra", F.lit("")).alias("muestra"))
 
 
 def slice_diff(before: DataFrame, after: DataFrame, cond: Column, key: str = "id",
