@@ -54,6 +54,48 @@ def str02_progress_summary(spark, sf_dir):
     return rounded(progress_summary(p), {"tasa_exito": 4})
 
 
+SESSIONS_SQL = """ses AS (SELECT event_id // 700 AS id, min(ts) AS inicio, max(ts) AS fin, count(DISTINCT user_id) AS organismos, count(*) AS intentos
+  FROM events GROUP BY 1)"""
+
+
+@query("str02_last_session", f"""WITH {PROGRESS_SQL}, {SESSIONS_SQL}, u AS (SELECT * FROM ses ORDER BY inicio DESC, id DESC LIMIT 1)
+SELECT count(*) AS total, count_if(status = 'success') AS exitosos, any_value(u.id) AS sesion_id, any_value(u.inicio) AS sesion_inicio,
+  any_value(u.fin) AS sesion_fin, any_value(u.organismos) AS sesion_organismos, any_value(u.intentos) AS sesion_intentos FROM prog, u""", payroll=False)
+def str02_last_session(spark, sf_dir):
+    """The summary with the session that began last."""
+    ev = table(spark, sf_dir, "events")
+    sessions = ev.groupBy(F.expr("event_id div 700").alias("id")).agg(
+        F.min("ts").alias("inicio"), F.max("ts").alias("fin"), F.countDistinct("user_id").alias("organismos"), F.count(F.lit(1)).alias("intentos"))
+    out = progress_summary(progress(attempts_from_events(ev)), sessions)
+    return out.select("total", "exitosos", *[c for c in out.columns if c.startswith("sesion_")])
+
+
+@query("str03_session_rows", """SELECT CAST(count(*) AS BIGINT) AS registros_entrada, 'completada' AS estado FROM events""", payroll=False)
+def str03_session_rows(spark, sf_dir):
+    """The rows that the sessions of a stream took in are all events, whatever the batches."""
+    ev = table(spark, sf_dir, "events")
+    landing, state = _scratch(spark, "landing-rows"), _scratch(spark, "progress-rows")
+    ev.repartition(3, "event_id").write.parquet(landing)
+    ING.run_progress_stream(spark, landing, ev.schema, state, _scratch(spark, "ckpt-rows"))
+    return ING.session_log(spark, state).agg(F.sum("registros_entrada").alias("registros_entrada"), F.max("estado").alias("estado"))
+
+
+@query("str04_changed_content", """
+WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, 1 AS vez FROM documents),
+b AS (SELECT doc_id, sha256(coalesce(text, '') || ' v2') AS sha256, 2 AS vez FROM documents WHERE doc_id % 4 = 0)
+SELECT doc_id, sha256, vez FROM a UNION ALL SELECT * FROM b""", payroll=False)
+def str04_changed_content(spark, sf_dir):
+    """A second landing in which a quarter of the documents changed: their new content is
+    appended, the rest is skipped."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    landing, out, state, ckpt = (_scratch(spark, n) for n in ("landing-chg", "ingested-chg", "manifest-chg", "ckpt-chg"))
+    for vez in (1, 2):
+        text = F.when((F.col("doc_id") % 4 == 0) & F.lit(vez == 2), F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
+        docs.select("doc_id", text.alias("text"), F.lit(vez).alias("vez")).coalesce(2).write.mode("append").parquet(landing)
+        got = ING.run_content_ingest(spark, landing, spark.read.parquet(landing).schema, out, state, ckpt, "doc_id", "text", files_per_trigger=10)
+    return got.select("doc_id", F.sha2("text", 256).alias("sha256"), "vez")
+
+
 @query("str03_session_log")
 def str03_session_log(spark, sf_dir):
     """Rows-only: one session row per micro-batch of the progress stream."""

@@ -6,67 +6,34 @@ SQLite progress/session tables become file-source streams run with
 checkpoint, so a re-run only sees new files and a failed micro-batch is
 replayed.  Every ``foreachBatch`` sink is idempotent per ``batchId``:
 
-  * the keyed progress table is versioned (``v=<batchId>``); a replayed
-    batch whose version already exists is skipped, otherwise the previous
-    version is merged with the batch and written as the next version;
+  * the keyed progress table is kept in buckets (``state.BucketedState``); a batch
+    rewrites only the buckets of its own keys, and a replayed batch that was
+    committed is skipped;
   * the content sink appends only rows whose (key, sha256) is not yet in the
-    manifest, and writes the manifest version of the batch;
+    manifest, which is kept in the same way;
   * the session log holds one row per batch id (replays overwrite it).
 
-State lives under the session's shared checkpoint directory, never on a
-machine-local folder.
+State lives where the caller says: under the session's shared checkpoint directory on
+a cluster.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from nomina.sources.documents import classify_against_manifest
 from nomina.streaming.progress import PUBLIC_COLS, attempts_from_events, merge_progress, progress
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def _committed(spark: SparkSession, path: str) -> bool:
-    """True only for a fully committed write (its ``_SUCCESS`` marker exists), so a
-    version left half-written by a crashed batch is redone on replay."""
-    try:
-        spark.read.text(f"{path}/_SUCCESS")
-        return True
-    except AnalysisException:
-        return False
+from nomina.streaming.state import BUCKETS, BucketedState
 
 
 def _version(base: str, batch_id: int) -> str:
     return f"{base}/v={batch_id:010d}"
 
 
-def _previous(spark: SparkSession, base: str, batch_id: int) -> DataFrame | None:
-    for b in range(batch_id - 1, -1, -1):
-        df = _read(spark, _version(base, b))
-        if df is not None:
-            return df
-    return None
-
-
-def _latest(spark: SparkSession, base: str) -> DataFrame | None:
-    all_versions = _read(spark, base)
-    if all_versions is None:
-        return None
-    last = all_versions.agg(F.max("v")).first()[0]
-    return all_versions.where(F.col("v") == last).drop("v")
-
-
 def _log_session(spark: SparkSession, log_dir: str, batch_id: int, start: dt.datetime,
                  rows_in: int, rows_out: int) -> None:
     """STR-03: one row per micro-batch (start, end, input rows, output rows)."""
@@ -79,23 +46,21 @@ def _log_session(spark: SparkSession, log_dir: str, batch_id: int, start: dt.dat
 
 
 def run_progress_stream(spark: SparkSession, landing: str, schema: StructType, state_dir: str,
-                        checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
+                        checkpoint: str, files_per_trigger: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """STR-01 as a stream: fold landed event files into the keyed progress table.
 
     Returns the latest progress table (public columns).
     """
     log_dir = f"{state_dir}_sesiones"
+    state = BucketedState(spark, state_dir, "organismo_id", buckets)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        if _committed(spark, _version(state_dir, batch_id)):
-            return  # replay of a committed batch
         start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         batch = batch.persist()
-        merged = merge_progress(_previous(spark, state_dir, batch_id),
-                                progress(attempts_from_events(batch)))
-        merged.write.mode("overwrite").parquet(_version(state_dir, batch_id))
-        _log_session(spark, log_dir, batch_id, start, batch.count(),
-                     spark.read.parquet(_version(state_dir, batch_id)).count())
+        news = progress(attempts_from_events(batch)).persist()
+        if state.update(batch_id, news, merge_progress):
+            _log_session(spark, log_dir, batch_id, start, batch.count(), news.count())
+        news.unpersist()
         batch.unpersist()
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -103,7 +68,7 @@ def run_progress_stream(spark: SparkSession, landing: str, schema: StructType, s
     q = (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return _latest(spark, state_dir).select(*PUBLIC_COLS)
+    return state.read().select(*PUBLIC_COLS)
 
 
 def session_log(spark: SparkSession, state_dir: str) -> DataFrame:
@@ -113,7 +78,7 @@ def session_log(spark: SparkSession, state_dir: str) -> DataFrame:
 
 def run_content_ingest(spark: SparkSession, landing: str, schema: StructType, out_dir: str,
                        manifest_dir: str, checkpoint: str, key: str, content: str,
-                       files_per_trigger: int = 1, order: str | None = None) -> DataFrame:
+                       files_per_trigger: int = 1, order: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """STR-04: ingest landed files, skipping content already seen (SRC-20 manifest).
 
     Each micro-batch is de-duplicated by key: the content with the greatest ``order``
@@ -122,24 +87,25 @@ def run_content_ingest(spark: SparkSession, landing: str, schema: StructType, ou
     NEW / CHANGED rows are appended; the manifest version of the batch is
     written last, so a replayed batch is detected and skipped.
     """
+    manifest = BucketedState(spark, manifest_dir, "clave", buckets)
+
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        if _committed(spark, _version(manifest_dir, batch_id)):
-            return
-        prev = _previous(spark, manifest_dir, batch_id)
         # hash once (narrow); de-duplicate and shuffle on (key, sha256), never on the text itself
         hashed = batch.withColumn("_sha", F.sha2(F.col(content), 256)).persist()
         rank = F.struct(*([order] if order else []), "_sha")
         cur = hashed.groupBy(F.col(key).alias("clave")).agg(F.max_by("_sha", rank).alias("sha256")).withColumn("ruta", F.lit(None).cast("string"))
-        if prev is None:
-            prev = cur.limit(0)
-        cls = classify_against_manifest(cur, prev).where(F.col("estado") != "SAME")
-        want = cls.select(F.col("clave").alias(key), F.col("sha256").alias("_want"))
-        fresh = (hashed.join(want, key).where(F.col("_sha") == F.col("_want"))
-                 .dropDuplicates([key]).drop("_sha", "_want"))
-        fresh.withColumn("lote", F.lit(batch_id)).write.mode("overwrite").parquet(_version(out_dir, batch_id))
-        kept = prev.join(cls.select("clave"), "clave", "left_anti")
-        kept.unionByName(cls.select("clave", "sha256", "ruta")).write.mode("overwrite").parquet(
-            _version(manifest_dir, batch_id))
+
+        def merge(prev: DataFrame | None, cur: DataFrame) -> DataFrame:
+            """The manifest's next version; the rows it changes by go to the sink first."""
+            prev = cur.limit(0) if prev is None else prev.select(*cur.columns)
+            cls = classify_against_manifest(cur, prev).where(F.col("estado") != "SAME")
+            want = cls.select(F.col("clave").alias(key), F.col("sha256").alias("_want"))
+            fresh = (hashed.join(want, key).where(F.col("_sha") == F.col("_want"))
+                     .dropDuplicates([key]).drop("_sha", "_want"))
+            fresh.withColumn("lote", F.lit(batch_id)).write.mode("overwrite").parquet(_version(out_dir, batch_id))
+            return prev.join(cls.select("clave"), "clave", "left_anti").unionByName(cls.select("clave", "sha256", "ruta"))
+
+        manifest.update(batch_id, cur, merge)
         hashed.unpersist()
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)

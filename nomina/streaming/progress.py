@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nomina.operators.scalars import attach_row
+
 # Event type -> attempt status for the driver's events table.
 STATUS_OF_EVENT = {"purchase": "success", "error": "error"}
 
@@ -57,8 +59,9 @@ PUBLIC_COLS = ["organismo_id", "status", "last_attempt", "success_count", "error
                "data_count", "processing_time"]
 
 
-def progress_summary(prog: DataFrame) -> DataFrame:
-    """STR-02: totals per status and success rate (0 when no keys)."""
+def progress_summary(prog: DataFrame, sessions: DataFrame | None = None, start: str = "inicio") -> DataFrame:
+    """STR-02: totals per status and success rate (0 when no keys); with ``sessions`` also the
+    last one by ``start``, its columns named ``sesion_...`` (null if there was none)."""
     agg = prog.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status") == "success").alias("exitosos"),
@@ -66,9 +69,14 @@ def progress_summary(prog: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "no_data").alias("sin_datos"),
         F.coalesce(F.sum("data_total"), F.lit(0)).alias("datos_extraidos"),
         F.max("last_attempt").alias("ultimo_intento"))
-    return agg.withColumn("tasa_exito", F.when(F.col("total") > 0,
-                                               F.col("exitosos") * 100.0 / F.col("total"))
-                          .otherwise(F.lit(0.0)))
+    out = agg.withColumn("tasa_exito", F.when(F.col("total") > 0,
+                                              F.col("exitosos") * 100.0 / F.col("total"))
+                         .otherwise(F.lit(0.0)))
+    if sessions is None:
+        return out
+    whole = F.struct(*sessions.columns)
+    last = sessions.agg(F.max_by(whole, F.struct(start, *[c for c in sessions.columns if c != start])).alias("_s"))
+    return attach_row(out, last.select(*[F.col(f"_s.{c}").alias(f"sesion_{c}") for c in sessions.columns]))
 
 
 def failures(prog: DataFrame, n: int = 20, key: str = "organismo_id") -> DataFrame:
