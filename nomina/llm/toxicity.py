@@ -1,22 +1,27 @@
 """Toxicity by the nearest labelled examples.
 
-1.  Terms are words, and beginnings of words of 4, 5 and 6 bytes.  Those whose presence goes
-    with the label (likelihood ratio G2, over the labelled examples) span the vector space.
-2.  Examples are TF-IDF vectors over these terms in an inverted index, cut into blocks of 64
-    examples.  A block's best possible cosine follows from its largest weight a term; blocks
-    are read from the best on until none can reach the k-th neighbour.  The k neighbours are
-    therefore exact (ties: the smaller index).
+1.  Terms are all words, and beginnings of words of 4, 5 and 6 bytes.  A text is its TF-IDF
+    vector over all its terms; terms whose presence goes with the label (likelihood ratio
+    G2, over the labelled examples) weigh more.
+2.  Examples stand in an inverted index, cut into blocks of 64 examples: for each term the
+    blocks it occurs in with its largest weight there, and within a block its examples.  The
+    texts of a chunk are searched together.  A block's best possible cosine follows from the
+    largest weights; each text's most promising blocks are read first, then all blocks that
+    can still reach its k-th neighbour.  The k neighbours are therefore exact (ties: the
+    smaller index).
 3.  The votes of the k neighbours, weighed by 1 / (distance + ``SOFT``) and by how many rows
     an example stands for, give a raw score.  Leave-one-out scores of the examples, made
-    monotone against their labels, turn it into a probability.  A text without any of the
-    terms gets the rate of the examples without them.
+    monotone against their labels, turn it into a probability.  A text that shares no term
+    with any example gets the examples' rate.
 
 The classifier is fitted on ``EXAMPLES`` labelled rows a class at most, chosen by a hash of
-the id; everything else covers all rows and whole texts.
+the id; everything else covers all rows and whole texts, with all their terms.
 
 Edge cases: null and empty texts have no terms; without any example the score is 0; null
-labels are not learned from; an id labelled twice counts as the larger label; repeated
-documents each give a row; empty tables give an empty result."""
+labels are not learned from; an id labelled twice counts as the larger label, of several
+texts of one id the one with the smallest hash is learned from; very long texts are a chunk
+of their own; repeated documents each give a row; columns other than the named ones are not
+read; empty tables give an empty result."""
 
 from __future__ import annotations
 
@@ -31,15 +36,14 @@ from pyspark.sql import functions as F
 from nomina.llm import words
 from nomina.llm.common import keep, small
 
-#: Labelled rows a class in the index, about; terms; neighbours; examples a block.
-EXAMPLES = 8000
-TERMS = 2048
+#: Labelled rows a class in the index, about; neighbours; examples a block.
+EXAMPLES = 2500
 NEIGHBOURS = 15
 BLOCK = 64
-#: Blocks read before bounds are compared.
-FIRST = 8
-#: Least G2 of a term, and least examples with it.
-LEAST_G2, LEAST_DOCS = 25.0, 4
+#: Blocks of a text read before bounds are compared.
+FIRST = 4
+#: A term weighs 1 + G2 / SCALE times its TF-IDF.
+SCALE = 4.0
 SOFT = 0.05
 STEMS = (4, 5, 6)
 
@@ -55,86 +59,95 @@ def _terms(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(doc), np.concatenate(h)
 
 
+def _counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, times) of the distinct terms of each text."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], h[first], np.diff(first, append=len(h))
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number) of all numbers of some ranges."""
+    n = stop - start
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+
+
 @dataclass
 class Index:
-    """The examples.  ``terms`` sorted hashes, ``idf``; the blocks' postings one after another:
-    ``example``, ``term``, ``weight``, block b from ``ptr[b]`` on; ``list_``: the same by term,
-    term t from ``list_ptr[t]`` on; ``high`` the largest weight a term and block."""
+    """The examples.  ``terms`` sorted hashes, ``idf`` their weights (``unknown``: of others);
+    ``blocks``: term t's blocks are entries ``by_term[t]`` to ``by_term[t + 1]`` of ``block``
+    and ``high``; entry j's examples are ``by_block[j]`` to ``by_block[j + 1]`` of ``example``
+    and ``weight``."""
 
     terms: np.ndarray
     idf: np.ndarray
+    unknown: float
     ids: np.ndarray
     label: np.ndarray
     stands: np.ndarray
-    ptr: np.ndarray
+    by_term: np.ndarray
+    block: np.ndarray
+    high: np.ndarray
+    by_block: np.ndarray
     example: np.ndarray
-    term: np.ndarray
     weight: np.ndarray
-    list_: np.ndarray
-    list_ptr: np.ndarray
-    high: np.ndarray
     plain: float
     curve: tuple[np.ndarray, np.ndarray]
 
-    def vectors(self, c: words.Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(terms, unit TF-IDF weights) of each text of the chunk."""
-        doc, h = _terms(c)
-        if len(self.terms):
-            at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-            hit = self.terms[at] == h
-            key, n = np.unique(doc[hit] * len(self.terms) + at[hit], return_counts=True)
-        else:
-            key, n = np.empty(0, np.int64), np.empty(0, np.int64)
-        doc, term = np.divmod(key, max(1, len(self.terms)))
-        w = (1 + np.log(n)) * self.idf[term]
-        cut = np.searchsorted(doc, np.arange(c.n + 1))
+    def vectors(self, c: words.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, unit TF-IDF weight) of the chunk's texts; terms that no example has count
+        for the length only."""
+        doc, h, n = _counted(*_terms(c))
+        at = np.minimum(np.searchsorted(self.terms, h), max(0, len(self.terms) - 1))
+        hit = self.terms[at] == h if len(self.terms) else np.zeros(len(h), bool)
+        w = (1 + np.log(n)) * np.where(hit, self.idf[at] if len(self.terms) else 0.0, self.unknown)
+        norm = np.sqrt(np.bincount(doc, w * w, minlength=c.n))
+        return doc[hit], at[hit], w[hit] / norm[doc[hit]]
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, but: np.ndarray | None = None, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``n`` texts the ``k`` examples of greatest cosine (above 0), and the
+        cosines; ``but``: an example to leave out for each."""
+        n_blocks = -(-len(self.ids) // BLOCK)
+        if not n_blocks:
+            return [(np.empty(0, np.int64), np.empty(0))] * n
+        own, entry = _ranges(self.by_term[term], self.by_term[term + 1])
+        cell = doc[own] * n_blocks + self.block[entry]
+        bound = np.bincount(cell, w[own] * self.high[entry], n * n_blocks).reshape(n, n_blocks)
+        read = np.zeros((n, n_blocks), bool)
+        some = min(FIRST, n_blocks)
+        np.put_along_axis(read, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, axis=1)
+        read &= bound > 0
+        cosine = np.zeros((n, n_blocks * BLOCK))
+        self._add(cosine, read, cell, own, entry, doc, w)
+        if but is not None:
+            cosine[np.arange(n), but] = 0
+        # whatever block can still reach the k-th neighbour, or tie with it, is read whole
+        top = min(k, cosine.shape[1])
+        least = np.partition(cosine, cosine.shape[1] - top, axis=1)[:, -top] - 1e-9
+        more = ~read & (bound > 0) & (bound >= least[:, None])
+        self._add(cosine, more, cell, own, entry, doc, w)
+        if but is not None:
+            cosine[np.arange(n), but] = 0
+        cosine = np.round(cosine[:, :len(self.ids)], 12)
         out = []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            v = w[a:b]
-            out.append((term[a:b], v / np.sqrt((v * v).sum()) if b > a else v))
+        top = min(k, cosine.shape[1])
+        least = np.partition(cosine, cosine.shape[1] - top, axis=1)[:, -top]
+        for row, bar in zip(cosine, least, strict=True):
+            e = np.flatnonzero((row >= bar) & (row > 0))
+            e = e[np.lexsort((e, -row[e]))[:k]]
+            out.append((e, row[e]))
         return out
 
-    def nearest(self, term: np.ndarray, w: np.ndarray, but: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of greatest cosine (above 0) with the vector, and the cosines."""
-        bound = w @ self.high[term]
-        order = np.argsort(-bound, kind="stable")
-        best_e, best_c = self._cosines(order[:FIRST], term, w, but, k)
-        # whatever block can still reach the k-th neighbour, or tie with it, is read whole
-        least = best_c[k - 1] - 1e-9 if len(best_c) >= k else 0.0
-        more = order[FIRST:]
-        more = more[bound[more] >= least] if least > 0 else more[bound[more] > 0]
-        if len(more):
-            e, c = self._cosines(more, term, w, but, k, least)
-            best_e, best_c = np.concatenate([best_e, e]), np.concatenate([best_c, c])
-            top = np.lexsort((best_e, -best_c))[:k]
-            best_e, best_c = best_e[top], best_c[top]
-        return best_e, best_c
-
-    def _cosines(self, blocks: np.ndarray, term: np.ndarray, w: np.ndarray, but: int, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best examples of some blocks that reach ``least``: few blocks are read block by block, many by
-        the lists of the vector's terms."""
-        sums = np.zeros(len(self.ids))
-        if len(blocks) <= 2 * FIRST:
-            full = np.zeros(len(self.terms))
-            full[term] = w
-            at = np.concatenate([np.arange(self.ptr[b], self.ptr[b + 1]) for b in blocks])
-            sums += np.bincount(self.example[at], weights=full[self.term[at]] * self.weight[at], minlength=len(sums))
-        else:
-            for t, x in zip(term.tolist(), w.tolist(), strict=True):
-                at = self.list_[self.list_ptr[t]:self.list_ptr[t + 1]]
-                sums[self.example[at]] += x * self.weight[at]
-            wanted = np.zeros(len(self.ptr) - 1, bool)
-            wanted[blocks] = True
-            sums[~np.repeat(wanted, BLOCK)[:len(sums)]] = 0
-        if 0 <= but < len(sums):
-            sums[but] = 0
-        e = np.flatnonzero(sums >= least if least > 0 else sums > 0)
-        c = np.round(sums[e], 12)
-        if len(e) > 4 * k:
-            some = c >= np.partition(c, len(c) - k)[len(c) - k]
-            e, c = e[some], c[some]
-        top = np.lexsort((e, -c))[:k]
-        return e[top], c[top]
+    def _add(self, cosine: np.ndarray, read: np.ndarray, cell: np.ndarray, own: np.ndarray, entry: np.ndarray, doc: np.ndarray, w: np.ndarray) -> None:
+        """Adds up the cosines with all examples of the (text, block) cells to ``read``."""
+        pick = np.flatnonzero(read.ravel()[cell])
+        which, at = _ranges(self.by_block[entry[pick]], self.by_block[entry[pick] + 1])
+        vector = own[pick][which]
+        cosine += np.bincount(doc[vector] * cosine.shape[1] + self.example[at], w[vector] * self.weight[at], cosine.size).reshape(cosine.shape)
 
     def vote(self, e: np.ndarray, cosine: np.ndarray) -> float:
         w = self.stands[e] / (1 - np.minimum(cosine, 1) + SOFT)
@@ -144,78 +157,79 @@ class Index:
         return float(np.interp(raw, *self.curve))
 
 
-def choose_terms(examples: DataFrame) -> list[tuple[int, int, int]]:
-    """(hash, examples with the term: labelled 1, all) of the TERMS terms of greatest G2.
-    ``examples``: text, toxic."""
+def term_counts(examples: DataFrame) -> DataFrame:
+    """h, hot, n: the examples with each term, labelled 1 and all.  ``examples``: text, toxic."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = words.Powers()
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, c in words.chunks(batch.column(0), powers, words.NON_ALNUM, words.LOWER):
-                doc, h = _terms(c)
-                order = np.lexsort((doc, h))
-                doc, h = doc[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                u, at = np.unique(h[new], return_inverse=True)
-                hot = np.bincount(at, weights=label[lo + doc[new]], minlength=len(u)).astype(np.int64)
+                doc, h, _ = _counted(*_terms(c))
+                u, at = np.unique(h, return_inverse=True)
+                hot = np.bincount(at, weights=label[lo + doc], minlength=len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(hot), pa.array(np.bincount(at, minlength=len(u)))], names=["h", "hot", "n"])
 
-    size, hot = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not hot or hot == size:
-        return []
-    n = examples.select("text", "toxic").mapInArrow(count, "h long, hot long, n long").groupBy("h").agg(F.sum("hot").alias("hot"), F.sum("n").alias("n"))
+    return examples.select("text", "toxic").mapInArrow(count, "h long, hot long, n long").groupBy("h").agg(F.sum("hot").alias("hot"), F.sum("n").alias("n"))
 
-    def cell(seen: str, expected: str):
-        return F.expr(f"if(({seen}) > 0, ({seen}) * ln(({seen}) / ({expected})), 0.0D)")
 
-    rate = hot / size
-    g2 = 2 * (cell("hot", f"n * {rate}D") + cell("n - hot", f"n * {1 - rate}D")
-              + cell(f"{hot} - hot", f"({size} - n) * {rate}D") + cell(f"{size - hot} - (n - hot)", f"({size} - n) * {1 - rate}D"))
-    return [(r["h"], r["hot"], r["n"]) for r in n.where(f"n >= {LEAST_DOCS} and n < {size}").withColumn("g2", g2)
-            .where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "h").limit(TERMS).collect()]
+def _g2(n: np.ndarray, hot: np.ndarray, size: int, all_hot: int) -> np.ndarray:
+    """Likelihood ratio of a term's presence and the label."""
+    total = np.zeros(len(n))
+    rate = all_hot / max(1, size)
+    for seen, expected in ((hot, n * rate), (n - hot, n * (1 - rate)), (all_hot - hot, (size - n) * rate), (size - all_hot - n + hot, (size - n) * (1 - rate))):
+        ok = (seen > 0) & (expected > 0)
+        total[ok] += seen[ok] * np.log(seen[ok] / expected[ok])
+    return np.maximum(2 * total, 0)
 
 
-def _bare(terms: np.ndarray, n: np.ndarray, size: int) -> Index:
+def _bare(terms: np.ndarray, n: np.ndarray, size: int, g2: np.ndarray | None = None) -> Index:
     """An index that knows its terms, but no examples yet.  ``n``: examples with each term."""
     order = np.argsort(terms)
     none, line = np.empty(0, np.int64), np.array([0.0, 1.0])
-    return Index(terms[order], np.log((1 + size) / (1 + n[order])) + 1, *[none] * 10, 0.0, (line, line))
+    boost = 1 + (np.zeros(len(terms)) if g2 is None else g2) / SCALE
+    idf = (np.log((1 + size) / (1 + n)) + 1) * boost
+    return Index(terms[order], idf[order], np.log(1 + size) + 1, none, *[none] * 2, np.zeros(len(terms) + 1, np.int64), none, none, np.zeros(1, np.int64), *[none] * 2, 0.0, (line, line))
 
 
-def _vectorise(rows: DataFrame, index: Index) -> list:
-    """(id, toxic, stands, terms, weights) of the examples."""
+def _vectorise(rows: DataFrame, index: Index) -> pa.Table:
+    """i, toxic, stands, terms, weights of the examples."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = words.Powers()
         for batch in batches:
-            found = [v for _, c in words.chunks(batch.column(3), powers, words.NON_ALNUM, words.LOWER) for v in shared.value.vectors(c)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([v[0] for v in found], pa.list_(pa.int64())), pa.array([v[1] for v in found], pa.list_(pa.float64()))],
-                                             names=["i", "toxic", "stands", "terms", "weights"])
+            for lo, c in words.chunks(batch.column(3), powers, words.NON_ALNUM, words.LOWER):
+                doc, term, w = shared.value.vectors(c)
+                off = pa.array(np.searchsorted(doc, np.arange(c.n + 1)), pa.int32())
+                part = batch.slice(lo, c.n)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(off, pa.array(term, pa.int32())), pa.ListArray.from_arrays(off, pa.array(w))],
+                                                 names=["i", "toxic", "stands", "terms", "weights"])
 
     kind = dict(rows.dtypes)["i"]
-    return rows.select("i", "toxic", "stands", "text").mapInArrow(run, f"i {kind}, toxic int, stands double, terms array<long>, weights array<double>").collect()
-
-
-def _fill(index: Index, rows: list) -> None:
-    """Builds the blocks from vectors.  Examples with the same heaviest term and label stand in
-    the same blocks, which keeps the blocks' bounds tight."""
-    plain = [x for x in rows if not x["terms"]]
-    index.plain = sum(x["stands"] * x["toxic"] for x in plain) / max(1.0, sum(x["stands"] for x in plain))
-    full = sorted((x for x in rows if x["terms"]), key=lambda x: (x["terms"][int(np.argmax(x["weights"]))], x["toxic"], x["i"]))
-    index.ids = np.array([x["i"] for x in full])
-    index.label, index.stands = np.array([x["toxic"] for x in full], float), np.array([x["stands"] for x in full], float)
-    terms, blocks = max(1, len(index.terms)), max(1, -(-len(full) // BLOCK))
-    e = np.repeat(np.arange(len(full)), [len(x["terms"]) for x in full])
-    t = np.array([y for x in full for y in x["terms"]], np.int64)
-    w = np.array([y for x in full for y in x["weights"]], float)
-    index.example, index.term, index.weight = e, t, w  # by example, hence by block
-    index.ptr = np.searchsorted(e // BLOCK, np.arange(blocks + 1))
-    index.list_ = np.argsort(t, kind="stable")
-    index.list_ptr = np.searchsorted(t[index.list_], np.arange(terms + 1))
-    index.high = np.zeros((terms, blocks))
-    np.maximum.at(index.high, (t, e // BLOCK), w)
+    return rows.select("i", "toxic", "stands", "text").mapInArrow(run, f"i {kind}, toxic int, stands double, terms array<int>, weights array<double>").toArrow()
+
+
+def _fill(index: Index, ids: np.ndarray, toxic: np.ndarray, stands: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Builds the index from the examples' vectors (terms, weights) and returns those in its
+    order.  Examples with the same heaviest term and label stand in the same blocks, which
+    keeps the blocks' bounds tight."""
+    index.plain = float((stands * toxic).sum() / max(1.0, stands.sum()))
+    full = [j for j, (t, _) in enumerate(vectors) if len(t)]
+    full.sort(key=lambda j: (vectors[j][0][int(np.argmax(vectors[j][1]))], toxic[j], ids[j]))
+    vectors = [vectors[j] for j in full]
+    index.ids, index.label, index.stands = ids[full], toxic[full].astype(float), stands[full].astype(float)
+    if not full:
+        return vectors
+    example = np.repeat(np.arange(len(full)), [len(t) for t, _ in vectors])
+    term, weight = (np.concatenate(x) for x in zip(*vectors, strict=True))
+    order = np.lexsort((example, term))
+    example, term, weight = example[order].astype(np.int32), term[order], weight[order]
+    block = example // BLOCK
+    first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+    index.example, index.weight, index.block = example, weight, block[first]
+    index.high, index.by_block = np.maximum.reduceat(weight, first), np.append(first, len(term))
+    index.by_term = np.searchsorted(term[first], np.arange(len(index.terms) + 1))
+    return vectors
 
 
 def _monotone(raw: np.ndarray, label: np.ndarray, stands: np.ndarray, bins: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -242,27 +256,36 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for k in (0, 1):
         share = F.when(F.col("toxic") == k, min(1.0, examples / max(1, sizes.get(k, 0)))).otherwise(share)
     picked = one.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("stands", 1 / share)
-    own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(small(picked), "i").dropDuplicates(["i"])
+    own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(small(picked), "i")
+    own = own.groupBy("i", "toxic", "stands").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     own = keep(own)  # 2 x EXAMPLES texts, read from here on
-    chosen = choose_terms(own)
-    index = _bare(np.array([t[0] for t in chosen], np.int64).view(np.uint64), np.array([t[2] for t in chosen], float), own.count())
+    size, hot = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    chosen = term_counts(own).toArrow()  # the terms of 2 x EXAMPLES texts
+    h, with_, n = (chosen.column(c).to_numpy() for c in ("h", "hot", "n"))
+    index = _bare(h.view(np.uint64), n.astype(float), size, _g2(n, with_, size, hot))
     rows = _vectorise(own, index)
-    _fill(index, rows)
+    lists = [rows.column(c).combine_chunks() for c in ("terms", "weights")]
+    if isinstance(lists[0], pa.ChunkedArray):
+        lists = [pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], x.type) for x in lists]
+    cut = lists[0].offsets.to_numpy() if len(lists[0]) else np.zeros(1, np.int64)
+    flat = [x.values.to_numpy(zero_copy_only=False) if len(x) else np.empty(0) for x in lists]
+    vectors = [(flat[0][a:b].astype(np.int64), flat[1][a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    order = np.argsort(rows.column("i").to_numpy(), kind="stable")
+    cols = [rows.column(c).to_numpy()[order] for c in ("i", "toxic", "stands")]
+    vectors = _fill(index, *cols, [vectors[j] for j in order])
     if not len(index.ids):
         return index
-    shared = spark.sparkContext.broadcast((index, [(x["terms"], x["weights"]) for x in sorted((x for x in rows if x["terms"]), key=lambda x: x["i"])], np.sort(index.ids)))
+    shared = spark.sparkContext.broadcast((index, vectors))
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, vectors, ids = shared.value
-        at = {int(i): e for e, i in enumerate(index.ids)}
+        index, vectors = shared.value
         for batch in batches:
-            raw, own = [], []
-            for j in batch.column(0).to_pylist():
-                e = at[int(ids[j])]
-                near = index.nearest(np.array(vectors[j][0]), np.array(vectors[j][1]), but=e)
-                raw.append(index.vote(*near) if len(near[0]) else index.plain)
-                own.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(raw, pa.float64())], names=["e", "raw"])
+            ids = batch.column(0).to_numpy()
+            for at in np.split(ids, range(BLOCK, len(ids), BLOCK)):
+                doc = np.repeat(np.arange(len(at)), [len(vectors[e][0]) for e in at])
+                near = index.nearest(doc, *(np.concatenate(x) for x in zip(*[vectors[e] for e in at], strict=True)), len(at), but=at) if len(at) else []
+                raw = [index.vote(*x) if len(x[0]) else index.plain for x in near]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw, pa.float64())], names=["e", "raw"])
 
     got = spark.range(len(index.ids)).repartition(max(1, len(index.ids) // 500), "id").mapInArrow(leave_one_out, "e long, raw double").collect()
     e, raw = np.array([r["e"] for r in got]), np.array([r["raw"] for r in got])
@@ -276,21 +299,18 @@ def toxicity(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, powers = shared.value, words.Powers()
-        memo: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
-            out = []
-            for _, c in words.chunks(batch.column(1), powers, words.NON_ALNUM, words.LOWER):
-                for term, w in index.vectors(c):
-                    key = term.tobytes() + w.tobytes()
-                    if key not in memo:
-                        if len(memo) > 20_000:  # a bounded store of repeated vectors
-                            memo.clear()
-                        near = index.nearest(term, w) if len(term) else (term, w)
-                        memo[key] = (index.calibrated(index.vote(*near)), index.ids[near[0][:evidence]].tolist()) if len(near[0]) else (index.plain, [])
-                    out.append(memo[key])
-            score = np.array([x[0] for x in out], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([x[1] for x in out], pa.list_(pa.int64()))],
-                                             names=["doc_id", "score", "predicted", "evidence"])
+            for lo, c in words.chunks(batch.column(1), powers, words.NON_ALNUM, words.LOWER):
+                score, found = np.empty(c.n), []
+                doc, term, w = index.vectors(c)
+                for first in range(0, c.n, 2 * BLOCK):  # texts searched together
+                    last = min(c.n, first + 2 * BLOCK)
+                    some = slice(*np.searchsorted(doc, [first, last]))
+                    for i, near in enumerate(index.nearest(doc[some] - first, term[some], w[some], last - first)):
+                        score[first + i] = index.calibrated(index.vote(*near)) if len(near[0]) else index.plain
+                        found.append(index.ids[near[0][:evidence]].tolist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, c.n), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(found, pa.list_(pa.int64()))],
+                                                 names=["doc_id", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int, evidence array<long>")
