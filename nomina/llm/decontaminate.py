@@ -14,7 +14,9 @@ out in the exact join, which is broadcast only if the items' windows are measure
 Edge cases: a null, empty or wordless text has no words, is in no hit and is not
 contaminated; a null, empty or wordless item has no window; repeated items count by
 item_id, repeated documents each give a row; an empty benchmark gives no hits, empty
-documents an empty result."""
+documents an empty result; very long texts are searched whole, a chunk each; hits that touch or
+overlap count their words once; item_ids are sorted as strings, equal ones once; columns
+other than the named ones are not read, whatever their names."""
 
 from __future__ import annotations
 

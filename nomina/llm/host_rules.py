@@ -11,7 +11,9 @@ host's failure rate is shrunk towards the corpus by a beta prior fitted to all h
 A document that fails no rule is therefore kept whatever its host is.
 
 Edge cases: a null or empty text has no words and fails the base rule; rows with a null
-host form one host; repeated rows each count; an empty table gives an empty result."""
+host form one host; repeated rows each count; an empty table gives an empty result; very long texts
+are measured whole, a chunk each; a host exactly at the limit of the shrunk rate is strict;
+columns other than the named ones are not read."""
 
 from __future__ import annotations
 

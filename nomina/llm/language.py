@@ -10,7 +10,10 @@ The model learns from about ``per_language`` training texts a language at most,
 hash of the id; everything else covers all rows.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; so is all if
-there is nothing to learn from; rows with a null language are predicted, not learned from."""
+there is nothing to learn from; rows with a null language are predicted, not learned from;
+very long texts are scored whole; of equally likely languages the first by name counts;
+repeated rows each give a row; columns other than the named ones are not read; an empty
+table gives an empty result."""
 
 from __future__ import annotations
 

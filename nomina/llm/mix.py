@@ -12,7 +12,9 @@ Everything follows from the seed, the ids, sizes and sources: reruns agree.
 
 Edge cases: a null or empty text has size 0 and is taken 0 times; null is a source of its
 own, after all others; a source without words has target 0; repeated rows each take their
-own place in the stream; an empty table gives an empty result."""
+own place in the stream; an empty table gives an empty result; a very long document spans as
+many blocks as its words need; documents with one hash are ordered by id, size and row;
+columns other than the named ones are not read."""
 
 from __future__ import annotations
 

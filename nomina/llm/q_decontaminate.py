@@ -14,7 +14,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated."""
+    """Documents that are not contaminated.  Rows with a null, empty or wordless text stay;
+    repeated rows stay or go together; without a benchmark all stay; very long texts are judged
+    whole; all columns pass through."""
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return only_rows(docs, out.where("contaminated"), "doc_id", "text", anti=True)
 

@@ -14,7 +14,9 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep.  Rows with a null or empty text fail the base rule and go;
+    repeated rows share a verdict; rows that agree in id but not in text are judged apart; an
+    empty table stays empty; all columns pass through."""
     verdicts = host_rules(docs)
     rejected = verdicts.where(~F.col("kept")).select("_id", "_digest")
     return only_rows(docs, rejected, "doc_id", "text", "source", anti=True)

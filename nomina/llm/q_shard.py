@@ -11,7 +11,8 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their shard and slot."""
+    """All documents, with their shard and slot.  Null and empty texts have size 1; repeated rows
+    each have a slot; an empty table stays empty; columns named like the result's are replaced."""
     return shard(docs)
 
 

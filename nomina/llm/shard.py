@@ -16,7 +16,8 @@ sorts a hot group whole.
 
 Edge cases: a null text counts as empty (size 1, CRC 0), a null id as the empty string;
 repeated rows share a key and a shard, each with a slot of its own; an empty table gives an
-empty result; other columns pass through unless they have one of the result's names."""
+empty result; a very long text is one row like any other; rows equal in all keys are numbered
+in any order; other columns pass through unless they have one of the result's names."""
 
 from __future__ import annotations
 

@@ -10,7 +10,9 @@ The model is the vocabulary's own order: the cost of a piece is the logarithm of
 The count is that of the cheapest segmentation, of equally cheap ones the shortest.
 
 Edge cases: null, empty and blank texts have 0 tokens; repeated rows each give a row; an
-empty table gives an empty result."""
+empty table gives an empty result; a very long text is a chunk of its own and counts whole, a
+very long word too; of equally cheap segmentations the one with the fewest pieces counts;
+columns other than the named ones are not read."""
 
 from __future__ import annotations
 

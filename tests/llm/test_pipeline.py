@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from nomina.llm import q_decontaminate, q_mix, q_quality, q_shard, q_similar
 from nomina.llm.mix import mixture
-from tests.llm.conftest import rows_of
+from tests.llm.conftest import oracle, rows_of
 
 
 def _folder(tmp_path, name, docs, spark, sf):
@@ -105,7 +105,26 @@ def test_stages_one_by_one(spark, sf_small, tmp_path):
 
 
 def test_nasty_rows_and_empty_tables(spark, nasty, empty):
-    assert corpus_pipeline.run(spark, nasty).count() > 0
+    """Every stage on the bad rows: what goes and what stays."""
+    docs = spark.read.parquet(f"{nasty}/documents.parquet")
+    total = docs.count()
+    for stage, sql, keeps in ((q_quality.stage, q_quality.SQL, lambda v: v.kept), (q_decontaminate.stage, q_decontaminate.SQL, lambda v: ~v.contaminated)):
+        v = oracle(sql, nasty)
+        got = stage(spark, docs, nasty)
+        assert got.columns == docs.columns and sorted(str(r[0]) for r in got.collect()) == sorted(str(None if x != x else int(x)) for x in v[keeps(v)].doc_id)
+    out = q_shard.stage(spark, docs, nasty).collect()
+    assert len(out) == total and {r["shard"] for r in out} <= set(range(16))
+    sizes = [len((r["text"] or "").encode()) + 1 for r in docs.collect()]
+    assert sorted(r["size"] for r in out) == sorted(sizes)
+    mixed = q_mix.stage(spark, docs, nasty)
+    assert mixed.columns == docs.columns and not [r for r in mixed.collect() if not (r["text"] or "").split()]
+    last = corpus_pipeline.run(spark, nasty).collect()
+    kept = {(str(r[0]), r[1]) for r in q_quality.stage(spark, docs, nasty).select("doc_id", "text").collect()}
+    assert last and {(str(r["doc_id"]), r["text"]) for r in last} <= kept
+    per = {}
+    for r in last:
+        per.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in per.values())
     assert corpus_pipeline.run(spark, empty).collect() == []
 
 
