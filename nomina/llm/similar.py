@@ -40,7 +40,7 @@ SIGNATURE = 512
 #: Open pairs a prefix row, on average, that are compared without further pivots.
 OPEN_PAIRS = 2
 #: Components of a shingle from which a pivot is drawn in a round, besides the largest.
-PIVOTS = 15
+PIVOTS = 3
 #: Share of the components that a round of pivots must join for another to follow.
 PROGRESS = 0.01
 
@@ -166,14 +166,20 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
         live = rows.withColumn("root", F.col("node"))
         if roots is not None:
             live = rows.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-            # shingles that still hold several components, and the pairs between these
-            of = live.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
-            of = of.groupBy("gram").agg(F.sum("c").cast("double").alias("c"), F.sum(F.col("c").cast("double") ** 2).alias("own"), F.count(F.lit(1)).alias("k"))
-            of = keep(few(of.where("k > 1").select("gram", ((F.col("c") ** 2 - F.col("own")) / 2).alias("pairs")), n_rows))
-            n_open = of.agg(F.sum("pairs")).first()[0]
+        node = F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "n", "pos", "root")
+        per = live.groupBy("gram", "root").agg(F.min(node).alias("p"), F.count(F.lit(1)).alias("c"))
+        if roots is not None:
+            # shingles that still hold several components, and the pairs between these; of two
+            # classes the one pair has been tested
+            per = keep(few(per, n_rows))
+            of = per.groupBy("gram").agg(F.sum("c").cast("double").alias("c"), F.sum(F.col("c").cast("double") ** 2).alias("own"), F.count(F.lit(1)).alias("k"))
+            of = keep(few(of.where("k > 1 and c > 2").select("gram", "c", ((F.col("c") ** 2 - F.col("own")) / 2).alias("pairs")), n_rows))
+            n_open, left = of.agg(F.sum("pairs"), F.sum("c")).first()
             if not n_open:
                 break
-            live = keep(few(live.join(of.select("gram"), "gram"), n_rows))
+            grams = small(of.select("gram"))
+            live, per, n_rows = keep(few(live.join(grams, "gram"), n_rows)), per.join(grams, "gram"), int(left)
+            rows = live.drop("root")  # the others never count again
             last = n_open <= OPEN_PAIRS * n_rows or joined < PROGRESS
         ids = (F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
         if last:  # all open pairs; the suffix filter is in the join, so only its survivors come out
@@ -182,8 +188,6 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
             pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
                            & _near(percent) & _alike(percent)).select(*ids).distinct()
         else:
-            node = F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "n", "pos", "root")
-            per = live.groupBy("gram", "root").agg(F.min(node).alias("p"), F.count(F.lit(1)).alias("c"))
             if roots is None:
                 ends = per.groupBy("gram").agg(F.min_by("p", F.xxhash64("root", F.lit(turn))).alias("p"))
             else:
