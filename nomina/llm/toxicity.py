@@ -5,10 +5,11 @@
     G2, over the labelled examples) weigh more.
 2.  Examples stand in an inverted index, cut into blocks of 64 examples: for each term the
     blocks it occurs in with its largest weight there, and within a block its examples.  The
-    texts of a chunk are searched together.  A block's best possible cosine follows from the
-    largest weights; each text's most promising blocks are read first, then all blocks that
-    can still reach its k-th neighbour.  The k neighbours are therefore exact (ties: the
-    smaller index).
+    lists of terms that one in DENSE examples has are kept as rows of a matrix.  The texts of
+    a chunk are searched together.  A block's best possible cosine follows from its largest
+    sum over the common terms and its largest weights of the others; each text's most
+    promising blocks are read first, then all blocks that can still reach its k-th neighbour.
+    The k neighbours are therefore exact (ties: the smaller index).
 3.  The votes of the k neighbours, weighed by 1 / (distance + ``SOFT``) and by how many rows
     an example stands for, give a raw score.  Leave-one-out scores of the examples, made
     monotone against their labels, turn it into a probability.  A text that shares no term
@@ -37,13 +38,16 @@ from nomina.llm import words
 from nomina.llm.common import keep, small
 
 #: Labelled rows a class in the index, about; neighbours; examples a block.
-EXAMPLES = 2500
+EXAMPLES = 800
 NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks of a text read before bounds are compared.
 FIRST = 4
-#: A term weighs 1 + G2 / SCALE times its TF-IDF.
-SCALE = 4.0
+#: A list that holds an example in so many is kept as a row.
+DENSE = 16
+#: A term that goes with label 1 weighs up to 1 + STRENGTH times its TF-IDF, half of that at a
+#: G2 of HALF (chance gives a few).
+STRENGTH, HALF = 100.0, 15.0
 SOFT = 0.05
 STEMS = (4, 5, 6)
 
@@ -81,7 +85,7 @@ class Index:
     """The examples.  ``terms`` sorted hashes, ``idf`` their weights (``unknown``: of others);
     ``blocks``: term t's blocks are entries ``by_term[t]`` to ``by_term[t + 1]`` of ``block``
     and ``high``; entry j's examples are ``by_block[j]`` to ``by_block[j + 1]`` of ``example``
-    and ``weight``."""
+    and ``weight``.  Common terms have a ``row`` (else -1) of ``rows`` instead."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -95,6 +99,8 @@ class Index:
     by_block: np.ndarray
     example: np.ndarray
     weight: np.ndarray
+    row: np.ndarray
+    rows: np.ndarray
     plain: float
     curve: tuple[np.ndarray, np.ndarray]
 
@@ -114,18 +120,28 @@ class Index:
         n_blocks = -(-len(self.ids) // BLOCK)
         if not n_blocks:
             return [(np.empty(0, np.int64), np.empty(0))] * n
+        common = self.row[term]
+        some = common >= 0
+        query = np.zeros((n, len(self.rows)))
+        if self.rows.dtype != float:
+            self.rows = self.rows.astype(float)  # sums are exact to 12 digits
+        query[doc[some], common[some]] = w[some]
+        cosine = np.zeros((n, n_blocks * BLOCK))
+        cosine[:, :len(self.ids)] = query @ self.rows
+        doc, term, w = doc[~some], term[~some], w[~some]
         own, entry = _ranges(self.by_term[term], self.by_term[term + 1])
         cell = doc[own] * n_blocks + self.block[entry]
-        bound = np.bincount(cell, w[own] * self.high[entry], n * n_blocks).reshape(n, n_blocks)
+        bound = np.bincount(cell, w[own] * self.high[entry], n * n_blocks).astype(float).reshape(n, n_blocks)
+        bound += cosine.reshape(n, n_blocks, BLOCK).max(2)
         read = np.zeros((n, n_blocks), bool)
         some = min(FIRST, n_blocks)
         np.put_along_axis(read, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, axis=1)
         read &= bound > 0
-        cosine = np.zeros((n, n_blocks * BLOCK))
         self._add(cosine, read, cell, own, entry, doc, w)
         if but is not None:
             cosine[np.arange(n), but] = 0
-        # whatever block can still reach the k-th neighbour, or tie with it, is read whole
+        # whatever block can still reach the k-th neighbour, or tie with it, is read whole; sums
+        # over the common terms alone are never too high
         top = min(k, cosine.shape[1])
         least = np.partition(cosine, cosine.shape[1] - top, axis=1)[:, -top] - 1e-9
         more = ~read & (bound > 0) & (bound >= least[:, None])
@@ -173,22 +189,22 @@ def term_counts(examples: DataFrame) -> DataFrame:
 
 
 def _g2(n: np.ndarray, hot: np.ndarray, size: int, all_hot: int) -> np.ndarray:
-    """Likelihood ratio of a term's presence and the label."""
+    """Likelihood ratio of a term's presence and the label, 0 for terms that go with label 0."""
     total = np.zeros(len(n))
     rate = all_hot / max(1, size)
     for seen, expected in ((hot, n * rate), (n - hot, n * (1 - rate)), (all_hot - hot, (size - n) * rate), (size - all_hot - n + hot, (size - n) * (1 - rate))):
         ok = (seen > 0) & (expected > 0)
         total[ok] += seen[ok] * np.log(seen[ok] / expected[ok])
-    return np.maximum(2 * total, 0)
+    return np.where(hot > n * rate, np.maximum(2 * total, 0), 0.0)
 
 
 def _bare(terms: np.ndarray, n: np.ndarray, size: int, g2: np.ndarray | None = None) -> Index:
     """An index that knows its terms, but no examples yet.  ``n``: examples with each term."""
     order = np.argsort(terms)
     none, line = np.empty(0, np.int64), np.array([0.0, 1.0])
-    boost = 1 + (np.zeros(len(terms)) if g2 is None else g2) / SCALE
-    idf = (np.log((1 + size) / (1 + n)) + 1) * boost
-    return Index(terms[order], idf[order], np.log(1 + size) + 1, none, *[none] * 2, np.zeros(len(terms) + 1, np.int64), none, none, np.zeros(1, np.int64), *[none] * 2, 0.0, (line, line))
+    boost = 1 + STRENGTH / (1 + (HALF / np.maximum(np.zeros(len(terms)) if g2 is None else g2, 1e-3)) ** 4)
+    idf = ((np.log((1 + size) / (1 + n)) + 1) * boost).astype(np.float32)
+    return Index(terms[order], idf[order], np.log(1 + size) + 1, none, *[none] * 2, np.zeros(len(terms) + 1, np.int64), none, none, np.zeros(1, np.int64), *[none] * 2, np.full(len(terms), -1, np.int32), np.zeros((0, 0)), 0.0, (line, line))
 
 
 def _vectorise(rows: DataFrame, index: Index) -> pa.Table:
@@ -206,7 +222,9 @@ def _vectorise(rows: DataFrame, index: Index) -> pa.Table:
                                                  names=["i", "toxic", "stands", "terms", "weights"])
 
     kind = dict(rows.dtypes)["i"]
-    return rows.select("i", "toxic", "stands", "text").mapInArrow(run, f"i {kind}, toxic int, stands double, terms array<int>, weights array<double>").toArrow()
+    found = rows.select("i", "toxic", "stands", "text").mapInArrow(run, f"i {kind}, toxic int, stands double, terms array<int>, weights array<double>").toArrow()
+    shared.destroy()
+    return found
 
 
 def _fill(index: Index, ids: np.ndarray, toxic: np.ndarray, stands: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -222,13 +240,20 @@ def _fill(index: Index, ids: np.ndarray, toxic: np.ndarray, stands: np.ndarray,
         return vectors
     example = np.repeat(np.arange(len(full)), [len(t) for t, _ in vectors])
     term, weight = (np.concatenate(x) for x in zip(*vectors, strict=True))
+    weight = weight.astype(np.float32)  # what goes to the executors is kept small
     order = np.lexsort((example, term))
     example, term, weight = example[order].astype(np.int32), term[order], weight[order]
+    often = np.flatnonzero(np.bincount(term, minlength=len(index.terms)) * DENSE >= len(full))
+    index.row[often] = np.arange(len(often))
+    index.rows = np.zeros((len(often), len(full)), np.float32)
+    own = index.row[term] >= 0
+    index.rows[index.row[term[own]], example[own]] = weight[own]
+    example, term, weight = example[~own], term[~own], weight[~own]
     block = example // BLOCK
     first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-    index.example, index.weight, index.block = example, weight, block[first]
-    index.high, index.by_block = np.maximum.reduceat(weight, first), np.append(first, len(term))
-    index.by_term = np.searchsorted(term[first], np.arange(len(index.terms) + 1))
+    index.example, index.weight, index.block = example.astype(np.min_scalar_type(len(full))), weight, block[first].astype(np.min_scalar_type(len(full)))
+    index.high, index.by_block = np.maximum.reduceat(weight, first) if len(first) else weight, np.append(first, len(term)).astype(np.int32)
+    index.by_term = np.searchsorted(term[first], np.arange(len(index.terms) + 1)).astype(np.int32)
     return vectors
 
 
@@ -263,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = term_counts(own).toArrow()  # the terms of 2 x EXAMPLES texts
     h, with_, n = (chosen.column(c).to_numpy() for c in ("h", "hot", "n"))
     index = _bare(h.view(np.uint64), n.astype(float), size, _g2(n, with_, size, hot))
-    rows = _vectorise(own, index)
+    rows = _vectorise(own, index)  # a row an example
     lists = [rows.column(c).combine_chunks() for c in ("terms", "weights")]
     if isinstance(lists[0], pa.ChunkedArray):
         lists = [pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], x.type) for x in lists]
@@ -275,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     vectors = _fill(index, *cols, [vectors[j] for j in order])
     if not len(index.ids):
         return index
-    shared = spark.sparkContext.broadcast((index, vectors))
+    shared = spark.sparkContext.broadcast((index, [(t.astype(np.int32), w.astype(np.float32)) for t, w in vectors]))
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, vectors = shared.value
@@ -289,6 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     got = spark.range(len(index.ids)).repartition(max(1, len(index.ids) // 500), "id").mapInArrow(leave_one_out, "e long, raw double").collect()
     e, raw = np.array([r["e"] for r in got]), np.array([r["raw"] for r in got])
+    shared.destroy()
     index.curve = _monotone(raw, index.label[e], index.stands[e])
     return index
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from nomina.llm import catalog, toxicity, words
@@ -22,6 +23,8 @@ def _dense(index) -> np.ndarray:
     entry = np.repeat(np.arange(len(index.block)), np.diff(index.by_block))
     term = np.repeat(np.arange(len(index.terms)), np.diff(index.by_term))
     out[index.example, term[entry]] = index.weight
+    own = np.flatnonzero(index.row >= 0)
+    out[:, own] = index.rows[index.row[own]].T
     return out
 
 
@@ -52,9 +55,12 @@ def test_neighbours_are_exact(spark):
     assert np.allclose((dense ** 2).sum(1), 1)
 
 
-def test_many_blocks_are_exact():
+@pytest.mark.parametrize("terms,dense", [(30, 8), (30, 1000), (30, 1), (300, 8)])
+def test_many_blocks_are_exact(monkeypatch, terms, dense):
+    """With all lists as rows, with none and with some."""
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     r = np.random.default_rng(1)
-    n, terms = 1000, 30
+    n = 1000
     vectors = []
     for _ in range(n):
         t = np.sort(r.choice(terms, r.integers(1, 5), replace=False))
