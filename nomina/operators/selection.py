@@ -5,11 +5,10 @@ the group's smallest and largest value.  A round scans the rows, counts those of
 interval in ``buckets`` equal parts (partially aggregated) and keeps the part that holds the
 rank, with that part's own smallest and largest value as the new interval.  Rows outside all
 intervals drop out of the scan's aggregate, and a group is done when its intervals are
-single values.  A part never holds both ends of its interval, so the rounds end; ordinary
-money columns take three.
+single values.  A part never holds both ends of its interval, so the rounds end; once every open
+interval holds at most ``SLICE`` rows, these are ranked as they are.
 
-State between rounds: a row per group and rank, checkpointed; only its emptiness is asked
-for on the driver.
+State between rounds: a row per group and rank, checkpointed; the driver sees three counts.
 """
 
 from __future__ import annotations
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 from nomina.session import ensure_checkpoint_dir
 
 BUCKETS = 512
+#: Rows of an interval that are ranked without further narrowing.
+SLICE = 4096
 #: Intervals (a group's key and two numbers each) that may be broadcast to the scan.
 BROADCAST_INTERVALS = 200_000
 
@@ -42,20 +43,30 @@ def select_ranks(rows: DataFrame, keys: list[str], ranks: DataFrame, buckets: in
     """``ranks`` (keys, r, lo, hi: an interval known to hold the r-th smallest, from 0) with
     ``value``.  ``rows``: keys and ``v`` (double, no nulls)."""
     ensure_checkpoint_dir(rows.sparkSession)
-    state = ranks.withColumn("below", F.lit(0).cast("long")).checkpoint()
-    bound = state.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
-    while not (live := state.where("lo < hi")).isEmpty():
+    state = ranks.withColumns({"below": F.lit(0).cast("long"), "size": F.lit(1 << 62)})
+    cols = [*keys, "r", "lo", "hi", "below", "size"]
+    while True:
+        n_open, n, most = state.agg(F.count_if(F.col("lo") < F.col("hi")), F.count(F.lit(1)), F.max(F.when(F.col("lo") < F.col("hi"), F.col("size")))).first()
+        if not n_open:
+            break
+        live = state.where("lo < hi")
         spans = live.select(*keys, "lo", "hi").distinct()
-        spans = F.broadcast(spans) if bound else spans
+        spans = F.broadcast(spans) if n <= BROADCAST_INTERVALS else spans
         held = rows.alias("x").join(spans.alias("s"), _same("x", "s", keys) & F.col("v").between(F.col("lo"), F.col("hi")))
-        parts = held.groupBy(*[F.col(f"x.{k}").alias(k) for k in keys], "lo", _part(buckets).alias("b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
-        before = Window.partitionBy(*keys, "lo").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        own = [F.col(f"x.{k}").alias(k) for k in keys]
+        if most <= SLICE:
+            place = F.row_number().over(Window.partitionBy(*keys, "lo").orderBy("v")) - 1
+            parts = held.select(*own, "lo", "v").select(*keys, "lo", F.col("v").alias("low"), F.col("v").alias("high"), place.cast("long").alias("start"), F.lit(1).cast("long").alias("c"))
+        else:
+            parts = held.groupBy(*own, "lo", _part(buckets).alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+            before = Window.partitionBy(*keys, "lo").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+            parts = parts.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
         rank = F.col("s.r") - F.col("s.below")
         found = live.alias("s").join(parts.alias("p"), _same("s", "p", keys) & (F.col("s.lo") == F.col("p.lo")) & (F.col("start") <= rank) & (rank < F.col("start") + F.col("c")))
-        found = found.select(*[F.col(f"s.{k}").alias(k) for k in keys], "s.r", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("s.below") + F.col("start")).alias("below"))
-        state = state.where("lo >= hi").unionByName(found).checkpoint()
+        found = found.select(*[F.col(f"s.{k}").alias(k) for k in keys], "s.r", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("s.below") + F.col("start")).alias("below"), F.col("c").alias("size"))
+        state = state.where("lo >= hi").select(*cols).unionByName(found.select(*cols)).checkpoint()
+        if most <= SLICE:
+            break
     return state.select(*keys, "r", F.col("lo").alias("value"))
 
 

@@ -45,7 +45,10 @@ def test_any_doubles(spark, rows):
         assert xs[(len(xs) - 1) // 2] <= got[k]["mid"] + 1e-9 * abs(got[k]["mid"]) or math.isinf(got[k]["mid"])
 
 
-def test_quantiles_by_group_as_numpy(spark):
+@pytest.mark.parametrize("slice_", [4096, 0])
+def test_quantiles_by_group_as_numpy(spark, monkeypatch, slice_):
+    """With the last rows ranked as they are, and narrowed to the end."""
+    monkeypatch.setattr(SEL, "SLICE", slice_)
     r = random.Random(2)
     rows = [(r.choice("abc"), r.choice([r.uniform(0, 1e7), 5.0, r.expovariate(1e-9)])) for _ in range(4000)] + [("hot", float(i % 3)) for i in range(9000)] + [("one", 4.5), ("a", None), ("b", float("nan"))]
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
