@@ -125,6 +125,10 @@ def src06_month_dir_scan(spark, sf_dir):
                                                F.countDistinct("organismo").alias("organismos"))
 
 
+#: Records of a landed file.
+LANDED_RECORDS = 20_000
+
+
 def _quoted(c):
     """A CSV field in quotes, with the quotes inside doubled."""
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -143,9 +147,13 @@ def src06_csv_quoted_landing(spark, sf_dir):
     name = F.concat(F.lit('Luis "'), F.col("estamento"), F.lit('", hijo'), F.when(F.col("id") % 3 == 0, F.lit('\n\n2a línea, "x"')).otherwise(F.lit("")))
     p = _payroll_rows(spark, sf_dir).withColumn("_k", F.col("id").cast("long") % 2)
     record = F.concat_ws("", F.col("id").cast("string"), sep, _quoted(name), sep, F.coalesce(_quoted(F.col("sueldo_texto")), F.lit("")))
-    p = p.select("fuente", "periodo", "_k", F.expr("id div 4000").alias("_c"), record.alias("_r"))
+    p = p.select("fuente", "periodo", "_k", F.xxhash64("id", "organismo", "sueldo_texto").alias("_h"), record.alias("_r"))
+    # as many files as the records of a directory need, whatever their ids
+    sizes = p.groupBy("fuente", "periodo", "_k").agg(F.ceil(F.count(F.lit(1)) / LANDED_RECORDS).alias("_files"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("fuente", "periodo", "_k")]
+    p = p.alias("p").join(sizes.alias("s"), same[0] & same[1] & same[2]).select("p.*", F.pmod("_h", "_files").alias("_c"))
     header = F.concat(F.lit("\n\n"), F.when(semi, F.lit("id;nombre;sueldo")).otherwise(F.lit("id,nombre,sueldo")))
-    files = p.groupBy("fuente", "periodo", "_k", "_c").agg(F.array_join(F.collect_list("_r"), "\r\n\n").alias("_body"))  # a file a row, at most 2,000 records
+    files = p.groupBy("fuente", "periodo", "_k", "_c").agg(F.array_join(F.collect_list("_r"), "\r\n\n").alias("_body"))  # a file a row, about LANDED_RECORDS at most
     files = files.select("fuente", "periodo", F.concat(header, F.lit("\n"), F.col("_body")).alias("value"), semi.alias("_semi"))
     for is_semi, encoding in ((False, "UTF-8"), (True, FS.LATIN1)):
         body = F.col("value") if not is_semi else F.encode("value", FS.LATIN1)
