@@ -56,12 +56,10 @@ def monthly_etl(spark: SparkSession, raw_root: str, sources: list[str] | None, a
             continue
         frames.append(MP.normalize(raw, src.split("=")[-1], file_name=F.col("archivo_origen"), as_of=as_of))
     canon = MP.union_by_name(*frames)
-    clean = fill_text(FL.quantile_trim(FL.valid_salary(canon)))
-    if out_dir:
-        # three consumers (two sinks + statistics): materialise once in the shared
-        # checkpoint dir instead of re-scanning and re-ranking the raw files each time
-        ensure_checkpoint_dir(spark)
-        clean = clean.checkpoint(eager=True)
+    # the trim's rounds, two sinks and the statistics read the rows: materialise them once in
+    # the shared checkpoint dir instead of parsing the raw files each time
+    ensure_checkpoint_dir(spark)
+    clean = fill_text(FL.quantile_trim(FL.valid_salary(canon).checkpoint()))
     stats = A.summary_stats(clean)
     if out_dir:
         SK.write_dated_and_latest(clean.withColumn("periodo", F.lit(as_of[:7])), f"{out_dir}/sueldos")
@@ -202,7 +200,9 @@ def consolidate_month(spark: SparkSession, raw_root: str, sources: list[str] | N
     """PIP-10: scan month dirs with provenance -> union -> rows and salary stats per source."""
     raw = FS.month_dir_scan(spark, raw_root, sources, as_of=as_of)
     sal = M.money_auto(F.col("Remuneración bruta mensualizada"))
-    d = raw.withColumn(SAL, sal)
+    # the median's rounds read the rows again: the files are parsed once
+    ensure_checkpoint_dir(spark)
+    d = raw.select("fuente", "Institución", sal.alias(SAL)).checkpoint()
     agg = d.groupBy("fuente").agg(F.count(F.lit(1)).alias("n"), F.avg(SAL).alias("promedio"),
                                   F.countDistinct("Institución").alias("organismos"))
     return A.with_quantiles(agg, d, SAL, {"mediana": 0.5}, ("fuente",))
