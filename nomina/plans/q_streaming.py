@@ -80,6 +80,11 @@ def str03_session_rows(spark, sf_dir):
     return ING.session_log(spark, state).agg(F.sum("registros_entrada").alias("registros_entrada"), F.max("estado").alias("estado"))
 
 
+def _landed_files(df) -> int:
+    """Files of a landing, an even number: they grow with the splits of the table."""
+    return 2 * max(1, -(-df.rdd.getNumPartitions() // 2))
+
+
 @query("str04_changed_content", """
 WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, 1 AS vez FROM documents),
 b AS (SELECT doc_id, sha256(coalesce(text, '') || ' v2') AS sha256, 2 AS vez FROM documents WHERE doc_id % 4 = 0)
@@ -88,11 +93,12 @@ def str04_changed_content(spark, sf_dir):
     """A second landing in which a quarter of the documents changed: their new content is
     appended, the rest is skipped."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = _landed_files(docs)
     landing, out, state, ckpt = (_scratch(spark, n) for n in ("landing-chg", "ingested-chg", "manifest-chg", "ckpt-chg"))
     for vez in (1, 2):
         text = F.when((F.col("doc_id") % 4 == 0) & F.lit(vez == 2), F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
-        docs.select("doc_id", text.alias("text"), F.lit(vez).alias("vez")).coalesce(2).write.mode("append").parquet(landing)
-        got = ING.run_content_ingest(spark, landing, spark.read.parquet(landing).schema, out, state, ckpt, "doc_id", "text", files_per_trigger=10)
+        docs.select("doc_id", text.alias("text"), F.lit(vez).alias("vez")).repartition(n, "doc_id").write.mode("append").parquet(landing)
+        got = ING.run_content_ingest(spark, landing, spark.read.parquet(landing).schema, out, state, ckpt, "doc_id", "text", files_per_trigger=n)
     return got.select("doc_id", F.sha2("text", 256).alias("sha256"), "vez")
 
 
@@ -111,10 +117,11 @@ def str04_incremental_ingest(spark, sf_dir):
     """Documents landed twice; the second landing is all SAME content and is skipped."""
     docs = table(spark, sf_dir, "documents")
     landing = _scratch(spark, "landing-docs")
-    docs.coalesce(2).write.parquet(landing)
-    docs.coalesce(2).write.mode("append").parquet(landing)
+    n = _landed_files(docs)
+    docs.repartition(n, "doc_id").write.parquet(landing)
+    docs.repartition(n, "doc_id").write.mode("append").parquet(landing)
     out = ING.run_content_ingest(spark, landing, docs.schema, _scratch(spark, "ingested"),
-                                 _scratch(spark, "manifest"), _scratch(spark, "ckpt-docs"), "doc_id", "text")
+                                 _scratch(spark, "manifest"), _scratch(spark, "ckpt-docs"), "doc_id", "text", files_per_trigger=n // 2)
     return out.select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
