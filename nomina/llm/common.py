@@ -30,6 +30,17 @@ def keep(df: DataFrame) -> DataFrame:
 ROWS_A_TASK = 50_000
 
 
+#: Bytes of a batch of rows on its way to Python, which both sides hold whole outside the heap.
+BATCH_BYTES = 2 << 20
+
+
+def map_batches(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` with batches of about ``BATCH_BYTES``; a longer row is a
+    batch of its own."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """``df``, of about ``rows`` narrow rows, in no more partitions than they need: small tables
     then cost a few files a step, large ones keep their partitions."""

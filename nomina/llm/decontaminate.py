@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nomina.llm import words
-from nomina.llm.common import keep, small
+from nomina.llm.common import keep, map_batches, small
 
 SPAN = 13
 GRAM = 7
@@ -71,7 +71,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, span: int = SPAN, gr
                                                  names=["fp", "win", "length", "item"])
 
     rows = items.select(F.col(item_id).alias("item"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"fp long, win string, length int, item {dict(rows.dtypes)['item']}").distinct()
+    return map_batches(rows, run, f"fp long, win string, length int, item {dict(rows.dtypes)['item']}").distinct()
 
 
 def bitmap(fps: DataFrame) -> np.ndarray:
@@ -122,7 +122,7 @@ def document_windows(docs: DataFrame, doc_id: str, text: str, others: tuple[str,
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"),
                        F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in others]).alias("_digest"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"_row long, _id {dict(rows.dtypes)['_id']}, _digest long, n_words long, "
+    return map_batches(rows, run, f"_row long, _id {dict(rows.dtypes)['_id']}, _digest long, n_words long, "
                                 "found array<struct<fp:long,win:string,at:long,length:int>>")
 
 

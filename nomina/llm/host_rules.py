@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomina.llm import words
-from nomina.llm.common import keep, small
+from nomina.llm.common import keep, map_batches, small
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -57,7 +57,7 @@ def measure(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
                        F.col(text).alias("_text"))
     kinds = dict(rows.dtypes)
     schema = f"_id {kinds['_id']}, _host {kinds['_host']}, _digest long, " + ", ".join(f"{n} long" for n in names)
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def _lines(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nomina.llm import words
-from nomina.llm.common import few, keep, small
+from nomina.llm.common import few, keep, map_batches, small
 from nomina.llm.components import components
 from nomina.llm.decontaminate import bitmap, passes
 
@@ -64,7 +64,7 @@ def bucket_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
             yield _blocks(np.minimum(np.stack(list(total.values())), 0xFFFFFFFF).astype(np.uint32), np.array(list(total)))
 
     schema = "block int, part binary"
-    parts = docs.select(F.col(text).alias("_t")).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    parts = map_batches(map_batches(docs.select(F.col(text).alias("_t")), count, schema).repartition("block"), add, schema)
     out = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint32)
     for block, part in parts.collect():  # BUCKETS counters
         out[block] = np.frombuffer(part, np.uint32)
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, co
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"),
                        F.xxhash64(F.struct(F.col(text).isNull(), F.col(text))).alias("_digest"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"_row long, _id {dict(rows.dtypes)['_id']}, _digest long, n long, h1 long, h2 long, "
+    return map_batches(rows, run, f"_row long, _id {dict(rows.dtypes)['_id']}, _digest long, n long, h1 long, h2 long, "
                                 "prefix array<long>, bits array<long>")
 
 
@@ -130,7 +130,7 @@ def shared_grams(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(gram[pick]), batch.column(0).take(own), batch.column(1).take(own), pa.array(pos[pick])],
                                              names=["gram", "node", "n", "pos"])
 
-    some = nodes.select("node", "n", "prefix").mapInArrow(run, "gram long, node long, n long, pos long")
+    some = map_batches(nodes.select("node", "n", "prefix"), run, "gram long, node long, n long, pos long")
     return keep(some.join(twice, "gram"))
 
 
@@ -230,7 +230,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         own = small(keep(nodes.join(ids, "node", "left_semi").select("node", F.col("_id").alias("_i"), F.col("_digest").alias("_d"))))
         d = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.struct(F.col(text).isNull(), F.col(text))).alias("_digest"), F.col(text).alias("_text"))
         found = d.join(own, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d"))).select("node", "_text")
-        return found.mapInArrow(_sets(k), "node long, grams array<long>")
+        return map_batches(found, _sets(k), "node long, grams array<long>")
 
     roots = link_classes(nodes, sets_of, percent)
     lows = nodes.select("h1", "h2", "n", "node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
