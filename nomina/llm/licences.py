@@ -1,16 +1,18 @@
 """Licence scans by a trained paragraph classifier, with DataFrame functions only.
 
-Paragraphs (lines of a text) become counts-free vectors of hashed words and word pairs.  A
-multinomial logistic regression with an L1 share, hence sparse, tells licence families from
-``unknown``.  It is trained on variants of the families' notices (a word left out or changed,
-words before and after) and on a bounded sample of the corpus's paragraphs that share no
-three words in a row with any notice.
-
-``unknown`` is calibrated on paragraphs held out from training: a family counts from the
-least probability at which no more than ``FALSE_RATE`` of the held-out unknown ones pass, but
-not above the one that ``KNOWN_RATE`` of the held-out variants of notices reach.
+Paragraphs (lines of a text) become counts-free vectors of the words and word pairs that the
+notices have; no others can speak for a family.  A multinomial logistic regression with an L1
+share, hence sparse, tells licence families from ``unknown``.  It is trained on variants of the
+families' notices (a word left out or changed, words before and after) and on all distinct
+paragraphs of the corpus that share no three words in a row with any notice.
+
+``unknown`` is calibrated on all these paragraphs too: a family counts from the least
+probability at which no more than ``FALSE_RATE`` of them pass, but not above the one that
+``KNOWN_RATE`` of the variants of notices held out from training reach.
 A prediction is then confirmed by comparing the paragraph with the family's notices: enough
-of the shorter one's word triples must occur in the other.
+of the shorter one's word triples must occur in the other, at least one.  Every text is cut
+into words once; what follows works on the short vectors, and on the paragraphs that share a
+triple with some notice.
 
 Edge cases: null, empty and blank texts have no paragraphs; repeated rows each give a row;
 an empty table gives an empty result; a very long paragraph, such as a whole text without
@@ -19,18 +21,20 @@ counts; columns other than the named ones are not read."""
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomina.llm.common import keep, small
+from nomina.llm.common import few, keep, small
 
 UNKNOWN = "unknown"
-#: Features; paragraphs of the corpus to learn ``unknown`` from, and to calibrate it with.
-FEATURES = 1 << 14
-SAMPLE = 6000
+#: Intervals that the probabilities are counted in when one of a rank is looked for.
+BINS = 4096
 FALSE_RATE = 0.0005
 KNOWN_RATE = 0.95
 #: Percent of the shorter text's word triples that the other must have.
@@ -71,6 +75,10 @@ NOTICES = {
     "unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
 }
 FAMILIES = (UNKNOWN, *sorted(NOTICES))
+_WORDS = [re.findall("[a-z0-9]+", n.lower()) for ns in NOTICES.values() for n in ns]
+#: The notices' words and word pairs, and their word triples.
+VOCABULARY = sorted({t for w in _WORDS for t in (*w, *map(" ".join, zip(w, w[1:], strict=False)))})
+TRIPLES = sorted({" ".join(w[i:i + 3]) for w in _WORDS for i in range(max(1, len(w) - 2))})
 
 
 def tokens(text: Column) -> Column:
@@ -95,7 +103,7 @@ def triples(w: Column) -> Column:
 def features(rows: DataFrame) -> DataFrame:
     """``rows`` with ``features`` from ``words``."""
     both = rows.withColumn("_grams", F.concat("words", pairs(F.col("words"))))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_grams", outputCol="features").transform(both).drop("_grams")
+    return CountVectorizerModel.from_vocabulary(VOCABULARY, "_grams", "features").setBinary(True).transform(both).drop("_grams")
 
 
 def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -120,32 +128,70 @@ def _variants(known: DataFrame, copies: int = 24) -> DataFrame:
     return rows.select("family", "copy", F.concat(around, F.array_compact(changed)).alias("words"))
 
 
-def train(docs: DataFrame, doc_id: str, text: str) -> tuple[LogisticRegressionModel, float]:
-    """The classifier and the least probability at which a family counts."""
-    spark = docs.sparkSession
-    known = notices(spark)
-    told = F.array(*[F.lit(t[0]) for t in known.select(F.explode(triples(F.col("words")))).distinct().collect()])  # of the fixed notices
-    share = min(1.0, 3 * SAMPLE / 4 / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    lines = paragraphs(some, doc_id, text).where("paragraph is not null").select(F.xxhash64("paragraph").alias("h"), tokens(F.col("paragraph")).alias("words")).dropDuplicates(["h"])
-    free = keep(lines.where(~F.arrays_overlap(triples(F.col("words")), told)).orderBy("h").limit(2 * SAMPLE))
-    held = F.col("h") % 2 == 0
+def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``paragraphs`` with ``h`` (a hash of the paragraph), ``features`` and ``told`` (it shares a
+    word triple with a notice); those have ``paragraph`` and ``words`` still."""
+    rows = paragraphs(docs, doc_id, text).withColumn("words", tokens(F.coalesce("paragraph", F.lit(""))))
+    rows = rows.withColumn("told", F.arrays_overlap(triples(F.col("words")), F.array(*map(F.lit, TRIPLES))))
+    kept = [F.when(F.col("told"), F.col(c)).alias(c) for c in ("paragraph", "words")]
+    return keep(features(rows).select("_row", "_id", "n_paragraphs", "pos", F.xxhash64("paragraph").alias("h"), "told", "features", *kept))
+
+
+def percentile(values: DataFrame, share: float) -> float | None:
+    """The exact percentile of the one column, as Spark's ``percentile`` gives it; only counts
+    by BINS intervals a round reach the driver, until an interval has one value."""
+    x = values.columns[0]
+    n, least, most = values.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return None
+
+    def ranked(k: int) -> float:
+        lo, hi, before = least, most, 0
+        while lo < hi:
+            part = F.least(F.lit(BINS - 1), F.floor((F.col(x) - lo) / (hi - lo) * BINS))
+            counts = values.where(F.col(x).between(lo, hi)).groupBy(part.alias("b")).agg(F.count(x).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
+            for row in sorted(counts, key=lambda r: r["b"]):
+                lo, hi = row["lo"], row["hi"]
+                if before + row["c"] > k:
+                    break
+                before += row["c"]
+        return lo
+
+    at = (n - 1) * share
+    low, high = ranked(math.floor(at)), ranked(math.ceil(at))
+    return low + (high - low) * (at - math.floor(at))
+
+
+def learn(rows: DataFrame) -> tuple[LogisticRegressionModel, float]:
+    """The classifier of ``described`` rows, and the least probability at which a family counts."""
+    free = keep(rows.where("pos is not null and not told").select("h", "features").dropDuplicates(["h"]).select("features"))
+    n_unknown = free.count()
+    free = few(free, n_unknown)
     family = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")).cast("double") - 1
-    variants = _variants(known)
+    variants = _variants(notices(rows.sparkSession))
     told_apart = F.col("copy") % 6 == 5  # held out
-    rows = keep(variants.where(~told_apart).drop("copy").union(free.where(~held).select(F.lit(UNKNOWN).alias("family"), "words")).withColumn("label", family))
-    n, n_unknown = rows.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 0)).first()
+    known = keep(features(variants.where(~told_apart)).select(family.alias("label"), "features", F.lit(1.0).alias("weight")))
     # unknown paragraphs weigh as much as all notices together, however many there are
-    rows = rows.withColumn("weight", F.when(F.col("label") == 0, (n - n_unknown) / max(1, n_unknown)).otherwise(1.0))
-    model = LogisticRegression(regParam=0.002, elasticNetParam=0.5, maxIter=60, family="multinomial", weightCol="weight").fit(features(rows).select("label", "features", "weight"))
-    best = predict(model, free.where(held)).agg(F.expr(f"percentile(family_p, {1 - FALSE_RATE})")).first()[0]
-    reached = predict(model, variants.where(told_apart).select("words")).agg(F.expr(f"percentile(family_p, {1 - KNOWN_RATE})")).first()[0]
-    return model, min(max(0.5, float(best or 0.0)), max(0.5, float(reached)))
+    unknown = free.select(F.lit(0.0).alias("label"), "features", F.lit(known.count() / max(1, n_unknown)).alias("weight"))
+    model = LogisticRegression(regParam=0.002, elasticNetParam=0.5, maxIter=60, family="multinomial", weightCol="weight").fit(few(known, 0).union(unknown))
+    best = percentile(keep(score(model, free).select("family_p")), 1 - FALSE_RATE)
+    reached = percentile(keep(predict(model, variants.where(told_apart).select("words")).select("family_p")), 1 - KNOWN_RATE)
+    return model, min(max(0.5, best or 0.0), max(0.5, reached))
+
+
+def train(docs: DataFrame, doc_id: str, text: str) -> tuple[LogisticRegressionModel, float]:
+    """The classifier and the least probability at which a family counts."""
+    return learn(described(docs, doc_id, text))
 
 
 def predict(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
-    """``rows`` with the likeliest family but ``unknown``, and its probability."""
-    out = model.transform(features(rows)).withColumn("_p", vector_to_array("probability"))
+    """``rows`` with the likeliest family but ``unknown``, and its probability, from ``words``."""
+    return score(model, features(rows))
+
+
+def score(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
+    """The same from ``features``, which go."""
+    out = model.transform(rows).withColumn("_p", vector_to_array("probability"))
     rest = F.slice("_p", 2, len(FAMILIES) - 1)
     out = out.withColumn("family_p", F.array_max(rest))
     names = F.array(*[F.lit(f) for f in FAMILIES[1:]])
@@ -155,16 +201,14 @@ def predict(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: _id, n_paragraphs, n_licences (confirmed paragraphs), families
     (sorted), evidence (position, family, probability and text of each such paragraph)."""
-    model, least = train(docs, doc_id, text)
-    rows = predict(model, paragraphs(docs, doc_id, text).withColumn("words", tokens(F.coalesce("paragraph", F.lit("")))))
-    # a document keeps its first paragraph, whatever it is, and those that a family claims
-    claimed = F.col("family_p") >= least
-    rows = keep(rows.where((F.coalesce("pos", F.lit(0)) == 0) | claimed).select(
-        "_row", "_id", "n_paragraphs", "pos", *[F.when(claimed, F.col(c)).alias(c) for c in ("family", "family_p", "paragraph", "words")]))
+    rows = described(docs, doc_id, text)
+    model, least = learn(rows)
+    # a paragraph without a triple of a notice is never confirmed
+    claimed = score(model, rows.where("told")).where(F.col("family_p") >= least)
     known = notices(docs.sparkSession).groupBy("family").agg(F.collect_list(triples(F.col("words"))).alias("told"))
     own = triples(F.col("words"))
     like = F.exists("told", lambda t: 100 * F.size(F.array_intersect(own, t)) >= CONFIRM * F.least(F.size(own), F.size(t)))
-    sure = rows.where("family is not null").join(small(known), "family").where(like)
+    sure = claimed.select("_row", "pos", "family", "family_p", "paragraph", "words").join(small(known), "family").where(like)
     sure = sure.groupBy("_row").agg(F.count(F.lit(1)).alias("n_licences"), F.sort_array(F.collect_set("family")).alias("families"),
                                     F.sort_array(F.collect_list(F.struct("pos", "family", "family_p", "paragraph"))).alias("evidence"))
     base = rows.where("coalesce(pos, 0) = 0").select("_row", "_id", "n_paragraphs")

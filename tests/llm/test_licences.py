@@ -56,3 +56,27 @@ def test_everything_but_the_scores_by_hand(spark, sf_small):
         want[r.doc_id] = (len(paragraphs), len(found), sorted({f for _, f in found}))
     got = {r["_id"]: (r["n_paragraphs"], r["n_licences"], r["families"]) for r in scan(docs).collect()}
     assert got == want and any(x[1] for x in want.values())
+
+
+def test_every_paragraph_is_learned_from_and_calibrated_with(spark, monkeypatch):
+    fitted, ranked = [], []
+
+    class Seen(licences.LogisticRegression):
+        def fit(self, rows):
+            fitted.append(rows.where("label = 0").count())
+            return super().fit(rows)
+
+    exact = licences.percentile
+    monkeypatch.setattr(licences, "LogisticRegression", Seen)
+    monkeypatch.setattr(licences, "percentile", lambda values, share: ranked.append(values.count()) or exact(values, share), raising=False)
+    docs = spark.range(13_000).selectExpr("id as doc_id", "concat('the source of entry ', id, ' and this text', if(id = 7, '\\nRedistributions of source code must retain', '')) as text")
+    licences.train(docs, "doc_id", "text")
+    assert fitted == [13_000] and ranked[0] == 13_000
+
+
+def test_percentile_is_exact(spark):
+    rows = spark.range(20_000).select((licences.F.pow(licences.F.rand(3), 9) * licences.F.when(licences.F.col("id") % 3 > 0, 1.0).otherwise(0.0)).alias("p")).cache()
+    for share in (0.0, 0.05, 0.5, 0.9995, 1.0):
+        want = rows.agg(licences.F.expr(f"percentile(p, {share})")).first()[0]
+        assert abs(licences.percentile(rows, share) - want) < 1e-12
+    assert licences.percentile(rows.where("p > 2"), 0.5) is None
