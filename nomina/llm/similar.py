@@ -8,12 +8,16 @@
     filters drop pairs inside the join; the rest are verified on the whole sets, each pair
     once.  The suffix filter bounds the sets' difference from below: both sets are folded
     to SIGNATURE parity bits, and bits that differ come from shingles that only one has.
-4.  First every class meets one pivot of each of its prefix shingles.  Pairs inside a
-    component found so far cannot change the result, so only shingles that still hold
+4.  First every class meets one pivot of each of its prefix shingles: the class with the fewest
+    rarer shingles before it, which has the least text of its own and so the most links.  Pairs
+    inside a component found so far cannot change the result, so only shingles that still hold
     several components go on, with new pivots: one of the shingle's largest component and
-    PIVOTS of others, drawn anew.  Pivots go on as long as they join components or the pairs that are left
-    open are more than a few times the rows; the rest are then compared as they are.  A group
-    of K near copies thus costs about K pairs a round, and no link between components is lost.
+    PIVOTS of others, drawn anew, those with little of their own likelier.  When these hardly join
+    components any more, ever more classes outside the largest component are drawn at random,
+    GROWTH times as many a round or, where few pairs pass the filters, more; a drawn class has
+    met its shingle's others and leaves it, so every open pair is compared in the end.  When
+    the open pairs are no more than a few times the rows, all are.  A group of K near copies
+    thus costs about K pairs a round, and no link between components is lost.
 
 Edge cases: null, empty or wordless texts have an empty set and link with nothing; texts
 with fewer words than a shingle have one; very long texts are a chunk of their own; ties in
@@ -41,8 +45,10 @@ SIGNATURE = 512
 OPEN_PAIRS = 2
 #: Components of a shingle from which a pivot is drawn in a round, besides the largest.
 PIVOTS = 3
-#: Share of the components that a round of pivots must join for another to follow.
+#: Share of the components that a round of PIVOTS must join for another of as many to follow.
 PROGRESS = 0.01
+#: Times as many classes of a shingle are drawn in a round as in the one before, from then on.
+GROWTH = 4
 
 
 def bucket_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -161,37 +167,50 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
         return rows.select("node", F.col("node").alias("root"))
     rows = few(rows, n_rows)
     bits = few(nodes, 2 * nodes.count()).select("node", "n", *[F.col("bits")[i].alias(f"bits{i}") for i in range(SIGNATURE // 64)])
-    tested, roots, turn, joined, last = None, None, 0, 1.0, False
+    tested, roots, turn, joined, pivots, last = None, None, 0, 1.0, 0, False
     while not last:
         live = rows.withColumn("root", F.col("node"))
         if roots is not None:
             live = rows.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        node = F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "n", "pos", "root")
+        # few rarer shingles before this one: little of the text is its own, its links are many
+        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) + 1
+        node = F.struct(((F.col("pos") + 1) * (1 if roots is None else chance)).alias("_p"), chance.alias("_h"), "node", "n", "pos", "root")
         per = live.groupBy("gram", "root").agg(F.min(node).alias("p"), F.count(F.lit(1)).alias("c"))
         if roots is not None:
             # shingles that still hold several components, and the pairs between these; of two
             # classes the one pair has been tested
             per = keep(few(per, n_rows))
-            of = per.groupBy("gram").agg(F.sum("c").cast("double").alias("c"), F.sum(F.col("c").cast("double") ** 2).alias("own"), F.count(F.lit(1)).alias("k"))
-            of = keep(few(of.where("k > 1 and c > 2").select("gram", "c", ((F.col("c") ** 2 - F.col("own")) / 2).alias("pairs")), n_rows))
+            of = per.groupBy("gram").agg(F.sum("c").cast("double").alias("c"), F.sum(F.col("c").cast("double") ** 2).alias("own"), F.count(F.lit(1)).alias("k"),
+                                         F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("top"))
+            of = of.where("k > 1" if pivots else "k > 1 and c > 2")
+            of = keep(few(of.select("gram", "c", ((F.col("c") ** 2 - F.col("own")) / 2).alias("pairs"), "top", (F.col("c") - F.col("most")).alias("others")), n_rows))
             n_open, left = of.agg(F.sum("pairs"), F.sum("c")).first()
             if not n_open:
                 break
-            grams = small(of.select("gram"))
-            live, per, n_rows = keep(few(live.join(grams, "gram"), n_rows)), per.join(grams, "gram"), int(left)
-            rows = live.drop("root")  # the others never count again
-            last = n_open <= OPEN_PAIRS * n_rows or joined < PROGRESS
+            grams = small(of.select("gram", "top", "others"))
+            live, per, n_rows = keep(few(live.join(grams, "gram"), n_rows)), per.join(grams, "gram", "left_semi"), int(left)
+            rows = live.select("gram", "node", "n", "pos")  # the others never count again
+            last = n_open <= OPEN_PAIRS * n_rows
+            if pivots or joined < PROGRESS:
+                # as many as give about a row's worth of survivors, by those of the last round
+                pivots = max(pivots, PIVOTS) * max(GROWTH, n_rows // (GROWTH * (n_pairs + 1)) if pivots else 0)
         ids = (F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-        if last:  # all open pairs; the suffix filter is in the join, so only its survivors come out
-            live = live.join(bits.drop("n"), "node")
-            x, y = live.alias("x"), live.alias("y")
-            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        if last or pivots:
+            # every open pair has a class outside the shingle's largest component: all of these
+            # are drawn in the end.  The suffix filter is in the join: only its survivors come out
+            part = F.lit(1.0) if last else pivots / F.col("others")
+            drawn = (F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("gram", "node", F.lit(turn)), F.lit(1 << 20)) < part * (1 << 20))
+            live = keep(few(live.withColumn("drawn", drawn), n_rows))
+            rows = live.where(~F.col("drawn")).select("gram", "node", "n", "pos")  # all pairs of the drawn ones are tested now
+            wide = live.join(bits.drop("n"), "node")
+            x, y = wide.alias("x"), wide.where("drawn").alias("y")
+            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (~F.col("x.drawn") | (F.col("x.node") > F.col("y.node"))) & (F.col("x.root") != F.col("y.root"))
                            & _near(percent) & _alike(percent)).select(*ids).distinct()
         else:
             if roots is None:
-                ends = per.groupBy("gram").agg(F.min_by("p", F.xxhash64("root", F.lit(turn))).alias("p"))
+                ends = per.groupBy("gram").agg(F.min("p").alias("p"))
             else:
-                drawn = Window.partitionBy("gram").orderBy(F.xxhash64("root", F.lit(turn)), "root")
+                drawn = Window.partitionBy("gram").orderBy("p")
                 ends = per.groupBy("gram").agg(F.max_by("p", F.struct("c", "root")).alias("p")).union(
                     per.withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= PIVOTS).select("gram", "p")).distinct()
             ends = ends.select("gram", "p.node", "p.n", "p.pos", "p.root")
@@ -201,6 +220,9 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = keep(pairs)
         n_pairs = pairs.count()
+        if roots is not None and not n_pairs:
+            joined, turn = 0.0, turn + 1
+            continue
         x, y = bits.alias("x"), bits.alias("y")
         pairs = few(pairs, n_pairs).join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_alike(percent))
         pairs = keep(few(pairs.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("total")), 4 * n_pairs))

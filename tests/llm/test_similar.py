@@ -90,3 +90,32 @@ def test_two_thousand_near_misses(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {x._id: x.component for x in similar(df).collect()}
     assert got == dict(enumerate(root.tolist()))
+
+
+def test_pairs_of_a_large_group_follow_its_size(spark, monkeypatch):
+    """Copies of one text with a few edits each, many of which link to few others: the pairs that
+    come out of the joins are fewer than the copies, not near their square."""
+    compared, verify = [], module._verify
+    monkeypatch.setattr(module, "_verify", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 1200):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 5, 5, 8])):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    # one component around the unchanged text: a copy is linked into it or to nothing
+    sets = [{tuple(t.split()[j:j + 4]) for j in range(len(t.split()) - 3)} for t in texts.values()]
+    index = {g: j for j, g in enumerate(set().union(*sets))}
+    m = np.zeros((len(sets), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [index[g] for g in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    linked = (100 * both >= 85 * (n[:, None] + n[None, :] - both)) & ~np.eye(len(sets), dtype=bool)
+    want = {i: 0 if linked[0, i] else i for i in texts}
+    alone = [i for i in texts if i and want[i]]
+    assert not linked[alone].any()
+    got = {x["_id"]: x["component"] for x in similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)).collect()}
+    assert got == want
+    assert sum(compared) <= len(texts), compared
